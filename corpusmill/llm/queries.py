@@ -12,7 +12,9 @@ from .ann import nearest
 from .common import read_table
 from .decontaminate import contaminated
 from .mixing import mix
+from .quality import quality
 from .simhash import simhash_components
+from .substrings import repeated_substrings
 from .tokens import token_table
 from .toxicity import toxic_documents
 from .urls import judged_urls
@@ -26,6 +28,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(read_table(spark, sf_dir, "pages"))
 
@@ -55,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ann_search, op2_simhash_near_dedup, op5_url_filter, op6_decontamination, op7_toxicity, op8_line_dedup, op9_mixing, op10_token_files)
+    for f in (op1_ann_search, op2_simhash_near_dedup, op3_quality, op4_substring_dedup, op5_url_filter, op6_decontamination, op7_toxicity, op8_line_dedup, op9_mixing, op10_token_files)
 }
 
 ORACLE: dict[str, str] = {"op8_line_dedup": units.SQL}
