@@ -6,7 +6,8 @@ always have a sampled position at the same distance from their starts. So first
 the samples are ranked: a 20-byte string at a sampled position that occurs in one
 document only rules out all suffixes that meet it. The suffixes that remain
 go to buckets by their prefix's hash, one bucket a task; there equal ones are brought
-together and the least document of each is found. Suffixes are compared by 64-bit hashes
+together and the least document of each is found. Whole documents that repeat an earlier
+one are told by their digest and send no suffixes. Suffixes are compared by 64-bit hashes
 of their first bytes. Between tasks go sorted, packed arrays of distinct keys, and one bit
 for each key back; texts stay in compressed blocks.
 """
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -34,7 +36,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, mod 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         inverse = pow(_BASE, -1, 1 << 64)
         _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, dtype=np.uint64)))) for b in (_BASE, inverse)]
     return _POWERS[0], _POWERS[1]
@@ -54,8 +56,10 @@ class Block:
         self.text = b"".join(texts)
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.at = np.arange(len(self.text)) - self.starts[self.doc]
+        self.copy = np.zeros(len(texts), dtype=bool)  # of an earlier document, as a whole
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+        self.at = (np.arange(len(self.text)) - self.starts[self.doc]).astype(np.int32)
+        self.digests = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], dtype=np.uint64)
         up, self.down = _powers(len(self.text) + 1)
         x = np.frombuffer(self.text, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(x * up[: len(x)])))
@@ -65,7 +69,8 @@ class Block:
 
     def starts_of(self, length: int) -> np.ndarray:
         """Whether a string of this length starts there, in a document with an id."""
-        return (self.at + length <= self.sizes[self.doc]) & self.known[self.doc]
+        last = np.where(self.known & ~self.copy, self.sizes - length, -1).astype(np.int32)
+        return self.at <= last[self.doc]
 
     def samples(self, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(sampled positions, key of the string there)."""
@@ -105,8 +110,13 @@ def _slices(keys: np.ndarray, shards: int, bits: int) -> list[tuple[int, int]]:
 def _sample_request(block: Block, key_length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sample keys of a block, sorted, and whether two of its documents have them."""
     where, key = block.samples(key_length, bits)
-    order = np.lexsort((block.doc[where], key))
-    key, doc = key[order], block.doc[where][order]
+    doc = block.doc[where].astype(np.uint64)
+    if bits <= 40 and len(block.ids) < 1 << 24:  # both in one number: a plain sort
+        both = np.unique(key << np.uint64(24) | doc)
+        key, doc = both >> np.uint64(24), both & np.uint64((1 << 24) - 1)
+    else:
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     if not len(first):
         return key, np.zeros(0, bool)
@@ -128,11 +138,26 @@ def _suffixes(block: Block, repeated: np.ndarray, keys: np.ndarray, length: int,
 
 def _least(block: Block, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes, sorted, and the least doc_id of the block that has each."""
-    ids = block.ids[block.doc[start]]
-    order = np.lexsort((ids, h))
-    h, ids = h[order], ids[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[first], ids[first]
+    if not len(h):
+        return h, np.zeros(0, np.int64)
+    order = np.argsort(h)
+    h, ids = h[order], block.ids[block.doc[start]][order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.minimum.reduceat(ids, first)
+
+
+def _mark_copies(block: Block, replies: pd.DataFrame, shards: int, length: int) -> None:
+    """Notes the documents that as a whole repeat an earlier one."""
+    rows, of = _digest_rows(block, shards, length)
+    for s, bits in zip(*[replies.loc[replies["kind"] == "d", c] for c in ("shard", "bits")]):
+        own = rows[of == s]
+        block.copy[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+
+
+def _digest_rows(block: Block, shards: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents long enough to matter, and the shard of their digest."""
+    rows = np.flatnonzero(block.known & (block.sizes >= length))
+    return rows, (block.digests[rows] % np.uint64(shards)).astype(np.int64)
 
 
 def _bits_by_shard(replies: pd.DataFrame, kind: str, sizes: list[int]) -> np.ndarray:
@@ -142,7 +167,7 @@ def _bits_by_shard(replies: pd.DataFrame, kind: str, sizes: list[int]) -> np.nda
     return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 
-def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of ``length`` bytes over it
@@ -182,12 +207,22 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 4
     def ask_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, ids, payload in zip(*[c.to_pylist() for c in b.columns]):
-                keys, twice = _sample_request(_read(ids, payload), key_length, bits)
-                rows = [(s, block, _pack(keys[lo:hi]), np.packbits(twice[lo:hi]).tobytes()) for s, (lo, hi) in enumerate(_slices(keys, shards, bits)) if hi > lo]
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "block", "keys", "twice"])
+                own = _read(ids, payload)
+                keys, twice = _sample_request(own, key_length, bits)
+                rows = [(s, block, "s", _pack(keys[lo:hi]), np.packbits(twice[lo:hi]).tobytes()) for s, (lo, hi) in enumerate(_slices(keys, shards, bits)) if hi > lo]
+                docs_at, of = _digest_rows(own, shards, length)
+                rows += [(s, block, "d", own.digests[docs_at[of == s]].tobytes(), own.ids[docs_at[of == s]].tobytes()) for s in np.unique(of).tolist()]
+                kinds = (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "block", "kind", "keys", "twice"])
 
     def rank_samples(f: pd.DataFrame) -> pd.DataFrame:
+        if f["kind"].iloc[0] == "d":
+            keys, ids = ([np.frombuffer(x, kind) for x in f[c]] for c, kind in (("keys", "<u8"), ("twice", "<i8")))
+            names, of = np.unique(np.concatenate(keys), return_inverse=True)
+            low = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(low, of, np.concatenate(ids))
+            reply = [np.packbits(low[np.searchsorted(names, k)] < i).tobytes() for k, i in zip(keys, ids)]
+            return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "d", "bits": reply})
         keys = [_unpack(k) for k in f["keys"]]
         own = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool) for t, k in zip(f["twice"], keys)]
         every = np.sort(np.concatenate([*keys, *[k[o] for k, o in zip(keys, own)]]))
@@ -196,8 +231,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 4
         return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "s", "bits": reply})
 
     answer = "block long, shard int, kind string, bits binary"
-    ranks = packed.mapInArrow(ask_samples, "shard int, block long, keys binary, twice binary")
-    ranks = cut(ranks.groupBy("shard").applyInPandas(rank_samples, answer))
+    ranks = packed.mapInArrow(ask_samples, "shard int, block long, kind string, keys binary, twice binary")
+    ranks = cut(ranks.groupBy("shard", "kind").applyInPandas(rank_samples, answer))
 
     def ask_suffixes(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -205,6 +240,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 4
             block = _read(ids, payload)
             keys, _ = _sample_request(block, key_length, bits)
             repeated = _bits_by_shard(replies, "s", [hi - lo for lo, hi in _slices(keys, shards, bits)])
+            _mark_copies(block, replies, shards, length)
             h, least = _least(block, *_suffixes(block, repeated, keys, length, key_length, bits))
             for s, (lo, hi) in enumerate(_slices(h, shards, 64)):
                 if hi > lo:
@@ -232,6 +268,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 4
             block = _read(ids, payload)
             keys, _ = _sample_request(block, key_length, bits)
             repeated = _bits_by_shard(replies, "s", [hi - lo for lo, hi in _slices(keys, shards, bits)])
+            _mark_copies(block, replies, shards, length)
             start, h = _suffixes(block, repeated, keys, length, key_length, bits)
             names, least = _least(block, start, h)
             earlier = _bits_by_shard(replies, "w", [hi - lo for lo, hi in _slices(names, shards, 64)])
@@ -243,7 +280,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 4
             covered = np.cumsum(edge)[:-1] > 0
             data = np.frombuffer(block.text, np.uint8)
             for i, (lo, n) in enumerate(zip(block.starts.tolist(), block.sizes.tolist())):
-                c = covered[lo : lo + n]
+                c = covered[lo : lo + n] | block.copy[i]
                 flips = np.flatnonzero(np.diff(np.concatenate(([False], c, [False])).astype(np.int8)))
                 spans = [{"start": int(a), "end": int(b)} for a, b in zip(flips[::2], flips[1::2])]
                 kept = data[lo : lo + n][~c].tobytes() if spans else block.text[lo : lo + n]

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import partition_offsets, scratch_path
 
 END, BASE = 2, 1 << 17  # nonterminals are numbered from BASE
+SLOTS = 1 << 20  # of the table that pairs are counted in
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_at binary, rules binary, spans binary, body binary"
 
@@ -34,12 +36,16 @@ class Encoder:
     other characters, so stretches that begin there are encoded alone as they are in the text.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.lib, self.keep = Tokenizer.from_file(path), keep
-        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        tokens = self.lib.get_added_tokens_decoder()
+        added = [t.content for t in tokens.values()]
+        marks = [(t.content, i) for i, t in tokens.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark = marks[0] if marks else None
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.marks = {m: self.lib.encode(m, add_special_tokens=False).ids[0] for m in ",."}
         self.forget()
 
     def forget(self) -> None:
@@ -51,60 +57,87 @@ class Encoder:
         if len(self.at) > self.keep:
             self.forget()
         parts: list[list[str] | None] = []
-        unseen: dict[str, None] = {}
-        at = self.at
         for t in texts:
             if not t:
                 parts.append([])
             elif "\x00" in t or self.special and self.special.search(t):
                 parts.append(None)  # such strings are found before the pattern is applied; NUL marks keys
             else:
-                p = _SINGLE_SPACE.split(t) if "  " in t or not (t[0].strip() and t[-1].strip()) else t.split(" ")
-                # the first is not after a space: its own key
-                p[0] = "\x00" + p[0]
+                lined = t.replace("\n", " \n")  # a single line end also begins a stretch
+                if "  " in lined or "\n \n" in lined or not (t[0].strip() and t[-1].strip()):
+                    p = _SINGLE_SPACE.split(t)
+                else:
+                    p = lined.split(" ")
+                p[0] = "\x00" + p[0]  # not after a space: its own key
                 parts.append(p)
-        for p in parts:
-            if p:
-                for s in p:
-                    if s not in at:
-                        unseen[s] = None
-        self.learn(list(unseen))
+        get = self.at.get
+        idx = [None if p is None else np.fromiter(map(get, p, repeat(-1)), dtype=np.int64, count=len(p)) for p in parts]
+        new = [(i, np.flatnonzero(x < 0)) for i, x in enumerate(idx) if x is not None and len(x) and x.min() < 0]
+        if new:
+            self.learn(list(dict.fromkeys(parts[i][j] for i, where in new for j in where.tolist())))
+            for i, where in new:
+                idx[i][where] = [self.at[parts[i][j]] for j in where.tolist()]
         out = []
-        for t, p in zip(texts, parts):
-            if p is None:
+        for t, x in zip(texts, idx):
+            if x is None:
                 out.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=np.int32))
                 continue
-            idx = np.fromiter(map(at.__getitem__, p), dtype=np.int64, count=len(p))
-            sizes = self.sizes[idx]
+            sizes = self.sizes[x]
             ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            where = np.arange(total) + np.repeat(self.starts[idx] - (ends - sizes), sizes)
+            where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[x] - (ends - sizes), sizes)
             out.append(self.flat[where])
         return out
 
     def learn(self, keys: list[str]) -> None:
-        """Keys that begin with NUL are a text's first stretch, others follow a space."""
-        texts = [k[1:] if k[:1] == "\x00" else " " + k for k in keys]
-        got = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(g) for g in got], dtype=np.int32)
-        n, total = len(self.at), int(sizes.sum())
-        while n + len(got) > len(self.sizes):
+        """Encodes new keys. One that begins with NUL is a text's first stretch, with a line end as it
+        is, others follow a space. A comma or full stop after a letter is a piece of its own."""
+        known, ask = self.at, {}
+        for k in keys:
+            if k[-1:] in (",", ".") and k[-2:-1].isalpha():
+                if k[:-1] not in known:
+                    ask[k[:-1]] = None
+            else:
+                ask[k] = None
+        ask = list(ask)
+        texts = [k[1:] if k[:1] == "\x00" else k if k[:1] == "\n" else " " + k for k in ask]
+        if self.mark:  # one long text with the special token between: far fewer objects
+            joined = [self.mark[0].join(texts[i : i + 1000]) + self.mark[0] for i in range(0, len(texts), 1000)]
+            flat = np.concatenate([np.zeros(0, np.int32), *[np.array(e.ids, dtype=np.int32) for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)]])
+            ends = np.flatnonzero(flat == self.mark[1])
+            self._store(ask, np.diff(ends, prepend=-1).astype(np.int32) - 1, flat[flat != self.mark[1]])
+        else:
+            got = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+            self._store(ask, np.array([len(g) for g in got], dtype=np.int32), np.fromiter(chain.from_iterable(got), dtype=np.int32))
+        tails = [k for k in keys if k not in known]
+        if tails:
+            stems = np.array([known[k[:-1]] for k in tails], dtype=np.int64)
+            sizes = self.sizes[stems]
+            ends = np.cumsum(sizes + 1)
+            flat = np.empty(int(ends[-1]), dtype=np.int32)
+            flat[ends - 1] = [self.marks[k[-1]] for k in tails]
+            body = np.ones(len(flat), dtype=bool)
+            body[ends - 1] = False
+            flat[body] = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[stems] - (np.cumsum(sizes) - sizes), sizes)]
+            self._store(tails, sizes + 1, flat)
+
+    def _store(self, keys: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        n = len(self.at)
+        while n + len(keys) > len(self.sizes):
             self.sizes, self.starts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.starts, 2 * len(self.starts))
-        while self.used + total > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.sizes[n : n + len(got)] = sizes
-        self.starts[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((x for g in got for x in g), dtype=np.int32, count=total)
-        self.used += total
-        for k in keys:
-            self.at[k] = len(self.at)
+        self.sizes[n : n + len(keys)] = sizes
+        self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.at.update(zip(keys, range(n, n + len(keys))))
 
 
 def repair(seq: np.ndarray, ends: np.ndarray, rounds: int = 4, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, sequence, start of each document in it); ends: where documents end in ``seq``.
 
-    Each round counts all adjacent pairs, takes those with ``least`` occurrences or more
-    and replaces them from left to right where they don't overlap.
+    Each round counts all adjacent pairs (by hash), takes those with ``least`` occurrences or
+    more and replaces them from left to right where they don't overlap, if half as many remain.
     """
     seq = seq.astype(np.uint64)
     last = np.zeros(len(seq), dtype=bool)
@@ -115,26 +148,31 @@ def repair(seq: np.ndarray, ends: np.ndarray, rounds: int = 4, least: int = 16)
         if len(seq) < 2:
             break
         code = seq[:-1] << np.uint64(32) | seq[1:]
-        slot = ((code ^ code >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
-        slot[last[:-1]] = 1 << 21
-        slot = slot.astype(np.int64)
-        often = np.bincount(slot, minlength=(1 << 21) + 1) >= least
-        often[1 << 21] = False
+        slot = (((code ^ code >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        slot[last[:-1]] = SLOTS
+        often = np.bincount(slot, minlength=SLOTS + 1) >= least
+        often[SLOTS] = False
         at = np.flatnonzero(often[slot])
         if not len(at):
             break
-        pairs, of, n = np.unique(code[at], return_inverse=True, return_counts=True)
-        good = n >= least
-        at, of = at[good[of]], of[good[of]]
-        if not len(at):
-            break
+        # where two pairs share a slot, one of them waits for a later round
+        owner = np.zeros(SLOTS, dtype=np.uint64)
+        owner[slot[at]] = code[at]
+        at = at[owner[slot[at]] == code[at]]
         # of a run of overlapping pairs every other one, from the left
         run = np.concatenate(([True], np.diff(at) != 1))
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - first) % 2 == 0
-        at, of = at[take], of[take]
-        used, name = np.unique(of, return_inverse=True)
-        rules.append(np.stack((pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+        at = at[(np.arange(len(at)) - first) % 2 == 0]
+        n = np.bincount(slot[at], minlength=SLOTS)
+        at = at[n[slot[at]] >= least // 2]
+        if not len(at):
+            break
+        used = np.flatnonzero(n >= least // 2)
+        number = np.zeros(SLOTS, dtype=np.int64)
+        number[used] = np.arange(len(used))
+        name = number[slot[at]]
+        pairs = owner[used]
+        rules.append(np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
         seq[at] = (BASE + n_rules + name).astype(np.uint64)
         n_rules += len(used)
         last[at] = last[at + 1]
