@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import WORD, terms
@@ -111,23 +113,38 @@ def grep(queries: DataFrame, chunks: DataFrame, k: int = 12) -> DataFrame:
     """(query_id, id, line, score, excerpt, rank): line search of (query_id, query) over chunks.
 
     ``chunks``: id, uri, path, start_line, content. Queries are a stated small set against all
-    chunks; the distinct terms of all queries are looked for once in each chunk, and only
-    chunks that hold one meet the queries.
+    chunks: the distinct terms of all queries form one automaton that passes over each
+    chunk once, whatever their number; only chunks that hold a term meet the queries.
     """
-    asked = queries.select("query_id", grep_terms(F.col("query")).alias("terms"))
-    every = F.broadcast(asked.agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("every")))  # one row
-    hay = F.lower(F.concat_ws("\n", "uri", F.coalesce("path", F.lit("")), "content"))
-    hit = chunks.crossJoin(every).withColumn("found", F.filter("every", lambda t: F.contains(hay, t))).where("size(found) > 0")
-    one = asked.select("query_id", "terms", F.explode("terms").alias("t"))
-    pairs = hit.select("id", "uri", "path", "start_line", "content", F.explode("found").alias("t")).join(one, "t")
-    pairs = pairs.groupBy("query_id", "id").agg(*[F.any_value(c).alias(c) for c in ("uri", "path", "start_line", "content")], F.collect_set("t").alias("matched"))
+    asked = queries.select("query_id", F.explode(grep_terms(F.col("query"))).alias("t"))
+    every = [r.t for r in asked.select("t").distinct().collect()]  # bounded by the query set
+    shared = queries.sparkSession.sparkContext.broadcast(every)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = ahocorasick.Automaton()
+        for t in shared.value:
+            auto.add_word(t, t)
+        auto.make_automaton()
+        for b in batches:
+            hit = [sorted({t for _, t in auto.iter(h)}) if shared.value and h else [] for h in b.column(b.num_columns - 1).to_pylist()]
+            keep = pa.array([bool(h) for h in hit])
+            cols = [c.filter(keep) for c in b.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([h for h in hit if h], pa.list_(pa.string()))], [*b.schema.names[:-1], "found"])
+
+    own = chunks.select("id", "uri", F.coalesce("path", F.lit("")).alias("path"), F.col("start_line").cast("int").alias("start_line"), "content")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    hay = own.withColumn("hay", F.lower(F.concat_ws("\n", "uri", "path", "content")))
+    hit = hay.mapInArrow(find, kinds + ", found array<string>")
+    pairs = hit.select("id", F.explode("found").alias("t")).join(asked, "t").groupBy("query_id", "id").agg(F.collect_set("t").alias("matched"))
+    pairs = pairs.join(hit.drop("found"), "id")
     lines = F.split("content", r"\r\n|\n|\r")
     # a term's matches in the lines; the best line is the first of the most
-    per = F.transform(lines, lambda x, i: F.struct(F.size(F.filter("matched", lambda t: F.contains(F.lower(x), t))).alias("n"), (-i).alias("at")))
+    low = F.transform(lines, lambda x: F.lower(x))
+    per = F.transform(low, lambda x, i: F.struct(F.size(F.filter("matched", lambda t: F.contains(x, t))).alias("n"), (-i).alias("at")))
     best = F.array_max(per)
-    head = F.lower(F.concat_ws(" ", "uri", F.coalesce("path", F.lit(""))))
+    head = F.transform(F.array(F.lower(F.concat_ws(" ", "uri", "path"))), lambda h: F.size(F.filter("matched", lambda t: F.contains(h, t))))[0]
     scored = pairs.withColumn("best", best).withColumn("lines", lines)
-    score = 10 * F.size("matched") + F.col("best.n") + F.size(F.filter("matched", lambda t: F.contains(head, t)))
+    score = 10 * F.size("matched") + F.col("best.n") + head
     at = -F.col("best.at")
     near = F.slice("lines", F.greatest(at, F.lit(1)), F.when(at > 0, 3).otherwise(2))
     excerpt = F.substring(F.trim(F.array_join(F.transform(near, lambda x: F.trim(x)), "\n")), 1, 500)

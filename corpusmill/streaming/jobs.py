@@ -70,7 +70,7 @@ def limiter(events: DataFrame, limit: int, window_s: int) -> DataFrame:
 
 def limiter_batch(events: DataFrame, limit: int, window_s: int) -> DataFrame:
     """The same over a table: a fold over each subject's ordered events."""
-    rows = events.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("at").alias("t"), "event_id"))).alias("e"))
+    rows = events.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "event_id"))).alias("e"))
     start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<boolean>").alias("ok"))
 
     def step(acc, e):
