@@ -17,6 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import cut
+
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 SLOTS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
@@ -104,7 +106,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][best] + below) / 2)
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), fit_rows: int = 20_000, features: int = 4096, folds: int = 3) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), fit_rows: int = 10_000, features: int = 4096, folds: int = 3) -> Chain:
     """A chain fitted on ``fit_rows`` labelled documents at most (those of the least hash of their id).
 
     ``labels``: doc_id and a 0/1 column for each category; low_quality is 1 - quality if there is
@@ -151,6 +153,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = text.mapInArrow(count, "slot long, n long, " + ", ".join(f"n{i} long" for i in range(k)))
     counts = counts.groupBy("slot").agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]).where("n >= 3")
+    counts = cut(counts)
     total = max(1, len(sample))
     positives = [sum(v[i] for v in sample.values()) for i in range(k)]
     chosen: set[int] = set()
@@ -165,13 +168,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
         names = shared.value
         for d, text in labelled(batches):
             cols = sorted({names[s] for w in tokens(text) for s in slots(w) if s in names})
-            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([cols], pa.list_(pa.int32()))], ["doc_id", "cols"])
+            yield pa.RecordBatch.from_arrays([pa.array([d]), pa.array([np.array(cols, dtype="<u2").tobytes()], pa.binary())], ["doc_id", "cols"])
 
-    # bounded: fit_rows rows of at most `features` small numbers
-    got = {r[0]: r[1] for r in text.mapInArrow(sparse, "doc_id long, cols array<int>").collect()}
+    # bounded: fit_rows rows of at most `features` two-byte numbers
+    got = {r[0]: np.frombuffer(r[1], dtype="<u2") for r in text.mapInArrow(sparse, "doc_id long, cols binary").collect()}
     ids = sorted(got)
-    r = np.repeat(np.arange(len(ids)), [len(got[d]) for d in ids])
-    c = np.array([x for d in ids for x in got[d]], dtype=np.int64)
+    r = np.repeat(np.arange(len(ids), dtype=np.int32), [len(got[d]) for d in ids])
+    c = np.concatenate([np.zeros(0, np.int32), *[got[d].astype(np.int32) for d in ids]])
     y = np.array([sample[d] for d in ids], dtype=float).reshape(len(ids), k)
     m = len(feature)
     out = Chain(list(categories), feature, np.zeros((m, k)), np.zeros((k, k)), np.zeros(k), np.full(k, 0.5))
