@@ -106,13 +106,13 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][best] + below) / 2)
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), fit_rows: int = 10_000, features: int = 4096, folds: int = 3) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), fit_rows: int = 10_000, features: int = 4096, folds: int = 3, least_gap: float = 4.0) -> Chain:
     """A chain fitted on ``fit_rows`` labelled documents at most (those of the least hash of their id).
 
     ``labels``: doc_id and a 0/1 column for each category; low_quality is 1 - quality if there is
     no such column. Rows with a null label or no document take no part. Words of
     all those documents are counted; the ``features`` slots that differ most between
-    classes are used.
+    classes are used, if by ``least_gap`` standard deviations or more.
     """
     cats = [F.col(c) if c in labels.columns else 1 - F.col(c.replace("low_", "")) for c in categories]
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(cats)]).dropna()
@@ -159,8 +159,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] =
     chosen: set[int] = set()
     for i in range(k):
         rate = positives[i] / total
-        gap = F.abs(F.col(f"n{i}") - F.col("n") * F.lit(rate)) / F.sqrt(F.col("n") * F.lit(rate * (1 - rate) + 1e-9))
-        chosen |= {r[0] for r in counts.orderBy(gap.desc(), "slot").limit(features // k).select("slot").collect()}
+        gap = (F.abs(F.col(f"n{i}") - F.col("n") * F.lit(rate)) - 0.5) / F.sqrt(F.col("n") * F.lit(rate * (1 - rate) + 1e-9))
+        chosen |= {r[0] for r in counts.where(gap >= least_gap).orderBy(gap.desc(), "slot").limit(features // k).select("slot").collect()}
     feature = {s: j for j, s in enumerate(sorted(chosen))}
     shared = spark.sparkContext.broadcast(feature)
 
