@@ -3,8 +3,8 @@
 The tree is fitted on a bounded sample and every vector is put into one of its leaves. A query
 visits leaves best bin first, through a priority queue over tree nodes; how many it
 visits is calibrated: exact neighbours of some queries are found, and visits are widened
-until the leaves visited hold the asked share of them. Leaves larger than
-``block_rows`` are cut into blocks, so a crowded leaf is scored by several tasks.
+until the leaves visited hold the asked share of them. Neighbouring leaves are scored together,
+``shelf_rows`` vectors a task; a crowded leaf is cut into blocks of that size.
 
 Largest inner product is nearest Euclidean neighbour after one more coordinate,
 sqrt(M^2 - |x|^2) with M the largest norm (0 for queries); the tree works on that.
@@ -91,15 +91,18 @@ def _lift(x: np.ndarray, norm: float) -> np.ndarray:
     return np.column_stack((x, np.sqrt(np.maximum(norm**2 - (x**2).sum(axis=1), 0))))
 
 
-def _top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+def _top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, visited: np.ndarray | None = None) -> pd.DataFrame:
     """Each query's k nearest rows of x, ties to smaller ids, never the query's own."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    visited = None if visited is None else visited[:, order]
     out = []
     for at in range(0, len(q), 256):
         # einsum adds each pair's products in the same order, so equal vectors tie exactly
         s = np.einsum("qd,nd->qn", q[at : at + 256], x)
         s[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
+        if visited is not None:
+            s[~visited[at : at + 256]] = -np.inf
         best = np.argsort(-s, axis=1, kind="stable")[:, :k]
         score = np.take_along_axis(s, best, axis=1)
         n = best.shape[1]
@@ -114,7 +117,7 @@ def _floats(column) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, queries: Column | str, k: int = 20, recall: float = 0.96, fit_rows: int = 20_000, leaf_rows: int = 256, probe_queries: int = 200, block_rows: int = 4096
+    vectors: DataFrame, queries: Column | str, k: int = 20, recall: float = 0.96, fit_rows: int = 20_000, leaf_rows: int = 256, probe_queries: int = 200, shelf_rows: int = 8192
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` selects its k nearest others.
 
@@ -181,23 +184,43 @@ def nearest(
         need = np.sort([place_of[r.query_id][r.leaf] + 1 for r in truth])
         visits = int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
 
-    # one number for each leaf, of which there are fit_rows / 16 at most
-    sizes = {r.leaf: -(-r.n // block_rows) for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    # Neighbouring leaves share a shelf of about shelf_rows vectors, so a query is sent, and its best
+    # are returned, once a shelf. One number for each leaf, of which there are fit_rows / 16 at most
+    sizes = {r.leaf: r.n for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    shelf_of, parts, held = {}, [], 0
+    for leaf in sorted(sizes):
+        if not parts or held + sizes[leaf] > shelf_rows:
+            parts.append(0)
+            held = 0
+        held += sizes[leaf]
+        shelf_of[leaf], parts[-1] = len(parts) - 1, -(-held // shelf_rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                to = [(leaf, i) for leaf in tree.value.visit(np.append(np.frombuffer(v, "<f8"), 0.0), visits) for i in range(sizes.get(leaf, 0))]
-                cols = [pa.array([q] * len(to), pa.int64()), pa.array([v] * len(to), pa.binary()), pa.array([x for x, _ in to], pa.int32()), pa.array([x for _, x in to], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["query_id", "q", "leaf", "block"])
-
-    parts = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("leaf"))
-    points = index.select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("block"))
-    asks = index.where("ask").select("vec_id", "v").mapInArrow(ask, "query_id long, q binary, leaf int, block int")
+                by: dict[int, list[int]] = {}
+                for leaf in tree.value.visit(np.append(np.frombuffer(v, "<f8"), 0.0), visits):
+                    if leaf in shelf_of:
+                        by.setdefault(shelf_of[leaf], []).append(leaf)
+                to = [(s, i, np.array(leaves, dtype="<i4").tobytes()) for s, leaves in by.items() for i in range(parts[s])]
+                kinds = (pa.int32(), pa.int32(), pa.binary())
+                cols = [pa.array([q] * len(to), pa.int64()), pa.array([v] * len(to), pa.binary()), *[pa.array([x[i] for x in to], k) for i, k in enumerate(kinds)]]
+                yield pa.RecordBatch.from_arrays(cols, ["query_id", "q", "shelf", "block", "leaves"])
+
+    lookup = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    points = index.select("vec_id", "v", "leaf", lookup(shelf_of, F.col("leaf")).alias("shelf"))
+    points = points.withColumn("block", F.pmod(F.xxhash64("vec_id"), lookup(dict(enumerate(parts)), F.col("shelf"))).cast("int"))
+    asks = index.where("ask").select("vec_id", "v").mapInArrow(ask, "query_id long, q binary, shelf int, block int, leaves binary")
 
     def score(own: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
-        return _top(own["vec_id"].to_numpy(), _floats(own["v"]), come["query_id"].to_numpy(), _floats(come["q"]), k) if len(own) and len(come) else _top(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), k)
-
-    found = points.groupBy("leaf", "block").cogroup(asks.groupBy("leaf", "block")).applyInPandas(score, "query_id long, vec_id long, score double")
+        if not len(own) or not len(come):
+            return _top(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), k)
+        open_ = np.zeros((len(come), n_leaves), dtype=bool)
+        for i, leaves_of in enumerate(come["leaves"]):
+            open_[i, np.frombuffer(leaves_of, "<i4")] = True
+        return _top(own["vec_id"].to_numpy(), _floats(own["v"]), come["query_id"].to_numpy(), _floats(come["q"]), k, open_[:, own["leaf"].to_numpy()])
+
+    n_leaves = tree.value.n_leaves
+    found = points.groupBy("shelf", "block").cogroup(asks.groupBy("shelf", "block")).applyInPandas(score, "query_id long, vec_id long, score double")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -27,7 +27,7 @@ def test_recall_and_order(spark, scale):
     bad = [(100_000, None, ""), (100_020, [0.0] * 24, ""), (100_040, [None] * 24, ""), (100_060, [float("nan")] * 24, ""), (100_080, [1.0] * 5, ""), (None, [1.0] * 24, ""), (rows[3][0], rows[3][1], "")]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, score string")
     got = {}
-    for r in nearest(df, "vec_id % 140 = 0", block_rows=200, leaf_rows=30).collect():
+    for r in nearest(df, "vec_id % 140 = 0", shelf_rows=200, leaf_rows=30).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     ids = [i * 7 for i in range(3000)]
     want = brute(ids, x, [i for i in ids if i % 140 == 0], 20)
