@@ -167,7 +167,7 @@ def _bits_by_shard(replies: pd.DataFrame, kind: str, sizes: list[int]) -> np.nda
     return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 
-def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of ``length`` bytes over it
