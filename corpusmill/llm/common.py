@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -34,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect garbage: Spark deletes the shuffle files of plans that nothing
+    refers to any more, such as those that ``cut`` has replaced, only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")

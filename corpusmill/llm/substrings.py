@@ -25,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, release
 
 #: A perfect difference cover: every distance mod 31 is the difference of two of these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -233,6 +233,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 1
     answer = "block long, shard int, kind string, bits binary"
     ranks = packed.mapInArrow(ask_samples, "shard int, block long, kind string, keys binary, twice binary")
     ranks = cut(ranks.groupBy("shard", "kind").applyInPandas(rank_samples, answer))
+    release(docs.sparkSession)
 
     def ask_suffixes(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -261,6 +262,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 1
 
     firsts = packed.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(ask_suffixes, "shard int, block long, keys binary, names binary, of binary")
     firsts = cut(firsts.groupBy("shard").applyInPandas(least_document, answer))
+    release(docs.sparkSession)
 
     def judge(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
