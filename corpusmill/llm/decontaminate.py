@@ -12,12 +12,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 K1, B, BLOCK = 1.2, 0.75, 16
+CELLS = 1 << 22  # of a table of impacts, passages' terms by blocks
 _WORD = re.compile(r"\w+")
 
 
@@ -62,33 +64,47 @@ class ItemIndex:
         self.impact = impact / np.maximum(impact.sum(axis=0), 1e-9)
         self.most = self.impact.reshape(len(tf), width // BLOCK, BLOCK).max(axis=2)
 
-    def candidates(self, docs: list[list[int]], threshold: float) -> set[tuple[int, int]]:
+    def candidates(self, docs: list[np.ndarray], threshold: float) -> set[tuple[int, int]]:
         """(document, item) with a passage above the threshold; docs: known term ids in order, -1 for others.
 
         Passages are windows of twice the longest item, one longest item apart: any run
         as long as an item lies whole in one of them.
         """
-        bounds, terms, of = [], [], []
-        at = 0
+        terms, windows, of = [], [], []
         for d, t in enumerate(docs):
             t = np.asarray(t, dtype=np.int64)
-            for low in range(0, max(1, len(t) - self.span), self.span):
-                u = np.unique(t[low : low + 2 * self.span])
-                u = u[u >= 0]
-                if len(u):
-                    bounds.append(at)
-                    terms.append(u)
-                    of.append(d)
-                    at += len(u)
+            n = max(1, -(-len(t) // self.span) - 1)
+            at = np.flatnonzero(t >= 0)
+            chunk, t = at // self.span, t[at]
+            for w, ok in ((chunk, chunk < n), (chunk - 1, chunk > 0)):
+                terms.append(t[ok])
+                windows.append(w[ok] + len(of))
+            of.extend([d] * n)
+        # one sort for all passages: each passage's terms, once each
+        size = max(1, len(self.term))
+        both = np.unique(np.concatenate(windows) * size + np.concatenate(terms)) if terms else np.zeros(0, np.int64)
         found: set[tuple[int, int]] = set()
-        if not terms:
+        if not len(both):
             return found
-        flat, of, bounds = np.concatenate(terms), np.array(of), np.array(bounds)
-        upper = np.add.reduceat(self.most[flat], bounds, axis=0)
-        for p, b in zip(*np.nonzero(upper >= threshold)):
-            end = bounds[p + 1] if p + 1 < len(bounds) else len(flat)
-            score = self.impact[flat[bounds[p] : end], b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
-            found.update((int(of[p]), int(b * BLOCK + i)) for i in np.flatnonzero(score >= threshold) if b * BLOCK + i < len(self.ids))
+        window, flat = both // size, both % size
+        bounds = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+        of = np.array(of)[window[bounds]]
+        ends = np.append(bounds[1:], len(flat))
+        room, low = CELLS // max(BLOCK, self.most.shape[1]), 0
+        while low < len(of):  # some passages at a time, which bounds the tables of impacts
+            high = max(low + 1, int(np.searchsorted(ends, bounds[low] + room, "right")))
+            own = flat[bounds[low] : ends[high - 1]]
+            upper = np.add.reduceat(self.most[own], bounds[low:high] - bounds[low], axis=0) >= threshold
+            sizes = ends[low:high] - bounds[low:high]
+            for b in np.flatnonzero(upper.any(axis=0)).tolist():
+                hit = upper[:, b]
+                first = np.cumsum(sizes[hit]) - sizes[hit]
+                score = np.add.reduceat(self.impact[own[np.repeat(hit, sizes)], b * BLOCK : (b + 1) * BLOCK], first, axis=0)
+                p, i = np.nonzero(score >= threshold)
+                i += b * BLOCK
+                real = i < len(self.ids)
+                found.update(zip(of[low:high][hit][p[real]].tolist(), i[real].tolist()))
+            low = high
         return found
 
     def overlap(self, words: list[str], item: int, shingle: int) -> tuple[float, float]:
@@ -146,7 +162,7 @@ def contaminated(
                 rows: list[tuple] = []
                 for low in range(0, len(ids), 256):
                     docs_words = [words_of(t.as_py()) for t in texts[low : low + 256]]
-                    coded = [[get(w, -1) for w in ws] for ws in docs_words]
+                    coded = [np.fromiter(map(get, ws, repeat(-1)), dtype=np.int64, count=len(ws)) for ws in docs_words]
                     for d, i in sorted(ix.candidates(coded, threshold)):
                         q, a = ix.overlap(docs_words[d], i, shingle)
                         if q >= overlap and a >= overlap:
