@@ -3,7 +3,8 @@
 Units are normalised (A-Z lower-cased, runs of ASCII white space one space) and
 hashed to 128 bits. Digests are grouped globally, so a unit that a third of
 all documents share is pre-aggregated to its first place; only units that repeat are
-joined back, and a hot digest is split by the skew join.
+joined back. Digests with over a thousandth of all units, of which there can't be more than
+a thousand, are broadcast, so their units are not dealt by digest.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def units_of(text: bytes, separator: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 5) -> DataFrame:
+def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 5, hot_parts: int = 1000) -> DataFrame:
     """(doc_id, n_units, n_removed, removed, text) for every row of ``docs`` (doc_id, text).
 
     ``removed``: array of (start, end, first_doc_id), original byte offsets (UTF-8) of the units
@@ -39,7 +40,8 @@ def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 5) -
     that first occurrence. Units of fewer than ``min_words`` words stay. ``text`` has the
     others, in order, joined by the separator (null stays null). Rows that repeat a doc_id
     stand in the order of the rows; a null doc_id comes after all others. An empty table
-    gives an empty result; other columns are not looked at.
+    gives an empty result; other columns are not looked at. Digests with more than one in
+    ``hot_parts`` of all units, ``hot_parts`` rows at most, are broadcast; 0 broadcasts none.
     """
     sep = separator.encode()
 
@@ -60,8 +62,12 @@ def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = 5) -
     units = base.select("row", "doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(split, "row long, doc_id long, start int, end int, digest binary")
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row", "start")
     units = cut(units.withColumn("rank", rank))
-    firsts = units.groupBy("digest").agg(F.min("rank").alias("first"), F.min_by("doc_id", "rank").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1")
-    gone = units.join(firsts.drop("n"), "digest").where("rank > first")
+    firsts = units.groupBy("digest").agg(F.min("rank").alias("first"), F.min_by("doc_id", "rank").alias("first_doc_id"), F.count("*").alias("n"))
+    firsts = cut(firsts.where("n > 1"))
+    often = F.col("n") * hot_parts > units.count() if hot_parts else F.lit(False)
+    hot = F.broadcast(firsts.where(often).drop("n"))
+    rare = units.join(hot.select("digest"), "digest", "left_anti").join(firsts.where(~often).drop("n"), "digest")
+    gone = units.join(hot, "digest").unionByName(rare).where("rank > first")
     per = gone.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("removed"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,9 @@ def test_against_one_pass(spark):
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, start int").coalesce(1)
     got = [(r.doc_id, r.n_units, [tuple(x) for x in r.removed], r.text) for r in repeated_units(df).collect()]
     assert sorted(map(str, got)) == sorted(map(str, slow(rows)))
+    for parts in (0, 20):  # none broadcast, the common line only
+        again = [(r.doc_id, r.n_units, [tuple(x) for x in r.removed], r.text) for r in repeated_units(df, hot_parts=parts).collect()]
+        assert sorted(map(str, again)) == sorted(map(str, got))
     assert all(r.n_removed == len(r.removed) for r in repeated_units(df).collect())
     assert repeated_units(df.limit(0)).count() == 0
 
