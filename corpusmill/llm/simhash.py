@@ -13,7 +13,8 @@ found in three levels, each exact for the chosen distance:
    bits differ too often.
 
 A group gives no more rows than a few for each member (a spanning forest of its links, or
-each member's nearest and first partner), never all of its pairs.
+each member's nearest and first partner), never all of its pairs. Where a link must hold on
+a longer signature too, that is decided before the forest is made.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, cut
+from .common import components, cut, release
 
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 LEAF, FAN = 32, 8
@@ -46,31 +47,41 @@ def _mixed(h: np.ndarray, count: int) -> np.ndarray:
     return x
 
 
-def simhash(text: bytes | None, shingle: int = 4, count: int = 1, seed: int = 42) -> np.ndarray:
-    """``count`` 64-bit fingerprints of one whole text; no words: zeros."""
+def shingles(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of a text, in order; fewer words make one."""
     words = (text or b"").lower().split()  # on bytes, both know ASCII only
     if not words:
-        return np.zeros(count, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    ones, digest = np.zeros(64 * count, dtype=np.int64), xxhash.xxh64_intdigest
+    digest, out = xxhash.xxh64_intdigest, []
     for at in range(0, len(starts), 1 << 15):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])], dtype=np.uint64)
-        for low in range(0, len(h), 255):  # 255 counts fit into the byte lanes
-            lanes = _SPREAD[_mixed(h[low : low + 255], count).view(np.uint8).reshape(-1, 8 * count)]
-            ones += lanes.sum(axis=0, dtype=np.uint64).view(np.uint8)
-    return np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)
+        out.append(np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])], dtype=np.uint64))
+    return np.concatenate(out)
+
+
+def simhash(text: bytes | None, shingle: int = 4, count: int = 1, seed: int = 42, once: bool = False) -> np.ndarray:
+    """``count`` 64-bit fingerprints of one whole text; no words: zeros. ``once``: repeated shingles count once."""
+    h = shingles(text, shingle, seed)
+    h = np.unique(h) if once else h
+    if not len(h):
+        return np.zeros(count, dtype=np.uint64)
+    ones = np.zeros(64 * count, dtype=np.int64)
+    for low in range(0, len(h), 255):  # 255 counts fit into the byte lanes
+        lanes = _SPREAD[_mixed(h[low : low + 255], count).view(np.uint8).reshape(-1, 8 * count)]
+        ones += lanes.sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
-def signatures(docs: DataFrame, shingle: int = 4, count: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = 4, count: int = 1, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
     """(doc_id, sigs array<long>): ``count`` fingerprints of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [simhash(t.as_py(), shingle, count).view(np.int64) for t in batch.column(1)]
+            rows = [simhash(t.as_py(), shingle, count, once=once).view(np.int64) for t in batch.column(1)]
             flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * count)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "sigs"])
@@ -113,10 +124,20 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def _tree_links(fp: np.ndarray, distance: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+def _within(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Whether rows a and b of whole signatures differ in ``limit`` bits or fewer."""
+    out = np.zeros(len(a), dtype=bool)
+    for at in range(0, len(a), 1 << 16):
+        cut_at = slice(at, at + (1 << 16))
+        out[cut_at] = np.bitwise_count(sigs[a[cut_at]] ^ sigs[b[cut_at]]).sum(axis=1, dtype=np.int64) <= limit
+    return out
+
+
+def _tree_links(fp: np.ndarray, distance: int, spanning: bool, sigs: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links among many fingerprints, by the Gray-order tree."""
     order = np.argsort(_gray(fp), kind="stable")
     x, n = fp[order], len(fp)
+    whole = None if sigs is None else sigs[order]
     every, some = [], []
     pad = -n % LEAF
     y = np.concatenate((x, np.repeat(x[-1:], pad))).reshape(-1, LEAF)
@@ -161,6 +182,17 @@ def _tree_links(fp: np.ndarray, distance: int, spanning: bool) -> tuple[np.ndarr
         i2, j2, d = a[p] * LEAF + lane[i], b[p] * LEAF + lane[j], d[p, i, j].astype(np.int64)
         ok = (i2 < j2) & (j2 < n)
         i2, j2, d = i2[ok], j2[ok], d[ok]
+        if whole is not None:  # in slices: what one joins, the next need not compare
+            for at in range(0, len(i2), 1 << 16):
+                i3, j3 = i2[at : at + (1 << 16)], j2[at : at + (1 << 16)]
+                far = label[i3] != label[j3] if spanning else np.ones(len(i3), dtype=bool)
+                i3, j3, d3 = i3[far], j3[far], d[at : at + (1 << 16)][far]
+                ok = _within(whole, i3, j3, limit)
+                keep(i3[ok], j3[ok], d3[ok])
+        else:
+            keep(i2, j2, d)
+
+    def keep(i2: np.ndarray, j2: np.ndarray, d: np.ndarray) -> None:
         if spanning:
             _merge(label, i2, j2)
         else:
@@ -180,7 +212,9 @@ def _tree_links(fp: np.ndarray, distance: int, spanning: bool) -> tuple[np.ndarr
     return order[a], order[b]
 
 
-def _small_links(fp: np.ndarray, starts: np.ndarray, size: int, distance: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+def _small_links(
+    fp: np.ndarray, starts: np.ndarray, size: int, distance: int, spanning: bool, sigs: np.ndarray | None = None, limit: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """Links in many groups of one small size, all at once; starts: of the groups."""
     out_a, out_b = [], []
     step = max(1, (1 << 21) // (size * size))
@@ -189,6 +223,12 @@ def _small_links(fp: np.ndarray, starts: np.ndarray, size: int, distance: int, s
         x = fp[idx]
         d = np.bitwise_count(x[:, :, None] ^ x[:, None, :])
         link = d <= distance
+        if sigs is not None:
+            g, i, j = np.nonzero(np.triu(link, 1))
+            ok = _within(sigs, idx[g, i], idx[g, j], limit)
+            g, i, j = g[ok], i[ok], j[ok]
+            link = np.broadcast_to(np.eye(size, dtype=bool), link.shape).copy()
+            link[g, i, j] = link[g, j, i] = True
         if not (link.sum() > link.shape[0] * size):
             continue
         if spanning:
@@ -214,24 +254,27 @@ def _small_links(fp: np.ndarray, starts: np.ndarray, size: int, distance: int, s
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _links(group: np.ndarray, fp: np.ndarray, distance: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+def _links(
+    group: np.ndarray, fp: np.ndarray, distance: int, spanning: bool, sigs: np.ndarray | None = None, limit: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """Links within each group; rows of a group are adjacent."""
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((cuts, [len(group)])))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for size in np.unique(sizes[(sizes > 1) & (sizes <= 2 * LEAF)]).tolist():
-        i, j = _small_links(fp, cuts[sizes == size], size, distance, spanning)
+        i, j = _small_links(fp, cuts[sizes == size], size, distance, spanning, sigs, limit)
         a.append(i)
         b.append(j)
     for at in np.flatnonzero(sizes > 2 * LEAF).tolist():
-        i, j = _tree_links(fp[cuts[at] : cuts[at] + sizes[at]], distance, spanning)
+        own = slice(cuts[at], cuts[at] + sizes[at])
+        i, j = _tree_links(fp[own], distance, spanning, None if sigs is None else sigs[own], limit)
         a.append(i + cuts[at])
         b.append(j + cuts[at])
     return np.concatenate(a), np.concatenate(b)
 
 
 def near_links(
-    points: DataFrame, distance: int = 4, agree: int = 1, spanning: bool = True, group_rows: int = 20_000, tables: bool = False, blocks: int | None = None
+    points: DataFrame, distance: int = 4, agree: int = 1, spanning: bool = True, group_rows: int = 20_000, tables: bool = False, blocks: int | None = None, limit: int | None = None
 ) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints differ in ``distance`` bits or fewer.
 
@@ -241,12 +284,15 @@ def near_links(
     ``points``: (node long, fp long), and (tab int) if ``tables``: points of different tab never meet.
     ``spanning``: a forest with the components of all links; else real links, each
     node's nearest and first in every group. ``group_rows`` sets where a key is cut
-    into runs of the Gray order; results don't depend on it.
+    into runs of the Gray order; results don't depend on it. ``limit``: points have (sig binary)
+    too, and a link stands only if the whole sig differs in that many bits or fewer. It is looked
+    at inside the group, before the forest is made, so no pair is left out for another.
     """
     keys = [F.struct(F.lit(i).alias("c"), _key(F.col("fp"), cut_at).alias("v")) for i, cut_at in enumerate(_blocks(blocks or distance + agree, agree))]
     tab = F.col("tab") if tables else F.lit(0)
-    rows = points.select(tab.cast("int").alias("tab"), "node", "fp", F.explode(F.array(*keys)).alias("k")).select(
-        "tab", F.col("k.c").alias("c"), F.col("k.v").alias("v"), "node", "fp"
+    own = ["node", "fp"] if limit is None else ["node", "fp", "sig"]
+    rows = points.select(tab.cast("int").alias("tab"), *own, F.explode(F.array(*keys)).alias("k")).select(
+        "tab", F.col("k.c").alias("c"), F.col("k.v").alias("v"), *own
     )
     key = ["tab", "c", "v"]
     hot = cut(rows.groupBy(*key).count().where(F.col("count") > group_rows))
@@ -271,7 +317,7 @@ def near_links(
         ends = pairs.select(*key, "p", "q", F.col("p").alias("run")).union(
             pairs.where("p < q").select(*key, "p", "q", F.col("q").alias("run"))
         )
-        split = split.join(ends, [*key, "run"]).select("tab", "c", "v", "node", "fp", "p", "q")
+        split = split.join(ends, [*key, "run"]).select("tab", "c", "v", *own, "p", "q")
         work = rows.join(hot.select(*key), key, "left_anti").withColumns({"p": flat, "q": flat}).unionByName(split)
 
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,12 +332,13 @@ def near_links(
             c = c[order]
             new[1:] |= c[1:] != c[:-1]
         node = f["node"].to_numpy()[order]
-        a, b = _links(np.cumsum(new), f["fp"].to_numpy()[order].view(np.uint64), distance, spanning)
+        sigs = None if limit is None else np.frombuffer(b"".join(f["sig"]), dtype=np.uint64).reshape(len(f), -1)[order]
+        a, b = _links(np.cumsum(new), f["fp"].to_numpy()[order].view(np.uint64), distance, spanning, sigs, limit or 0)
         a, b = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
         yield pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
 
     # Each task holds the rows of its keys: a million or so of 40 bytes
-    return work.select(*key, "p", "q", "node", "fp").repartition("tab", "c", "v", "p", "q").mapInPandas(join, "a long, b long")
+    return work.select(*key, "p", "q", *own).repartition("tab", "c", "v", "p", "q").mapInPandas(join, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, group_rows: int = 20_000, agree: int = 1) -> DataFrame:
@@ -321,6 +368,23 @@ def similarity_bits(similarity: float, bits: int) -> int:
     return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
 
 
+def _whole_links(nodes: DataFrame, count: int, distance: int, blocks: int, limit: int, group_rows: int, at_once: int = 4) -> DataFrame:
+    """Links (a, b): a forest with the components of all candidates of ``nodes`` (node, sigs) within ``limit``.
+
+    Every key carries the whole signature, so ``at_once`` fingerprints are tried at a time, which bounds the disk.
+    """
+    spark = nodes.sparkSession
+    whole = F.unhex(F.array_join(F.transform("sigs", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    points = nodes.select("node", F.posexplode("sigs").alias("tab", "fp"), whole.alias("sig"))
+    out = None
+    for low in range(0, count, at_once):
+        some = points.where(F.col("tab").between(low, low + at_once - 1))
+        links = cut(near_links(some, distance, 1, True, group_rows, tables=True, blocks=blocks, limit=limit).distinct())
+        release(spark)
+        out = links if out is None else out.unionByName(links)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, count: int = 16, distance: int = 14, blocks: int = 4, group_rows: int = 20_000, slack: int = 10
 ) -> DataFrame:
@@ -329,7 +393,7 @@ def near_duplicates(
     Texts of ``similarity`` or more on ``shingle``-word shingles differ in some 15 % of
     their bits, too many for a short fingerprint; so ``count`` independent ones of 64
     bits are made, a pair within ``distance`` on any of them that agrees on one of
-    its ``blocks`` is a candidate (99 % of the pairs at 0.8, more above), and it stands if all
+    its ``blocks`` is a candidate, compared in the same task (99 % of the pairs at 0.8, more above), and it stands if all
     ``64 * count`` bits say that the similarity is reached (``slack`` bits in favour of
     linking, the spread of that estimate). Blank and null texts and rows without doc_id
     are left alone.
@@ -338,11 +402,7 @@ def near_duplicates(
     sig = cut(signatures(rows, shingle, count))
     same = sig.groupBy("sigs").agg(F.min("doc_id").alias("node"))
     nodes = cut(same)
-    points = nodes.select("node", F.posexplode("sigs").alias("tab", "fp"))
-    links = near_links(points, distance, 1, False, group_rows, tables=True, blocks=blocks).distinct()
-    one, two = (nodes.select(F.col("node").alias(n), F.col("sigs").alias(f"s{n}")) for n in "ab")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     limit = similarity_bits(similarity, 64 * count) + slack
-    roots = components(links.join(one, "a").join(two, "b").where(differ <= limit).select("a", "b"))
+    roots = components(_whole_links(nodes, count, distance, blocks, limit, group_rows))
     of = nodes.join(roots, "node", "left").select("sigs", F.coalesce("root", "node").alias("rep_id"))
     return sig.join(of, "sigs").where("doc_id <> rep_id").select("doc_id", "rep_id")

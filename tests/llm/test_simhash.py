@@ -90,6 +90,32 @@ def test_links_of_a_hot_group(spark, cap):
     assert all(bin(fps[r.a] ^ fps[r.b]).count("1") <= 4 for r in real)
 
 
+@pytest.mark.parametrize("cap", [300, 20_000])
+def test_links_hold_on_the_whole_signature(spark, cap):
+    """Many texts share a template: a near copy is found among all that are almost near."""
+    rng = np.random.default_rng(5)
+    base, n, limit = rng.integers(0, 2, 1024, dtype=np.uint8), 1200, 150
+
+    def flip(x, rate):
+        return x ^ (rng.random(1024) < rate).astype(np.uint8)
+
+    bits = [flip(base, 0.104) for _ in range(n)]
+    for i in range(0, n, 12):
+        bits[i + 1] = flip(bits[i], 0.13)
+    sigs = np.packbits(np.array(bits), axis=1, bitorder="little").view(np.uint64)
+    rows = [(i, t, int(f), s.tobytes()) for i, s in enumerate(sigs) for t, f in enumerate(s.view(np.int64))]
+    points = spark.createDataFrame(rows, "node long, tab int, fp long, sig binary")
+    got = {r.node: r.root for r in components(near_links(points, 14, group_rows=cap, tables=True, blocks=4, limit=limit)).collect()}
+    a, b = np.triu_indices(n, 1)
+    each = sigs[a] ^ sigs[b]
+    met = np.bitwise_count(each) <= 14
+    met &= np.any([(each >> np.uint64(s)) & np.uint64(0xFFFF) == 0 for s in (0, 16, 32, 48)], axis=0)
+    ok = met.any(axis=1) & (np.bitwise_count(each).sum(axis=1) <= limit)
+    pairs = list(zip(a[ok].tolist(), b[ok].tolist()))
+    want = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert len(pairs) > 80 and got == want
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(3)
     rows, want = [], set()
