@@ -385,24 +385,98 @@ def _whole_links(nodes: DataFrame, count: int, distance: int, blocks: int, limit
     return out
 
 
+def _jaccard_links(sets: list[np.ndarray], sides: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components of all pairs of sets (sorted, distinct) of ``similarity`` or more.
+
+    ``sides``: 0 or 1 of each set; where both occur, only pairs of different sides are compared.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(flat.max(initial=-1) + 1, dtype=bool)
+    label, at, two = np.arange(len(sets)), np.arange(len(sets)), bool((sides != sides[0]).any())
+    for i in np.flatnonzero(sides == 0) if two else at:
+        fit = (sizes >= similarity * sizes[i] - 1e-6) & (similarity * sizes <= sizes[i] + 1e-6)
+        j = np.flatnonzero(fit & (label != label[i]) & (sides == 1 if two else at > i))
+        if not len(j):
+            continue
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        for low in range(0, len(j), 2000):
+            k = j[low : low + 2000]
+            first = np.cumsum(sizes[k]) - sizes[k]
+            items = flat[np.arange(sizes[k].sum()) + np.repeat(ends[k] - sizes[k] - first, sizes[k])]
+            common = np.add.reduceat(mark[items], first, dtype=np.int64)
+            k = k[common >= similarity * (sizes[i] + sizes[k] - common) - 1e-6]
+            _merge(label, np.full(len(k), i), k)
+        mark[own] = False
+    far = label != at
+    return at[far], label[far]
+
+
+def _verified_links(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, most_broadcast: int, block_shingles: int) -> DataFrame:
+    """Links (a, b): a forest with the components of all pairs of one group whose texts have the Jaccard similarity.
+
+    ``groups``: (node, root). The documents of a group are dealt to blocks of some ``block_shingles``
+    distinct shingles and all pairs of blocks are compared, each in a task.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("t"))
+    if groups.count() <= most_broadcast:  # 8 bytes each: saves shuffling all texts
+        ids = spark.sparkContext.broadcast(np.sort(groups.select("node").toArrow().column(0).to_numpy()))
+    else:
+        ids, rows = None, rows.join(groups.select("node"), "node", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if ids is not None:
+                own = b.column(0).to_pandas().to_numpy(dtype=np.int64)
+                at = np.minimum(np.searchsorted(ids.value, own), max(len(ids.value) - 1, 0))
+                b = b.filter(pa.array(ids.value[at] == own if len(ids.value) else np.zeros(len(own), bool)))
+            got = [np.unique(shingles(t.as_py(), shingle)) for t in b.column(1)]
+            cols = [b.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "n", "items"])
+
+    rows = cut(rows.mapInArrow(sets, "node long, n long, items binary").where("n > 0").join(groups, "node"))
+    parts = rows.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).alias("parts"))
+    rows = rows.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    rows = rows.select("root", "node", "items", "own", other)
+    rows = rows.select("root", "node", "items", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        node, side = f["node"].to_numpy(), f["side"].to_numpy()
+        a, b = _jaccard_links([np.frombuffer(x, dtype=np.uint64) for x in f["items"]], side, similarity)
+        a, b = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+        return pd.DataFrame({"a": a, "b": b})[a != b]
+
+    return rows.groupBy("root", "p", "q").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, count: int = 16, distance: int = 14, blocks: int = 4, group_rows: int = 20_000, slack: int = 10
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, count: int = 16, distance: int = 14, blocks: int = 4, group_rows: int = 20_000, spreads: float = 4,
+    most_broadcast: int = 5_000_000, block_shingles: int = 1 << 20,
 ) -> DataFrame:
     """(doc_id, rep_id) of the documents that repeat another: all of a group but its smallest doc_id.
 
-    Texts of ``similarity`` or more on ``shingle``-word shingles differ in some 15 % of
-    their bits, too many for a short fingerprint; so ``count`` independent ones of 64
-    bits are made, a pair within ``distance`` on any of them that agrees on one of
-    its ``blocks`` is a candidate, compared in the same task (99 % of the pairs at 0.8, more above), and it stands if all
-    ``64 * count`` bits say that the similarity is reached (``slack`` bits in favour of
-    linking, the spread of that estimate). Blank and null texts and rows without doc_id
-    are left alone.
+    Documents go with those of ``similarity`` or more: the Jaccard similarity of their sets of
+    ``shingle``-word shingles, and what such pairs link. Texts at 0.8 differ in some 15 % of their
+    bits, too many for a short fingerprint; so ``count`` independent ones of 64 bits are made of
+    the sets. A pair within ``distance`` on any of them that agrees on one of its ``blocks``, and
+    on all bits within ``spreads`` standard deviations of what the similarity has on average, is a
+    candidate. All pairs of a component of candidates are then compared on the sets themselves.
+    The work of that grows with the square of a component of texts that are nearly near (from 0.72).
+    Texts with the same bits throughout count as one. Blank and null texts and rows without
+    doc_id are left alone.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    sig = cut(signatures(rows, shingle, count))
+    sig = cut(signatures(rows, shingle, count, once=True))
     same = sig.groupBy("sigs").agg(F.min("doc_id").alias("node"))
     nodes = cut(same)
-    limit = similarity_bits(similarity, 64 * count) + slack
-    roots = components(_whole_links(nodes, count, distance, blocks, limit, group_rows))
+    mean = similarity_bits(similarity, 64 * count)
+    limit = mean + round(spreads * float(np.sqrt(mean * (1 - mean / (64 * count)))))
+    loose = components(_whole_links(nodes, count, distance, blocks, limit, group_rows))
+    groups = cut(loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct())
+    roots = components(_verified_links(rows, groups, shingle, similarity, most_broadcast, block_shingles))
     of = nodes.join(roots, "node", "left").select("sigs", F.coalesce("root", "node").alias("rep_id"))
     return sig.join(of, "sigs").where("doc_id <> rep_id").select("doc_id", "rep_id")

@@ -134,6 +134,28 @@ def test_near_duplicates(spark):
     assert all(r == d - 1 for d, r in got.items())
 
 
+@pytest.mark.parametrize("block", [1 << 20, 9000])
+def test_near_duplicates_by_exact_similarity(spark, block):
+    """Pairs just above and below 0.8 in texts that share a template: none below goes, those above do."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(240)]
+    rows = []
+    for g in range(150):
+        extra = [f"u{g}-{i}" for i in range(60)]
+        k = 28 if g % 2 else 33  # own last words of each: Jaccard (296 - k) / (296 + k) = 0.827 or 0.799
+        rows.append((2 * g, " ".join(passage + extra)))
+        rows.append((2 * g + 1, " ".join(passage + extra[:-k] + [f"x{g}-{i}" for i in range(k)])))
+    rows.append((5000, "same words " * 500 + "and then some"))
+    rows.append((5001, "same words " * 500 + " ".join(f"z{i}" for i in range(40))))  # most shingles repeat, few are shared
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])) for i in range(0, 300, 2)]
+    assert {round(x, 3) for x in near} == {0.827, 0.799}
+    want = {2 * g + 1: 2 * g for g in range(150) if near[g] >= 0.8}
+    assert len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.7
+    got = {r.doc_id: r.rep_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_shingles=block).collect()}
+    assert got.items() <= want.items() and len(got) >= 73
+
+
 def test_components_chain(spark):
     edges = spark.range(1, 500).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     got = components(edges).collect()
