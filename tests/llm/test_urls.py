@@ -79,3 +79,47 @@ def test_scores_against_counts_by_hand():
     t = b"abz"
     want = sum(np.log(prob(1, t[:i], t[i])) - np.log(prob(0, t[:i], t[i])) for i in range(3)) / 3
     assert abs(m.scores([t, b""])[0] - want) < 1e-5
+
+
+def test_counts_stay_exact_with_many_grams(spark):
+    """Two million grams and more: each order's probability is that of a count in a dict."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(bytes(range(33, 127)).replace(b"/", b"").replace(b"?", b"").replace(b"#", b""), dtype=np.uint8)
+    paths = [letters[rng.integers(0, len(letters), 250)].tobytes().decode() for _ in range(4000)]
+    rows = [(i, ("http://org/" if i % 2 else "http://com/de/") + p) for i, p in enumerate(paths)] + [(5000 + i, f"http://q.net/{p[:60]}") for i, p in enumerate(paths[:40])]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    got = {r.page_id: r for r in judged_urls(df, block_bytes=200_000).collect()}
+    assert len(got) == len(rows)
+    held = {r.page_id for r in df.selectExpr("page_id", "pmod(xxhash64(page_id), 5) = 0 AS h").where("h").collect()}
+    n, kinds = {}, {}
+    for i, u in rows[:4000]:
+        if i not in held:
+            t = b"\0" * 5 + u.split("://")[1].encode()
+            for at in range(5, len(t)):
+                for o in range(6):
+                    g = (i % 2, t[at - o : at + 1])
+                    n[g] = n.get(g, 0) + 1
+                    if n[g] == 1:
+                        kinds[g[0], o, g[1][:-1]] = kinds.get((g[0], o, g[1][:-1]), 0) + 1
+    total = {}
+    for (c, g), k in n.items():
+        total[c, len(g), g[:-1]] = total.get((c, len(g), g[:-1]), 0) + k
+    assert len(n) > 2_000_000
+
+    def log(c, t):
+        out = 0.0
+        t = b"\0" * 5 + t
+        for at in range(5, len(t)):
+            p = 1 / 256
+            for o in range(6):
+                x = t[at - o : at]
+                if (c, o + 1, x) in total:
+                    p = (n.get((c, t[at - o : at + 1]), 0) + kinds[c, o, x] * p) / (total[c, o + 1, x] + kinds[c, o, x])
+            out += np.log(p)
+        return out
+
+    for i, u in rows[4000:]:
+        t = u.split("://")[1].encode()
+        assert abs(got[i].score - (log(1, t) - log(0, t)) / len(t)) < 1e-9
+        if i - 5000 not in held:  # its grams were counted
+            assert (i % 2 == 1) == (got[i].score > 0) and got[i].verdict == ("allow" if i % 2 else "block")
