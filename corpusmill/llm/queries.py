@@ -49,7 +49,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = units.repeated_units(read_table(spark, sf_dir, "documents"))
+    out = units.repeated_passages(read_table(spark, sf_dir, "documents"))
     spans = F.transform("removed", lambda r: F.concat(r["start"], F.lit("-"), r["end"], F.lit("@"), r["first_doc_id"]))
     kept = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     return out.select("doc_id", F.col("n_units").cast("long").alias("n_units"), F.col("n_removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"), kept.alias("kept_md5"))
