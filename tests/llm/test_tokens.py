@@ -64,3 +64,34 @@ def test_one_document_alone(spark):
             want = LIB.encode(rows[shard["doc_ids"][k]][1], add_special_tokens=False).ids + [END]
             assert decode_document(shard, k).tolist() == want
     assert read_tokens(spark, path).selectExpr("sum(n_symbols) < sum(n_tokens) / 3").first()[0]
+
+
+def test_other_vocabulary():
+    """A vocabulary whose pieces don't begin at spaces gets whole texts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), Encoder(path)
+    assert not own.parted and OWN.parted
+    texts = ["Some words,  and more.", "", None, "a<|endoftext|>b c\n d", "déjà vu " * 50]
+    assert [x.tolist() for x in own.encode(texts)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzÀßøŁжЯω日ǅ'é "), max_size=12), max_size=6))
+def test_words_by_the_model(words):
+    t = " ".join(words)
+    assert Encoder.encode(OWN, [t])[0].tolist() == LIB.encode(t, add_special_tokens=False).ids
+
+
+def test_repair_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    seq = np.concatenate([np.tile(rng.integers(0, 9, 40), 50), np.zeros(3000, np.int64), rng.integers(0, 3, 4000)])
+    rules, body, _ = repair(seq, np.array([len(seq)]), least=4)
+    assert expand(rules, body).tolist() == seq.tolist()
+    pairs = {}
+    at = -2
+    for i, p in enumerate(zip(body.tolist(), body.tolist()[1:])):
+        if p[0] == p[1] and i == at + 1 and body[i] == body[i - 1]:
+            continue  # overlaps the one before
+        at = i
+        pairs[p] = pairs.get(p, 0) + 1
+    assert sum(n >= 8 for n in pairs.values()) == 0 and len(body) < len(seq) / 3
