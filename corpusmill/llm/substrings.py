@@ -1,15 +1,21 @@
 """Substring dedup: bytes covered by a string of ``length`` bytes that also starts in an earlier document.
 
-A suffix array restricted to what can repeat, built bucket by bucket. Positions of a
-difference cover (mod 31) are sampled in every document: two equal strings of 50 bytes
-always have a sampled position at the same distance from their starts. So first only
-the samples are ranked: a 20-byte string at a sampled position that occurs in one
-document only rules out all suffixes that meet it. The suffixes that remain
-go to buckets by their prefix's hash, one bucket a task; there equal ones are brought
-together and the least document of each is found. Whole documents that repeat an earlier
-one are told by their digest and send no suffixes. Suffixes are compared by 64-bit hashes
-of their first bytes. Between tasks go sorted, packed arrays of distinct keys, and one bit
-for each key back; texts stay in compressed blocks.
+A suffix array restricted to what can repeat, built bucket by bucket. Documents are sorted by
+doc_id and written once, in blocks. Positions of a difference cover (mod 31) are sampled
+in every document: two equal strings of 50 bytes always have a sampled position at the same
+distance from their starts. So first only the samples are ranked: suffixes that meet no
+20-byte string that several documents have at a sampled position can't repeat. Those that remain
+go to buckets by their key's leading bits, one bucket a task, where equal ones are brought
+together by sorting and the earliest block of each is found. Whole documents that repeat an earlier
+one are told by their digest and send no suffixes.
+
+A suffix is compared by a key of its first ``length`` bytes: 64 bits of a polynomial hash and as many
+bits of a second one as the bucket's number takes from the first, so keys have 64 bits besides the
+bucket. n different strings have about n^2 / 2^65 / buckets pairs of equal keys.
+
+Between tasks go sorted, packed arrays of a block's distinct keys for a bucket, and one bit for each key
+back. As blocks hold ascending doc_ids, no document is sent with a key. Blocks and buckets both grow
+with the square root of the input, so that such an array never gets short.
 """
 
 from __future__ import annotations
@@ -25,12 +31,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, release
+from .common import cut, release, scratch_path
 
 #: A perfect difference cover: every distance mod 31 is the difference of two of these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
+_STEP = 1 << 19  # positions hashed at a time: such arrays stay in a core's cache
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,256 +49,313 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+def _mixed(h: np.ndarray, odd: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(odd)
     return h ^ (h >> np.uint64(32))
 
 
+def _firsts(*cols: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    new = np.ones(len(cols[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return np.flatnonzero(new)
+
+
 class Block:
-    """Some documents' bytes, one after the other, and rolling hashes over them."""
+    """Some documents' bytes in the order of their ids, and rolling hashes over them."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes]):
-        self.ids = np.array([-1 if i is None else i for i in ids], dtype=np.int64)
-        self.known = np.array([i is not None for i in ids], dtype=bool)
-        self.text = b"".join(texts)
-        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    def __init__(self, ids: bytes, sizes: bytes, payload: bytes):
+        self.ids = np.frombuffer(ids, dtype="<i8")[::2]
+        self.known = np.frombuffer(ids, dtype="<i8")[1::2] > 0
+        self.sizes = np.frombuffer(sizes, dtype="<i8")
+        self.text = zstandard.decompress(payload)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.copy = np.zeros(len(texts), dtype=bool)  # of an earlier document, as a whole
-        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
-        self.at = (np.arange(len(self.text)) - self.starts[self.doc]).astype(np.int32)
-        self.digests = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], dtype=np.uint64)
+        self.copy = np.zeros(len(self.ids), dtype=bool)  # of an earlier document, as a whole
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         up, self.down = _powers(len(self.text) + 1)
-        x = np.frombuffer(self.text, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(x * up[: len(x)])))
-
-    def hashes(self, where: np.ndarray, length: int) -> np.ndarray:
-        return _mixed((self.sums[where + length] - self.sums[where]) * self.down[where])
-
-    def starts_of(self, length: int) -> np.ndarray:
-        """Whether a string of this length starts there, in a document with an id."""
-        last = np.where(self.known & ~self.copy, self.sizes - length, -1).astype(np.int32)
-        return self.at <= last[self.doc]
+        self.sums = np.zeros(len(self.text) + 1, dtype=np.uint64)
+        data = np.frombuffer(self.text, dtype=np.uint8)
+        for at in range(0, len(data), _STEP):
+            x = data[at : at + _STEP].astype(np.uint64) + np.uint64(1)
+            x *= up[at : at + len(x)]
+            np.add.accumulate(x, out=x)
+            np.add(x, self.sums[at], out=self.sums[at + 1 : at + 1 + len(x)])
+
+    def sums_of(self, where: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[where + length] - self.sums[where]) * self.down[where]
+
+    def digests(self) -> np.ndarray:
+        """128 bits of each document, as two columns."""
+        ends = self.starts + self.sizes
+        return np.frombuffer(b"".join(xxhash.xxh3_128_digest(self.text[a:b]) for a, b in zip(self.starts.tolist(), ends.tolist())), dtype="<u8").reshape(-1, 2)
+
+    def starting(self, length: int) -> np.ndarray:
+        """Whether a string of this length starts there, in a document that has an id and is no copy."""
+        ok = np.zeros(len(self.text) + 1, dtype=np.int8)
+        own = np.flatnonzero(self.known & ~self.copy & (self.sizes >= length))
+        ok[self.starts[own]] = 1
+        ok[self.starts[own] + self.sizes[own] - length + 1] -= 1
+        return np.cumsum(ok, dtype=np.int8)[:-1].view(bool)
 
     def samples(self, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(sampled positions, key of the string there)."""
-        take = np.zeros(PERIOD, dtype=bool)
-        take[list(COVER)] = True
-        where = np.flatnonzero(self.starts_of(length) & take[self.at % PERIOD])
-        where = where[self.sizes[self.doc[where]] >= length + PERIOD - 1]
-        return where, self.hashes(where, length) >> np.uint64(64 - bits)
+        own = np.flatnonzero(self.known & ~self.copy & (self.sizes >= length + PERIOD - 1))
+        turns = (self.sizes[own] - length) // PERIOD + 1
+        base = np.repeat(self.starts[own], turns) + PERIOD * (np.arange(turns.sum()) - np.repeat(np.cumsum(turns) - turns, turns))
+        where = (base[:, None] + np.array(COVER)).ravel()
+        where = where[where <= np.repeat(self.starts[own] + self.sizes[own] - length, turns * len(COVER))]
+        return where, _mixed(self.sums_of(where, length)) >> np.uint64(64 - bits)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted or small integers as compressed differences, byte planes apart."""
-    d = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
-    return zstandard.compress(np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Sorted integers as compressed differences, byte planes apart."""
+    d = np.diff(x, prepend=np.uint64(0))
+    width = -(-int(d.max(initial=1)).bit_length() // 8) or 1  # bytes that the largest difference needs
+    planes = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(b), dtype=np.uint8).reshape(8, -1)
-    return np.add.accumulate(np.ascontiguousarray(planes.T).view("<u8")[:, 0])
-
+    width = b[0]
+    planes = np.frombuffer(zstandard.decompress(b[1:]), dtype=np.uint8).reshape(width, -1)
+    full = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    full[:, :width] = planes.T
+    return np.add.accumulate(full.view("<u8")[:, 0])
 
-def _read(ids: bytes, payload: bytes) -> Block:
-    import pickle
 
-    got = pickle.loads(ids)
-    raw = zstandard.decompress(payload)
-    ends = np.cumsum([n for _, n in got]).tolist()
-    return Block([i for i, _ in got], [raw[e - n : e] for e, (_, n) in zip(ends, got)])
+def _pack_bits(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.packbits(x).tobytes(), 1)
 
 
-def _slices(keys: np.ndarray, shards: int, bits: int) -> list[tuple[int, int]]:
-    """Where each shard's keys lie in a sorted array: shards are ranges of the key's top bits."""
-    bounds = np.searchsorted(keys, np.array([(i << bits) // shards for i in range(shards)], dtype=np.uint64))
-    return list(zip(bounds.tolist(), [*bounds[1:].tolist(), len(keys)]))
+def _unpack_bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(b), np.uint8), count=n).astype(bool)
 
 
-def _sample_request(block: Block, key_length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sample keys of a block, sorted, and whether two of its documents have them."""
-    where, key = block.samples(key_length, bits)
-    doc = block.doc[where].astype(np.uint64)
-    if bits <= 40 and len(block.ids) < 1 << 24:  # both in one number: a plain sort
-        both = np.unique(key << np.uint64(24) | doc)
-        key, doc = both >> np.uint64(24), both & np.uint64((1 << 24) - 1)
-    else:
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    if not len(first):
-        return key, np.zeros(0, bool)
-    last = np.concatenate((first[1:], [len(key)])) - 1
-    return key[first], doc[first] != doc[last]
+def _slices(keys: np.ndarray, shift: int, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of sorted keys; a key's bits from ``shift`` on are its shard."""
+    bounds = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) << np.uint64(shift)).tolist()
+    return [(s, a, b) for s, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(keys)])) if b > a]
 
 
-def _suffixes(block: Block, repeated: np.ndarray, keys: np.ndarray, length: int, key_length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the strings of ``length`` bytes that hold a repeated sample."""
+def _sample_request(block: Block, key_length: int, bits: int) -> tuple[np.ndarray, ...]:
+    """(distinct sample keys of a block, sorted; whether two of its documents have them; sampled positions; each one's place among the keys)."""
     where, key = block.samples(key_length, bits)
-    hit = where[repeated[np.searchsorted(keys, key)]] if len(key) else where
-    near = np.zeros(len(block.text) + 1, dtype=np.int32)
-    low = np.maximum(hit - (PERIOD - 1), block.starts[block.doc[hit]]) if len(hit) else hit
-    np.add.at(near, low, 1)
-    np.add.at(near, hit + 1, -1)
-    start = np.flatnonzero((np.cumsum(near)[:-1] > 0) & block.starts_of(length))
-    return start, block.hashes(start, length)
-
-
-def _least(block: Block, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, and the least doc_id of the block that has each."""
-    if not len(h):
-        return h, np.zeros(0, np.int64)
-    order = np.argsort(h)
-    h, ids = h[order], block.ids[block.doc[start]][order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[first], np.minimum.reduceat(ids, first)
-
-
-def _mark_copies(block: Block, replies: pd.DataFrame, shards: int, length: int) -> None:
-    """Notes the documents that as a whole repeat an earlier one."""
-    rows, of = _digest_rows(block, shards, length)
-    for s, bits in zip(*[replies.loc[replies["kind"] == "d", c] for c in ("shard", "bits")]):
-        own = rows[of == s]
-        block.copy[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-
-
-def _digest_rows(block: Block, shards: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents long enough to matter, and the shard of their digest."""
-    rows = np.flatnonzero(block.known & (block.sizes >= length))
-    return rows, (block.digests[rows] % np.uint64(shards)).astype(np.int64)
-
-
-def _bits_by_shard(replies: pd.DataFrame, kind: str, sizes: list[int]) -> np.ndarray:
-    """A block's reply bits in the order of its keys."""
-    got = {s: b for s, k, b in zip(replies["shard"], replies["kind"], replies["bits"]) if k == kind}
-    parts = [np.unpackbits(np.frombuffer(got[s], np.uint8), count=n).astype(bool) for s, n in enumerate(sizes) if n]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
-
-
-def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+    order = np.argsort(key)
+    key, doc = key[order], block.doc[where[order]]
+    first = _firsts(key)
+    if not len(first):
+        return key, np.zeros(0, bool), where, order
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(order)))
+    return key[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), where, place
+
+
+def _suffixes(block: Block, hit: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the strings of ``length`` bytes that hold a repeated sample; hit: where those are."""
+    near = np.zeros(len(block.text) + 1, dtype=np.int8)
+    low = np.maximum(hit - (PERIOD - 1), block.starts[block.doc[hit]])
+    last = np.flatnonzero(np.diff(hit, append=1 << 60) >= PERIOD)  # runs of hits that reach one another
+    first = np.concatenate((np.zeros(1, np.int64), last[:-1] + 1)) if len(last) else last
+    # of two runs, one may begin where the other's last window ends
+    near[low[first]] += 1
+    near[hit[last] + 1] -= 1
+    return np.flatnonzero((np.cumsum(near, dtype=np.int8)[:-1] > 0) & block.starting(length))
+
+
+def _keyed(block: Block, start: np.ndarray, length: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of suffixes, sorted: (leading word, key within its bucket); the suffixes in that order; where each key begins in it."""
+    half = length // 2
+    a, b = block.sums_of(start, half), block.sums_of(start + half, length - half)
+    lead = _mixed(a + b * np.uint64(pow(_BASE, half, 1 << 64)))
+    order = np.argsort(lead)
+    if not spare:
+        lead = lead[order]
+        first = _firsts(lead)
+        return lead[first], lead[first], order, first
+    more = _mixed(a * np.uint64(0xA0761D6478BD642F) + b * np.uint64(0xE7037ED1A0B428DB), 0x9FB21C651E98DF25)
+    within = lead << np.uint64(spare) | more >> np.uint64(64 - spare)
+    if len(order):
+        x, y = lead[order], within[order]
+        if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+            order = np.lexsort((within, lead))
+    lead, within = lead[order], within[order]
+    first = _firsts(lead, within)
+    return lead[first], within[first], order, first
+
+
+def _packed(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (doc_id, t) in ascending order. Of two blocks, either all ids of one are smaller or both hold the same id only."""
+    part, n, held, size, split = TaskContext.get().partitionId(), 0, [], 0, False
+    names = ["block", "low", "ids", "sizes", "payload"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+    def flush(rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+        nonlocal n
+        ids = np.array([(i or 0, i is not None) for i, _ in rows], dtype="<i8").tobytes()
+        low = min((i for i, _ in rows if i is not None), default=None)
+        out = (part << 32 | n, low, ids, np.array([len(t) for _, t in rows], dtype="<i8").tobytes(), zstandard.compress(b"".join(t for _, t in rows), 3))
+        n += 1
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], names)
+
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            if held and (i != held[-1][0] and split or size >= block_bytes):
+                same = 0
+                while i == held[-1][0] and same < len(held) and held[-1 - same][0] == i:
+                    same += 1
+                if same == len(held):  # one id alone goes on in the next block
+                    yield flush(held)
+                    held, size, split = [], 0, True
+                else:
+                    yield flush(held[: len(held) - same])
+                    held, split = held[len(held) - same :], False
+                    size = sum(len(x) for _, x in held)
+            held.append((i, t.as_py()))
+            size += len(held[-1][1])
+    if held:
+        yield flush(held)
+
+
+def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of ``length`` bytes over it
     also starts in a document with a smaller doc_id; what is removed still counts as input
     for others. ``spans``: (start, end) of the maximal removed runs. Rows of one doc_id don't remove
     each other's bytes, a row without doc_id neither loses nor causes any. A document
-    is never cut between blocks. Other columns are not looked at.
+    is never cut between blocks. Other columns are not looked at. Blocks and buckets take
+    ``block_bytes`` and ``shard_bytes`` of text; by default 4 and 16 MB, or so much that a block
+    has some hundred keys for each bucket: 6 MB at 50 GB, 300 MB at 100 TB. A task takes some
+    forty times as much memory.
     """
-    key_length = length - PERIOD + 1
+    spark, key_length = docs.sparkSession, length - PERIOD + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = int(min(4096, -(-total // shard_bytes) or 1))
+    root = int((1000 * total) ** 0.5)
+    block_bytes, shard_bytes = block_bytes or max(4 << 20, root), shard_bytes or max(16 << 20, root)
+    spare = max(0, -(-total // shard_bytes) - 1).bit_length()
+    shards = 1 << spare
     bits = int(min(64, np.ceil(np.log2(total + 2)) + 8))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush() -> pa.RecordBatch:
-            ids = pickle.dumps([(i, len(t)) for i, t in held])
-            cols = [pa.array([part << 32 | n]), pa.array([ids], pa.binary()), pa.array([zstandard.compress(b"".join(t for _, t in held), 3)], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["block", "ids", "payload"])
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                held.append((i, t.as_py()))
-                size += len(held[-1][1])
-                if size >= block_bytes:
-                    yield flush()
-                    n, held, size = n + 1, [], 0
-        if held:
-            yield flush()
-
-    packed = rows.mapInArrow(pack, "block long, ids binary, payload binary")
+    path = scratch_path(spark, "blocks")
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(
+        lambda batches: _packed(batches, block_bytes), "block long, low long, ids binary, sizes binary, payload binary"
+    ).write.option("compression", "none").parquet(path)
+    release(spark)
+    blocks = spark.read.parquet(path)
 
     def ask_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, ids, payload in zip(*[c.to_pylist() for c in b.columns]):
-                own = _read(ids, payload)
-                keys, twice = _sample_request(own, key_length, bits)
-                rows = [(s, block, "s", _pack(keys[lo:hi]), np.packbits(twice[lo:hi]).tobytes()) for s, (lo, hi) in enumerate(_slices(keys, shards, bits)) if hi > lo]
-                docs_at, of = _digest_rows(own, shards, length)
-                rows += [(s, block, "d", own.digests[docs_at[of == s]].tobytes(), own.ids[docs_at[of == s]].tobytes()) for s in np.unique(of).tolist()]
-                kinds = (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "block", "kind", "keys", "twice"])
+            for block, low, *packed in zip(*[c.to_pylist() for c in b.columns]):
+                own = Block(*packed)
+                keys, twice, _, _ = _sample_request(own, key_length, bits)
+                out = [(s, block, low, "s", _pack(keys[lo:hi]), np.packbits(twice[lo:hi]).tobytes()) for s, lo, hi in _slices(keys, bits - spare, shards)]
+                whole, at = own.digests(), np.flatnonzero(own.known & (own.sizes >= length))
+                of = (whole[at, 0] & np.uint64(shards - 1)).astype(np.int64)
+                out += [(s, block, low, "d", whole[at[of == s]].tobytes(), own.ids[at[of == s]].tobytes()) for s in np.unique(of).tolist()]
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "block", "low", "kind", "keys", "more"])
 
     def rank_samples(f: pd.DataFrame) -> pd.DataFrame:
         if f["kind"].iloc[0] == "d":
-            keys, ids = ([np.frombuffer(x, kind) for x in f[c]] for c, kind in (("keys", "<u8"), ("twice", "<i8")))
-            names, of = np.unique(np.concatenate(keys), return_inverse=True)
-            low = np.full(len(names), np.iinfo(np.int64).max)
-            np.minimum.at(low, of, np.concatenate(ids))
-            reply = [np.packbits(low[np.searchsorted(names, k)] < i).tobytes() for k, i in zip(keys, ids)]
-            return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "d", "bits": reply})
-        keys = [_unpack(k) for k in f["keys"]]
-        own = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool) for t, k in zip(f["twice"], keys)]
-        every = np.sort(np.concatenate([*keys, *[k[o] for k, o in zip(keys, own)]]))
-        often = np.unique(every[1:][every[1:] == every[:-1]])
-        reply = [np.packbits(_has(often, k)).tobytes() for k in keys]
-        return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "s", "bits": reply})
+            keys, ids = [np.frombuffer(x, "<u8").reshape(-1, 2) for x in f["keys"]], [np.frombuffer(x, "<i8") for x in f["more"]]
+            every, sizes = np.concatenate(keys), list(map(len, keys))
+            order = np.lexsort((every[:, 1], every[:, 0]))
+            first, own = _firsts(*every[order].T), np.concatenate(ids)
+            least = np.empty_like(own)
+            least[order] = np.repeat(np.minimum.reduceat(own[order], first), np.diff(first, append=len(order)))
+            reply = [_pack_bits(x) for x in np.split(least < own, np.cumsum(sizes)[:-1])]
+        else:
+            keys = [_unpack(k) for k in f["keys"]]
+            twice = [k[np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool)] for t, k in zip(f["more"], keys)]
+            every = np.sort(np.concatenate([*keys, *twice]))
+            often = np.unique(every[1:][every[1:] == every[:-1]])
+            reply = [_pack_bits(_has(often, k)) for k in keys]
+        return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": f["kind"], "bits": reply})
 
     answer = "block long, shard int, kind string, bits binary"
-    ranks = packed.mapInArrow(ask_samples, "shard int, block long, kind string, keys binary, twice binary")
+    ranks = blocks.mapInArrow(ask_samples, "shard int, block long, low long, kind string, keys binary, more binary")
     ranks = cut(ranks.groupBy("shard", "kind").applyInPandas(rank_samples, answer))
-    release(docs.sparkSession)
+    release(spark)
 
     def ask_suffixes(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for b, ids, payload in zip(own["block"], own["ids"], own["payload"]):
-            block = _read(ids, payload)
-            keys, _ = _sample_request(block, key_length, bits)
-            repeated = _bits_by_shard(replies, "s", [hi - lo for lo, hi in _slices(keys, shards, bits)])
-            _mark_copies(block, replies, shards, length)
-            h, least = _least(block, *_suffixes(block, repeated, keys, length, key_length, bits))
-            for s, (lo, hi) in enumerate(_slices(h, shards, 64)):
-                if hi > lo:
-                    names, of = np.unique(least[lo:hi], return_inverse=True)
-                    out.append((s, b, _pack(h[lo:hi]), names.astype("<i8").tobytes(), zstandard.compress(of.astype("<u4").tobytes(), 1)))
-        return pd.DataFrame(out, columns=["shard", "block", "keys", "names", "of"])
-
-    def least_document(f: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpack(k) for k in f["keys"]]
-        ids = [np.frombuffer(n, "<i8")[np.frombuffer(zstandard.decompress(o), "<u4")] for n, o in zip(f["names"], f["of"])]
+        got = {(k, s): b for k, s, b in zip(replies["kind"], replies["shard"], replies["bits"])}
+        for number, low, *packed in zip(*[own[c] for c in ("block", "low", "ids", "sizes", "payload")]):
+            block = Block(*packed)
+            keys, _, where, place = _sample_request(block, key_length, bits)
+            told = [_unpack_bits(got["s", s], hi - lo) for s, lo, hi in _slices(keys, bits - spare, shards)]
+            repeated = np.concatenate(told) if told else np.zeros(0, bool)
+            whole, at = block.digests(), np.flatnonzero(block.known & (block.sizes >= length))
+            of = (whole[at, 0] & np.uint64(shards - 1)).astype(np.int64)
+            for s in np.unique(of).tolist():
+                block.copy[at[of == s]] = _unpack_bits(got["d", s], int((of == s).sum()))
+            hit = where[repeated[place]]
+            start = _suffixes(block, hit[~block.copy[block.doc[hit]]], length)
+            lead, within, _, _ = _keyed(block, start, length, spare)
+            here = np.zeros(len(block.text), dtype=bool)
+            here[start] = True
+            out.append((number % shards, number, low, "c", _pack_bits(here), _pack_bits(block.copy)))
+            out += [(s, number, low, "w", _pack(within[lo:hi]), b"") for s, lo, hi in _slices(lead, 64 - spare, shards)]
+        return pd.DataFrame(out, columns=["shard", "block", "low", "kind", "keys", "more"]).astype({"low": "Int64"})
+
+    def least_block(f: pd.DataFrame) -> pd.DataFrame:
+        """Whether a block with smaller ids has the key. The state of blocks ("c") is handed on."""
+        if f["kind"].iloc[0] == "c":
+            both = [len(a).to_bytes(8, "little") + a + b for a, b in zip(f["keys"], f["more"])]
+            return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "c", "bits": both})
+        f = f.sort_values("low")
+        keys, low = [_unpack(k) for k in f["keys"]], f["low"].to_numpy(dtype=np.int64)
+        sizes = np.array(list(map(len, keys)))
         every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
-        low = np.minimum.reduceat(np.concatenate(ids)[order], first)
-        names = every[order][first]
-        reply = [np.packbits(low[np.searchsorted(names, k)] < i).tobytes() for k, i in zip(keys, ids)]
+        order = np.argsort(every, kind="stable")  # merges the sorted arrays; of equal keys the least block comes first
+        first = _firsts(every[order])
+        own = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
+        least = np.empty_like(own)
+        least[order] = np.repeat(own[order[first]], np.diff(first, append=len(order)))
+        reply = [_pack_bits(x) for x in np.split(low[least] < low[own], np.cumsum(sizes)[:-1])]
         return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "w", "bits": reply})
 
-    firsts = packed.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(ask_suffixes, "shard int, block long, keys binary, names binary, of binary")
-    firsts = cut(firsts.groupBy("shard").applyInPandas(least_document, answer))
-    release(docs.sparkSession)
+    asked = blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(ask_suffixes, "shard int, block long, low long, kind string, keys binary, more binary")
+    replies = cut(asked.groupBy("shard", "kind").applyInPandas(least_block, answer))
+    release(spark)
 
     def judge(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for ids, payload in zip(own["ids"], own["payload"]):
-            block = _read(ids, payload)
-            keys, _ = _sample_request(block, key_length, bits)
-            repeated = _bits_by_shard(replies, "s", [hi - lo for lo, hi in _slices(keys, shards, bits)])
-            _mark_copies(block, replies, shards, length)
-            start, h = _suffixes(block, repeated, keys, length, key_length, bits)
-            names, least = _least(block, start, h)
-            earlier = _bits_by_shard(replies, "w", [hi - lo for lo, hi in _slices(names, shards, 64)])
-            at = np.searchsorted(names, h)
-            gone = start[earlier[at] | (block.ids[block.doc[start]] > least[at])] if len(h) else start
-            edge = np.zeros(len(block.text) + 1, dtype=np.int32)
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + length, -1)
-            covered = np.cumsum(edge)[:-1] > 0
+        got = {(k, s if k == "w" else 0): b for k, s, b in zip(replies["kind"], replies["shard"], replies["bits"])}
+        for packed in zip(*[own[c] for c in ("ids", "sizes", "payload")]):
+            block = Block(*packed)
+            state = got["c", 0]
+            n = int.from_bytes(state[:8], "little")
+            block.copy = _unpack_bits(state[8 + n :], len(block.ids))
+            start = np.flatnonzero(_unpack_bits(state[8 : 8 + n], len(block.text)))
+            lead, _, order, first = _keyed(block, start, length, spare)
+            told = [_unpack_bits(got["w", s], hi - lo) for s, lo, hi in _slices(lead, 64 - spare, shards)]
+            earlier = np.concatenate(told) if told else np.zeros(0, bool)
+            doc, sizes = block.doc[start[order]], np.diff(first, append=len(order))
+            gone = np.zeros(len(start), dtype=bool)
+            if len(start):  # earlier in another block, or in this one
+                own = block.ids[np.minimum.reduceat(doc, first)]
+                gone[order] = np.repeat(earlier, sizes) | (block.ids[doc] > np.repeat(own, sizes))
+            gone = start[gone]
+            edge = np.zeros(len(block.text) + 1, dtype=np.int8)
+            last = np.flatnonzero(np.diff(gone, append=1 << 60) > length)  # strings that touch make one run
+            first = np.concatenate((np.zeros(1, np.int64), last[:-1] + 1)) if len(last) else last
+            edge[gone[first]] += 1
+            edge[gone[last] + length] -= 1
+            covered = np.cumsum(edge, dtype=np.int8)[:-1].view(bool)
             data = np.frombuffer(block.text, np.uint8)
             for i, (lo, n) in enumerate(zip(block.starts.tolist(), block.sizes.tolist())):
                 c = covered[lo : lo + n] | block.copy[i]
-                flips = np.flatnonzero(np.diff(np.concatenate(([False], c, [False])).astype(np.int8)))
-                spans = [{"start": int(a), "end": int(b)} for a, b in zip(flips[::2], flips[1::2])]
+                flips = np.flatnonzero(np.diff(np.concatenate(([False], c, [False])).view(np.int8)))
+                spans = [{"start": a, "end": b} for a, b in zip(flips[::2].tolist(), flips[1::2].tolist())]
                 kept = data[lo : lo + n][~c].tobytes() if spans else block.text[lo : lo + n]
                 out.append((int(block.ids[i]) if block.known[i] else None, n, int(c.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
         f = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
         return f.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>"
-    return packed.groupBy("block").cogroup(ranks.unionByName(firsts).groupBy("block")).applyInPandas(judge, schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(judge, schema)
 
 
 def _has(names: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -52,3 +52,15 @@ def test_against_all_strings(spark, sizes):
 
 def test_empty(spark):
     assert repeated_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_id_over_many_blocks(spark):
+    """Rows of one id fill several blocks and don't remove each other's bytes."""
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    shared = [text(90) for _ in range(4)]
+    rows = [(5, text(30) + shared[int(rng.integers(4))]) for _ in range(80)]
+    rows += [(d, shared[d % 4] + text(20)) for d in (1, 2, 6, 7, 8)] + [(9, "z" * 5000), (None, shared[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = repeated_substrings(df, block_bytes=700, shard_bytes=3000).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == slow(rows)
