@@ -1,17 +1,20 @@
-"""Benchmark decontamination: a BM25 index of the test items, queried by every training passage.
-
-The inverted index holds the impact of each (term, item), scaled so that an item's own
-text scores 1 against it. Items are laid out in blocks of ``BLOCK``; each term keeps
-the largest impact of each block. A passage skips the blocks whose summed maxima
-stay below the threshold (block-max WAND: no item of them can reach it) and scores the rest.
-What passes is verified on shingles of words, the question part and the answer part each.
+"""Benchmark decontamination: a BM25 inverted index of the test items, queried by every training passage.
+
+A term's postings are the items that have it, in order, with impacts scaled so that an item's own
+text scores 1 against it; they are cut into blocks of ``BLOCK`` items, each with its largest
+impact (block-max WAND). Of a passage's terms, those with the least maxima that together stay below the
+threshold can't bring an item over it: only the postings of the others (from the pivot on)
+say where items may lie. There, the passage's block maxima are summed, and only blocks that reach the
+threshold are scored, item by item. What passes is verified on shingles of words, the question part
+and the answer part each.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 K1, B, BLOCK = 1.2, 0.75, 16
-CELLS = 1 << 22  # of a table of impacts, passages' terms by blocks
+CELLS = 1 << 20  # block maxima looked up at a time
 _WORD = re.compile(r"\w+")
 
 
@@ -31,12 +34,17 @@ def shingles(words: list[str], k: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each range."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 class ItemIndex:
-    """BM25 impacts of a bounded set of items, in blocks, with block maxima."""
+    """BM25 postings of a bounded set of items, in blocks with their maxima. Takes some five times the items' text."""
 
     def __init__(self, items: list[tuple[int, str, str | None]], shingle: int = 5):
         """items: (item_id, text or question, answer or None: the text's second half)."""
-        self.ids, self.parts, bags = [], [], []
+        self.ids, self.words, self.shingle, bags = [], [], shingle, []
         for item_id, text, answer in sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or "")):
             q = words_of(text)
             a = words_of(answer) if answer is not None else q[len(q) // 2 :]
@@ -45,24 +53,45 @@ class ItemIndex:
             if not q and not a:
                 continue
             self.ids.append(item_id)
-            self.parts.append((shingles(q, shingle), shingles(a, shingle)))
-            bags.append(q + a if answer is not None else words_of(text))
-        n = len(bags)
-        mean = sum(map(len, bags)) / max(1, n)
-        tf: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-        for i, bag in enumerate(bags):
-            for w in bag:
-                tf[w][i] += 1
-        self.term = {w: t for t, w in enumerate(tf)}
-        self.span = max(map(len, bags), default=1)
-        width = -(-max(n, 1) // BLOCK) * BLOCK
-        impact = np.zeros((len(tf), width), dtype=np.float32)
-        for w, row in tf.items():
-            idf = np.log(1 + (n - len(row) + 0.5) / (len(row) + 0.5))
-            for i, c in row.items():
-                impact[self.term[w], i] = idf * c * (K1 + 1) / (c + K1 * (1 - B + B * len(bags[i]) / mean))
-        self.impact = impact / np.maximum(impact.sum(axis=0), 1e-9)
-        self.most = self.impact.reshape(len(tf), width // BLOCK, BLOCK).max(axis=2)
+            self.words.append((" ".join(q), " ".join(a)))
+            bags.append(Counter(q + a if answer is not None else words_of(text)))
+        self.term: dict[str, int] = {}
+        at = [(self.term.setdefault(w, len(self.term)), i, c) for i, bag in enumerate(bags) for w, c in bag.items()]
+        term, item, count = np.array(at, dtype=np.int64).reshape(-1, 3).T
+        sizes = np.array([sum(bag.values()) for bag in bags], dtype=np.int64)
+        self.span, n = int(sizes.max(initial=1)), len(bags)
+        have = np.bincount(term, minlength=len(self.term))[term]
+        idf = np.log(1 + (n - have + 0.5) / (have + 0.5))
+        impact = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[item] / max(sizes.mean(), 1) if n else 1))
+        impact /= np.maximum(np.bincount(item, impact, minlength=n), 1e-9)[item]
+        order = np.lexsort((item, term))
+        term, self.item, self.impacts = term[order], item[order].astype(np.int32), impact[order].astype(np.float32)
+        # blocks of postings: the term, the block of items, where its postings begin, and their maximum
+        self.n_blocks = -(-max(n, 1) // BLOCK)
+        self.block_key, self.block_at = np.unique(term * self.n_blocks + self.item // BLOCK, return_index=True)
+        self.block_end = np.append(self.block_at[1:], len(term))
+        self.block_most = np.maximum.reduceat(self.impacts, self.block_at) if len(term) else self.impacts
+        self.bounds = np.searchsorted(self.block_key, np.arange(len(self.term) + 1) * self.n_blocks)
+        self.most = np.maximum.reduceat(self.block_most, self.bounds[:-1]) if len(term) else self.impacts
+        self.parts = lru_cache(4096)(self._parts)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "parts"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.parts = lru_cache(4096)(self._parts)
+
+    def _parts(self, i: int) -> tuple[set, set]:
+        q, a = self.words[i]
+        return shingles(q.split(), self.shingle), shingles(a.split(), self.shingle)
+
+    @property
+    def impact(self) -> np.ndarray:
+        """The impacts as a table of terms by items; for looking at small indexes only."""
+        out = np.zeros((len(self.term), self.n_blocks * BLOCK), dtype=np.float32)
+        out[np.repeat(self.block_key // self.n_blocks, self.block_end - self.block_at), self.item] = self.impacts
+        return out
 
     def candidates(self, docs: list[np.ndarray], threshold: float) -> set[tuple[int, int]]:
         """(document, item) with a passage above the threshold; docs: known term ids in order, -1 for others.
@@ -86,24 +115,40 @@ class ItemIndex:
         found: set[tuple[int, int]] = set()
         if not len(both):
             return found
-        window, flat = both // size, both % size
-        bounds = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
-        of = np.array(of)[window[bounds]]
-        ends = np.append(bounds[1:], len(flat))
-        room, low = CELLS // max(BLOCK, self.most.shape[1]), 0
-        while low < len(of):  # some passages at a time, which bounds the tables of impacts
-            high = max(low + 1, int(np.searchsorted(ends, bounds[low] + room, "right")))
-            own = flat[bounds[low] : ends[high - 1]]
-            upper = np.add.reduceat(self.most[own], bounds[low:high] - bounds[low], axis=0) >= threshold
-            sizes = ends[low:high] - bounds[low:high]
-            for b in np.flatnonzero(upper.any(axis=0)).tolist():
-                hit = upper[:, b]
-                first = np.cumsum(sizes[hit]) - sizes[hit]
-                score = np.add.reduceat(self.impact[own[np.repeat(hit, sizes)], b * BLOCK : (b + 1) * BLOCK], first, axis=0)
-                p, i = np.nonzero(score >= threshold)
-                i += b * BLOCK
-                real = i < len(self.ids)
-                found.update(zip(of[low:high][hit][p[real]].tolist(), i[real].tolist()))
+        window, term = both // size, both % size
+        # the pivot: in ascending order of maxima, the first term with which the threshold can be reached
+        order = np.lexsort((self.most[term], window))
+        window, term = window[order], term[order]
+        first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+        sizes = np.diff(first, append=len(window))
+        total = np.cumsum(self.most[term], dtype=np.float64)
+        total -= np.repeat(total[first] - self.most[term[first]], sizes)
+        able = np.flatnonzero(total >= threshold - 1e-6)
+        place = np.repeat(np.arange(len(first)), sizes)[able]  # of the passage
+        lengths = self.bounds[term[able] + 1] - self.bounds[term[able]]
+        key = self.block_key[_spread(self.bounds[term[able]], lengths)]
+        spot = np.unique(np.repeat(place, lengths) * self.n_blocks + key % self.n_blocks)
+        place, block = spot // self.n_blocks, spot % self.n_blocks
+        ends = np.cumsum(sizes[place])
+        low = 0
+        while low < len(spot):  # some (passage, block) at a time
+            high = max(low + 1, int(np.searchsorted(ends, CELLS + (ends[low - 1] if low else 0), "right")))
+            p, b = place[low:high], block[low:high]
+            n = sizes[p]
+            mine = np.repeat(np.arange(len(p)), n)
+            key = term[_spread(first[p], n)] * self.n_blocks + b[mine]
+            at = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+            hit = self.block_key[at] == key
+            at, mine = at[hit], mine[hit]
+            upper = np.bincount(mine, self.block_most[at], minlength=len(p)) >= threshold - 1e-6
+            at, mine = at[upper[mine]], mine[upper[mine]]
+            n = self.block_end[at] - self.block_at[at]
+            posting = _spread(self.block_at[at], n)
+            cell = np.repeat(mine, n) * BLOCK + self.item[posting] % BLOCK
+            score = np.bincount(cell, self.impacts[posting], minlength=len(p) * BLOCK)
+            cell = np.flatnonzero(score >= threshold)
+            docs_of = np.array(of)[window[first[p[cell // BLOCK]]]]
+            found.update(zip(docs_of.tolist(), (b[cell // BLOCK] * BLOCK + cell % BLOCK).tolist()))
             low = high
         return found
 
@@ -112,7 +157,7 @@ class ItemIndex:
         own = shingles(words, shingle)
         short = {}
         out = []
-        for part in self.parts[item]:
+        for part in self.parts(item):
             if not part:
                 out.append(1.0)
                 continue
@@ -149,7 +194,7 @@ def contaminated(
     schema = "doc_id long, item_id long, question_overlap double, answer_overlap double"
     out = None
     for s in range(shards):
-        # bounded by shard_bytes on average; an index is some ten times its text
+        # bounded by shard_bytes on average
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect() if total else []
         index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in part], shingle))
 
