@@ -70,8 +70,9 @@ def partition_offsets(df: DataFrame, part: str, amount: str, offset: str = "offs
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): (node, root), root the smallest node.
 
-    Alternating large-star and small-star steps, each a grouped minimum and a join,
-    so a hub with millions of neighbours is pre-aggregated and never gathered. Nodes
+    Alternating large-star and small-star steps, each a grouped minimum and a join. A
+    hub's neighbours are pre-aggregated for the minimum and never gathered; in the join its rows
+    meet one row, and the adaptive skew join splits them. Nodes
     that are their own root are left out. Self loops and repeated edges do no harm.
     """
     cur = cut(

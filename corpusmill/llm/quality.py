@@ -20,7 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, scratch_path
 
 BITS, PLAIN = 12, 3072  # of a symbol; characters below PLAIN have one of their own
 ORDER, SALT = 4, 8
@@ -151,8 +151,11 @@ class ShardModel:
         return np.log(p)
 
 
-def perplexities(docs: DataFrame, counts: DataFrame, shards: int = 64, block_chars: int = 8 << 20) -> DataFrame:
-    """(doc_id, lang, perplexity) of every row of ``docs`` (doc_id, text, lang): null without text."""
+def perplexities(docs: DataFrame, counts: DataFrame, shards: int = 64, block_chars: int = 8 << 20, team_chars: int = 4 << 30) -> DataFrame:
+    """(doc_id, lang, perplexity) of every row of ``docs`` (doc_id, text, lang): null without text.
+
+    A task answers what the blocks of some ``team_chars`` ask of one shard, so no task grows with the input.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +190,11 @@ def perplexities(docs: DataFrame, counts: DataFrame, shards: int = 64, block_cha
             parts.append(np.unique(np.concatenate(todo)))
         return held, each, np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
-    packed = rows.mapInArrow(pack, "block long, payload binary")
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    teams = -(-total // team_chars) or 1
+    path = scratch_path(docs.sparkSession, "blocks")  # written once: both passes meet the same blocks
+    rows.mapInArrow(pack, "block long, payload binary").write.option("compression", "none").parquet(path)
+    packed = docs.sparkSession.read.parquet(path)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,8 +210,10 @@ def perplexities(docs: DataFrame, counts: DataFrame, shards: int = 64, block_cha
         bits = [m.log_prob(_unpack(k)).astype("<f4").tobytes() for k in asked["keys"]]
         return pd.DataFrame({"block": asked["block"], "shard": asked["shard"], "logs": bits})
 
-    asked = packed.mapInArrow(ask, "shard long, block long, keys binary")
-    replies = asked.groupBy("shard").cogroup(model(counts, shards).groupBy("shard")).applyInPandas(answer, "block long, shard long, logs binary")
+    # a shard's requests are dealt out by groups of blocks, and its part of the model goes to each group
+    asked = packed.mapInArrow(ask, "shard long, block long, keys binary").withColumn("team", F.pmod(F.xxhash64("block"), F.lit(teams)))
+    parts = model(counts, shards).withColumn("team", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(teams - 1).cast("long"))))
+    replies = asked.groupBy("shard", "team").cogroup(parts.groupBy("shard", "team")).applyInPandas(answer, "block long, shard long, logs binary")
 
     def score(own: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -241,9 +250,10 @@ def quality(docs: DataFrame, labels: DataFrame, keep: float = 0.99, most_broadca
 
         def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                own = b.column(0).to_pandas().to_numpy(dtype=float, na_value=np.nan)
+                own = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)  # whole numbers: no rounding of large ids
                 at = np.minimum(np.searchsorted(ids.value, own), max(len(ids.value) - 1, 0))
                 hit = ids.value[at] == own if len(ids.value) else np.zeros(len(own), bool)
+                hit &= b.column(0).is_valid().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(hit))], ["text"])
 
         text = text.mapInArrow(known, "text string")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import components, cut, release
 
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-LEAF, FAN = 32, 8
+LEAF, FAN = 8, 8
 
 
 def _mixed(h: np.ndarray, count: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def _tree_links(fp: np.ndarray, distance: int, spanning: bool, sigs: np.ndarray
 def _small_links(
     fp: np.ndarray, starts: np.ndarray, size: int, distance: int, spanning: bool, sigs: np.ndarray | None = None, limit: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Links in many groups of one small size, all at once; starts: of the groups."""
+    """Links in many groups of one size, each a single leaf, all at once; starts: of the groups."""
     out_a, out_b = [], []
     step = max(1, (1 << 21) // (size * size))
     for at in range(0, len(starts), step):
@@ -257,15 +257,15 @@ def _small_links(
 def _links(
     group: np.ndarray, fp: np.ndarray, distance: int, spanning: bool, sigs: np.ndarray | None = None, limit: int = 0
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each group; rows of a group are adjacent."""
+    """Links within each group; rows of a group are adjacent. A group of up to ``LEAF`` rows is a leaf."""
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((cuts, [len(group)])))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= 2 * LEAF)]).tolist():
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]).tolist():
         i, j = _small_links(fp, cuts[sizes == size], size, distance, spanning, sigs, limit)
         a.append(i)
         b.append(j)
-    for at in np.flatnonzero(sizes > 2 * LEAF).tolist():
+    for at in np.flatnonzero(sizes > LEAF).tolist():
         own = slice(cuts[at], cuts[at] + sizes[at])
         i, j = _tree_links(fp[own], distance, spanning, None if sigs is None else sigs[own], limit)
         a.append(i + cuts[at])
@@ -341,7 +341,7 @@ def near_links(
     return work.select(*key, "p", "q", *own).repartition("tab", "c", "v", "p", "q").mapInPandas(join, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, group_rows: int = 20_000, agree: int = 1) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, group_rows: int = 20_000, agree: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
     A-Z are lower-cased, words are what ASCII white space parts, the fingerprint of
@@ -350,10 +350,16 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4, gro
     zero and link like any other. component_id is the smallest doc_id that links reach.
     Every row of a repeated doc_id is returned. A null doc_id takes part; its row
     has the component's smallest doc_id, or null where all of them are null. An empty
-    table gives an empty result; other columns are not looked at.
+    table gives an empty result; other columns are not looked at. ``agree`` (see ``near_links``)
+    sets how long keys are, not what they find; by default the least for which a key has
+    a tenth of ``group_rows`` fingerprints on average.
     """
     sig = cut(signatures(docs, shingle).select("doc_id", F.element_at("sigs", 1).alias("fp")))
     distinct = sig.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    if agree is None:
+        n, agree = distinct.count(), 1
+        while agree < 8 and n > group_rows / 10 * 2 ** (64 * agree / (distance + agree)):
+            agree += 1
     links = near_links(distinct.select(F.col("fp").alias("node"), "fp"), distance, agree, True, group_rows)
     roots = components(links)
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -73,3 +73,21 @@ def test_keeps_clean_and_drops_junk(spark):
         assert sum(got[i] for i in range(400) if i % 10) >= 350
     assert quality(docs.limit(0), lab).count() == 0
     assert all(r.keep == bool(r.perplexity) for r in quality(docs, lab.limit(0)).collect())
+
+
+def test_large_ids_and_repeated_rows(spark):
+    """Ids beyond 2^53 are told apart; every row of a repeated id is scored, and blocks are answered team by team."""
+    from corpusmill.llm.quality import count_grams, perplexities, quality
+
+    big = 1 << 60
+    docs = spark.createDataFrame([(big, "aaaa aaaa", "x"), (big + 1, "zzzz zzzz", "x"), (big + 1, "zzzz zzzz", "x"), (None, "aaaa", "x")], "doc_id long, text string, lang string")
+    fold = spark.range(big, big + 2).selectExpr("id", "pmod(xxhash64(id), 5) f").collect()
+    labels = spark.createDataFrame([(r.id, 1) for r in fold if r.id == big], "doc_id long, quality int")
+    got = quality(docs, labels).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, [big, big + 1, big + 1, None]))
+    if next(r.f for r in fold if r.id == big) > 0:  # the model knows the first text only
+        score = {r.doc_id: r.perplexity for r in got}
+        assert score[big] < score[big + 1] / 4
+    counts = count_grams(docs.select("text"))
+    one = sorted((str(r.doc_id), round(r.perplexity, 6)) for r in perplexities(docs, counts, 8).collect())
+    assert one == sorted((str(r.doc_id), round(r.perplexity, 6)) for r in perplexities(docs, counts, 8, 10, 12).collect())
