@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, stored
 
 _SPANS = "array<struct<start: int, end: int, first_doc_id: bigint>>"
 #: Ends of sentences: a line's end, .!? before white space, the ideographic full stop and its like.
@@ -102,7 +102,7 @@ def _mark(text: bytes) -> int:
 def _repeats(units: DataFrame, hot_parts: int) -> DataFrame:
     """(row, removed, mark): of each row the units of which an equal one, that it doesn't overlap, comes first."""
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row", "start")
-    units = cut(units.withColumn("rank", rank))
+    units = stored(units, "units").withColumn("rank", rank)
     firsts = units.groupBy("digest").agg(F.min("rank").alias("first"), F.min_by(F.struct("doc_id", "end"), "rank").alias("at"), F.count("*").alias("n"))
     firsts = cut(firsts.where("n > 1"))
     often = F.col("n") * hot_parts > units.count() if hot_parts else F.lit(False)
