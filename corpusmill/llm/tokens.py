@@ -14,7 +14,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,134 +25,199 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import partition_offsets, scratch_path
 
 END, BASE = 2, 1 << 17  # nonterminals are numbered from BASE
-_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_at binary, rules binary, spans binary, body binary"
 
 
 class Encoder:
-    """Ids of whole texts; a stretch between single spaces is encoded by the library once and remembered.
+    """Ids of whole texts; a stretch of a text is encoded by the library once and remembered.
 
-    A byte-level pattern starts a new piece at every single space between two
-    other characters, so stretches that begin there are encoded alone as they are in the text.
-    Whether the vocabulary has that pattern, and nothing else that looks across, is read from its file.
+    A byte-level pattern starts a new piece at every space or line end before another character, after
+    that line end, and at a comma or full stop between a letter or digit and white space. So
+    stretches that begin there are encoded alone as they are in the text. Whether the vocabulary has
+    that pattern, and nothing else that looks across, is read from its file; others get whole texts.
+
+    Stretches of up to 16 bytes are told by these bytes in two numbers and looked up in sorted arrays, the
+    rest by a dictionary.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.lib, self.keep = Tokenizer.from_file(path), keep
         spec = json.loads(self.lib.to_str())
         pre = spec["pre_tokenizer"] or {}
-        #: whether stretches may be encoded alone; other vocabularies get whole texts
+        #: whether stretches may be encoded alone
         self.parted = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["normalizer"] is None
             and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         )
         tokens = self.lib.get_added_tokens_decoder()
-        added = [t.content for t in tokens.values()]
+        added = [t.content.encode() for t in tokens.values()]
         marks = [(t.content, i) for i, t in tokens.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark = marks[0] if marks else None
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        if self.parted:
-            self.marks = {m: self.lib.encode(m, add_special_tokens=False).ids[0] for m in ",."}
-            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such vocabularies
-            rest = [b for b in range(256) if b not in plain]
-            self.as_text = {b: chr(256 + i) for i, b in enumerate(rest)} | {b: chr(b) for b in plain} | {10: "\n"}
+        self.special = re.compile(b"|".join([b"\\x00", *map(re.escape, added)]))  # NUL parts texts here
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such vocabularies
+        rest = [b for b in range(256) if b not in plain]
+        self.as_text = {b: chr(256 + i) for i, b in enumerate(rest)} | {b: chr(b) for b in plain} | {10: "\n"}
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.sizes, self.used = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int32), 0
-        self.starts = np.zeros(1 << 18, np.int64)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if not self.parted:
-            got = self.lib.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, dtype=np.int32) for e in got]
-        if len(self.at) > self.keep:
+        self.long: dict[bytes, int] = {}
+        self.n, self.used = 0, 0
+        self.sizes, self.starts, self.flat = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 20, np.int32)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.tables = [none, none]  # sorted (hash, first 8 bytes, last 8 bytes, number): all, and those of late
+
+    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
+        """``texts``: str or UTF-8."""
+        raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
+        odd = [i for i, t in enumerate(raw) if not self.parted or self.special.search(t)]
+        alone = {}
+        if odd:
+            got = self.lib.encode_batch_fast([raw[i].decode() for i in odd], add_special_tokens=False)
+            alone = {i: np.array(e.ids, dtype=np.int32) for i, e in zip(odd, got)}
+        if len(odd) == len(raw):
+            return [alone[i] for i in range(len(raw))]
+        if self.n > self.keep:
             self.forget()
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if not t:
-                parts.append([])
-            elif "\x00" in t or self.special and self.special.search(t):
-                parts.append(None)  # such strings are found before the pattern is applied; NUL marks keys
-            else:
-                lined = t.replace("\n", " \n")  # a single line end also begins a stretch
-                if "  " in lined or "\n \n" in lined or not (t[0].strip() and t[-1].strip()):
-                    p = _SINGLE_SPACE.split(t)
-                else:
-                    p = lined.split(" ")
-                p[0] = "\x00" + p[0]  # not after a space: its own key
-                parts.append(p)
-        get = self.at.get
-        idx = [None if p is None else np.fromiter(map(get, p, repeat(-1)), dtype=np.int64, count=len(p)) for p in parts]
-        new = [(i, np.flatnonzero(x < 0)) for i, x in enumerate(idx) if x is not None and len(x) and x.min() < 0]
-        if new:
-            self.learn(list(dict.fromkeys(parts[i][j] for i, where in new for j in where.tolist())))
-            for i, where in new:
-                idx[i][where] = [self.at[parts[i][j]] for j in where.tolist()]
-        out = []
-        for t, x in zip(texts, idx):
-            if x is None:
-                out.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype=np.int32))
-                continue
-            sizes = self.sizes[x]
-            ends = np.cumsum(sizes)
-            where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[x] - (ends - sizes), sizes)
-            out.append(self.flat[where])
+        ids, counts = self._batch([b"" if i in alone else t for i, t in enumerate(raw)])
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        return [alone.get(i, x) for i, x in enumerate(parts)]
+
+    def _batch(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts without special strings, and how many each has."""
+        text = b"\x00" + b"\x00".join(raw) + b"\x00"
+        x = np.frombuffer(text, dtype=np.uint8)
+        begin = _KIND[x] & _BEGIN > 0  # at a text's end too, for now
+        at = np.flatnonzero(_KIND[x] & _MAYBE)  # spaces, line ends, commas and full stops; never the first or last byte
+        prev, nxt = _KIND[x[at - 1]], _KIND[x[at + 1]]
+        here = x[at]
+        starts_piece = (here == 32) & (nxt & _INK > 0)
+        line = (here == 10) & (nxt & _INK > 0)
+        letter = (prev & _WORD > 0) | (prev & _TRAIL > 0) & (x[np.maximum(at - 2, 0)] == 0xC3) & (x[at - 1] != 0x97) & (x[at - 1] != 0xB7)
+        mark = (prev & _WHITE == 0) & letter & ((here == 44) | (here == 46)) & (nxt & _GAP > 0)
+        begin[at[starts_piece | line | mark]] = True
+        begin[at[line] + 1] = True
+        start = np.flatnonzero(begin[:-1])
+        end = np.append(start[1:], len(x) - 1)
+        start = start + (x[start] == 0)
+        full = end > start
+        start, size = start[full], (end - start)[full]
+        number = self._numbers(text, start, size)
+        sizes = self.sizes[number]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[number] - (ends - sizes), sizes)
+        lengths = np.array([len(t) + 1 for t in raw], dtype=np.int64)
+        upto = np.concatenate(([0], ends))[np.searchsorted(start, np.cumsum(lengths))]
+        return self.flat[where], np.diff(upto, prepend=0)
+
+    def _numbers(self, text: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each stretch; new ones are encoded."""
+        out = np.full(len(start), -1, dtype=np.int32)
+        padded = text + bytes(8)
+        eight = np.ndarray((len(text) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        short = np.flatnonzero(size <= 16)
+        n = size[short]
+        head = eight[start[short]] & _MASK[np.minimum(n, 8)]
+        tail = np.where(n > 8, eight[start[short] + np.maximum(n, 8) - 8], np.uint64(0))
+        code = (head * np.uint64(0x9E3779B97F4A7C15)) ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F))
+        code = (code ^ code >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) ^ n.astype(np.uint64)
+        order = np.argsort(code)
+        c, h, t = code[order], head[order], tail[order]
+        new = np.ones(len(c), dtype=bool)
+        new[1:] = c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        name = np.cumsum(new) - 1
+        same = (h == h[first][name]) & (t == t[first][name]) if len(c) else new  # else a collision: by the dictionary
+        c, h, t = c[first], h[first], t[first]
+        got = np.full(len(first), -1, dtype=np.int32)
+        clash = np.zeros(len(first), dtype=bool)
+        for codes, heads, tails, numbers in self.tables:
+            if len(codes):
+                at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+                hit = codes[at] == c
+                right = hit & (heads[at] == h) & (tails[at] == t)
+                got[right] = numbers[at[right]]
+                clash |= hit & ~right
+        todo = np.flatnonzero((got < 0) & ~clash)
+        if len(todo):
+            at = short[order[first[todo]]]
+            got[todo] = self._learn([text[a : a + k] for a, k in zip(start[at].tolist(), size[at].tolist())])
+            self._keep(c[todo], h[todo], t[todo], got[todo])
+        found = got[name]
+        found[~same] = -1
+        out[short[order]] = found
+        rest = np.flatnonzero(out < 0)  # long ones and collisions
+        keys = [text[a : a + k] for a, k in zip(start[rest].tolist(), size[rest].tolist())]
+        unknown = [k for k in dict.fromkeys(keys) if k not in self.long]
+        if unknown:
+            self.long.update(zip(unknown, self._learn(unknown).tolist()))
+        out[rest] = [self.long[k] for k in keys]
         return out
 
-    def learn(self, keys: list[str]) -> None:
-        """Encodes new keys. One that begins with NUL is a text's first stretch, with a line end as it
-        is, others follow a space. A comma or full stop after a letter is a piece of its own."""
-        known, ask = self.at, {}
-        for k in keys:
-            if k[-1:] in (",", ".") and k[-2:-1].isalpha():
-                if k[:-1] not in known:
-                    ask[k[:-1]] = None
-            else:
-                ask[k] = None
-        # letters alone are one piece of the pattern, so the library's model takes them without it
-        words = [k for k in ask if k.isalpha() and max(k) < "\u0500"]
-        if words:
-            told = "\n".join([" " + k for k in words]).encode().decode("latin-1").translate(self.as_text).split("\n")
-            got = [[t.id for t in x] for x in map(self.lib.model.tokenize, told)]
-            sizes = np.fromiter(map(len, got), dtype=np.int32, count=len(got))
-            self._store(words, sizes, np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(sizes.sum())))
-        ask = [k for k in ask if k not in known]
-        texts = [k[1:] if k[:1] == "\x00" else k if k[:1] == "\n" else " " + k for k in ask]
-        if self.mark:  # one long text with the special token between: far fewer objects
-            joined = [self.mark[0].join(texts[i : i + 1000]) + self.mark[0] for i in range(0, len(texts), 1000)]
-            flat = np.concatenate([np.zeros(0, np.int32), *[np.array(e.ids, dtype=np.int32) for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)]])
-            ends = np.flatnonzero(flat == self.mark[1])
-            self._store(ask, np.diff(ends, prepend=-1).astype(np.int32) - 1, flat[flat != self.mark[1]])
+    def _keep(self, *cols: np.ndarray) -> None:
+        """Adds new stretches (sorted by hash) to the late table, and that to the other when it has grown."""
+        late = [np.concatenate(x) for x in zip(self.tables[1], cols)]
+        if 4 * len(late[0]) > len(self.tables[0][0]) + 100_000:
+            late = [np.concatenate(x) for x in zip(self.tables[0], late)]
+            order = np.argsort(late[0], kind="stable")
+            self.tables[0] = tuple(x[order] for x in late)
+            self.tables[1] = tuple(x[:0] for x in late)
         else:
-            got = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-            self._store(ask, np.array([len(g) for g in got], dtype=np.int32), np.fromiter(chain.from_iterable(got), dtype=np.int32))
-        tails = [k for k in keys if k not in known]
-        if tails:
-            stems = np.array([known[k[:-1]] for k in tails], dtype=np.int64)
-            sizes = self.sizes[stems]
-            ends = np.cumsum(sizes + 1)
-            flat = np.empty(int(ends[-1]), dtype=np.int32)
-            flat[ends - 1] = [self.marks[k[-1]] for k in tails]
-            body = np.ones(len(flat), dtype=bool)
-            body[ends - 1] = False
-            flat[body] = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[stems] - (np.cumsum(sizes) - sizes), sizes)]
-            self._store(tails, sizes + 1, flat)
-
-    def _store(self, keys: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
-        n = len(self.at)
-        while n + len(keys) > len(self.sizes):
+            order = np.argsort(late[0], kind="stable")
+            self.tables[1] = tuple(x[order] for x in late)
+
+    def _learn(self, keys: list[bytes]) -> np.ndarray:
+        """Encodes new stretches by the library and gives them numbers."""
+        texts = b"\x00".join(keys).decode().split("\x00")
+        # a space and letters are one piece of the pattern, so the library's model takes them without it
+        word = [(t[1:] if t[0] == " " else t).isalpha() and max(t) < "\u0500" for t in texts]
+        own = [t for t, w in zip(texts, word) if w]
+        sizes, flat = np.zeros(len(texts), dtype=np.int32), []
+        tell = np.array(word, dtype=bool)
+        if own:
+            told = "\n".join(own).encode().decode("latin-1").translate(self.as_text).split("\n")
+            got = [[t.id for t in x] for x in map(self.lib.model.tokenize, told)]
+            sizes[tell] = np.fromiter(map(len, got), dtype=np.int32, count=len(got))
+            flat.append(np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(sizes[tell].sum())))
+        other = [t for t, w in zip(texts, word) if not w]
+        if other and self.mark:  # one long text with the special token between: far fewer objects
+            joined = [self.mark[0].join(other[i : i + 1000]) + self.mark[0] for i in range(0, len(other), 1000)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.int32) for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)])
+            sizes[~tell] = np.diff(np.flatnonzero(ids == self.mark[1]), prepend=-1).astype(np.int32) - 1
+            flat.append(ids[ids != self.mark[1]])
+        elif other:
+            got = [e.ids for e in self.lib.encode_batch_fast(other, add_special_tokens=False)]
+            sizes[~tell] = [len(g) for g in got]
+            flat.append(np.fromiter(chain.from_iterable(got), dtype=np.int32))
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        while self.n + len(keys) > len(self.sizes):
             self.sizes, self.starts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.starts, 2 * len(self.starts))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.sizes[n : n + len(keys)] = sizes
-        self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        order = np.concatenate((np.flatnonzero(tell), np.flatnonzero(~tell)))  # as they stand in flat
+        numbers = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.sizes[numbers] = sizes
+        self.starts[numbers[order]] = self.used + np.cumsum(sizes[order]) - sizes[order]
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.at.update(zip(keys, range(n, n + len(keys))))
+        self.n += len(keys)
+        return numbers
+
+
+# what a byte may be to its neighbours
+_BEGIN, _MAYBE, _WHITE, _INK, _WORD, _TRAIL, _GAP = (1 << i for i in range(7))
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[0] |= _BEGIN
+_KIND[[32, 10, 44, 46]] |= _MAYBE
+_KIND[:33] |= _WHITE  # control characters count as white space here, which only makes stretches longer
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] |= _WHITE  # first bytes of other white space
+_KIND[33:] |= _INK
+_KIND[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] &= 0xFF ^ _INK
+_KIND[np.array(list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))] |= _WORD
+_KIND[0x80:0xC0] |= _TRAIL
+_KIND[[0, 10, 32]] |= _GAP
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def _slots(code: np.ndarray, turn: int) -> tuple[np.ndarray, int]:
@@ -251,7 +316,8 @@ def expansion_sizes(rules: np.ndarray) -> np.ndarray:
     return out
 
 
-def expand(rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
+def _unfold(rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """Ids of a sequence, one level of rules after the other."""
     seq = seq.astype(np.uint32)
     while True:
         big = seq >= BASE
@@ -265,6 +331,23 @@ def expand(rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
         seq = out
 
 
+def expand(rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """Ids of a sequence; in a long one, each nonterminal is unfolded once and copied to its places."""
+    if len(seq) < 4 * len(rules):
+        return _unfold(rules, seq)
+    spans = expansion_sizes(rules).astype(np.int64)
+    flat = _unfold(rules, np.arange(BASE, BASE + len(rules)))
+    big = np.flatnonzero(seq >= BASE)
+    name = seq[big].astype(np.int64) - BASE
+    sizes = np.ones(len(seq), dtype=np.int64)
+    sizes[big] = spans[name]
+    out = np.repeat(seq.astype(np.uint32), sizes)
+    first, n = (np.cumsum(sizes) - sizes)[big], spans[name]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(first, n) + step] = flat[np.repeat((np.cumsum(spans) - spans)[name], n) + step]
+    return out
+
+
 def _pack(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x, dtype="<u4").tobytes(), 1)
 
@@ -307,8 +390,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, sha
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for low in range(0, len(ids), 200):
-                for d, x in zip(ids[low : low + 200].to_pylist(), encoder.encode(texts[low : low + 200].to_pylist())):
+            texts = texts.cast(pa.binary())
+            low = 0
+            while low < len(ids):
+                own, amount = [], 0  # some 2 MB at a time
+                while low + len(own) < len(ids) and amount < 1 << 21:
+                    own.append(texts[low + len(own)].as_py())
+                    amount += len(own[-1] or b"")
+                names = ids[low : low + len(own)].to_pylist()
+                low += len(own)
+                for d, x in zip(names, encoder.encode(own)):
                     held.append((d, np.concatenate((x, np.array([end], dtype=np.int32)))))
                     size += len(x) + 1
                     if size >= shard_tokens:

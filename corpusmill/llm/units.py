@@ -53,6 +53,15 @@ def sentences_of(text: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def sentence_spans(text: bytes) -> list[tuple[int, int]]:
+    out, at = [], 0
+    for end in [*[m.end() for m in _ENDS.finditer(text)], len(text)]:
+        if not text[at:end].isspace() and end > at:
+            out.append((at, end))
+        at = end
+    return out
+
+
 def passages_of(text: bytes, least: int) -> list[tuple[int, int, bytes]]:
     """(start, end, digest): from each sentence on, the fewest that make ``least`` words or 8 x ``least`` bytes."""
     units = sentences_of(text)
@@ -183,13 +192,13 @@ def repeated_passages(docs: DataFrame, least: int = 25, hot_parts: int = 1000) -
     """
 
     def judge(t: bytes | None, gone: list[dict]) -> tuple:
-        units = sentences_of(t or b"")
+        units = sentence_spans(t or b"")
         if not gone:
             return len(units), 0, gone, t
         last = 1 << 63
         cover = sorted((g["start"], g["end"], last if g["first_doc_id"] is None else g["first_doc_id"]) for g in gone)
         removed, kept, at, k, open_ = [], [], 0, 0, []
-        for start, end, _ in units:
+        for start, end in units:
             while k < len(cover) and cover[k][0] <= start:
                 open_.append(cover[k])
                 k += 1
