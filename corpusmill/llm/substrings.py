@@ -9,6 +9,11 @@ go to buckets by their key's leading bits, one bucket a task, where equal ones a
 together by sorting and the earliest block of each is found. Whole documents that repeat an earlier
 one are told by their digest and send no suffixes.
 
+Before suffixes, stretches between two anchors are told, in the same way: an anchor is a place where eight
+bytes have a certain hash, so equal texts have equal anchors. Where all strings that begin in a
+stretch can repeat, its bytes and the next 49 are a key; if an earlier document has it, all of its strings
+are earlier, and as that document sends them, this one needn't.
+
 A suffix is compared by a key of its first ``length`` bytes: 64 bits of a polynomial hash and as many
 bits of a second one as the bucket's number takes from the first, so keys have 64 bits besides the
 bucket. n different strings have about n^2 / 2^65 / buckets pairs of equal keys.
@@ -37,6 +42,7 @@ from .common import cut, release, scratch_path
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
+ANCHOR = 6  # bits: stretches have 64 bytes on average
 _STEP = 1 << 19  # positions hashed at a time: such arrays stay in a core's cache
 
 
@@ -163,17 +169,19 @@ def _suffixes(block: Block, hit: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero((np.cumsum(near, dtype=np.int8)[:-1] > 0) & block.starting(length))
 
 
-def _keyed(block: Block, start: np.ndarray, length: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of suffixes, sorted: (leading word, key within its bucket); the suffixes in that order; where each key begins in it."""
-    half = length // 2
-    a, b = block.sums_of(start, half), block.sums_of(start + half, length - half)
-    lead = _mixed(a + b * np.uint64(pow(_BASE, half, 1 << 64)))
+def _keyed(block: Block, start: np.ndarray, stop: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of strings of 50 bytes or more, sorted: (leading word, key within its bucket); the strings in that order; where each key begins in it."""
+    half = 25
+    size = (stop - start).astype(np.uint64)
+    a = block.sums_of(start, half)
+    b = (block.sums[stop] - block.sums[start + half]) * block.down[start + half]
+    lead = _mixed(a + b * np.uint64(pow(_BASE, half, 1 << 64)) + size * np.uint64(0x8CB92BA72F3D8DD7))
     order = np.argsort(lead)
     if not spare:
         lead = lead[order]
         first = _firsts(lead)
         return lead[first], lead[first], order, first
-    more = _mixed(a * np.uint64(0xA0761D6478BD642F) + b * np.uint64(0xE7037ED1A0B428DB), 0x9FB21C651E98DF25)
+    more = _mixed(a * np.uint64(0xA0761D6478BD642F) + b * np.uint64(0xE7037ED1A0B428DB) + size, 0x9FB21C651E98DF25)
     within = lead << np.uint64(spare) | more >> np.uint64(64 - spare)
     if len(order):
         x, y = lead[order], within[order]
@@ -184,6 +192,49 @@ def _keyed(block: Block, start: np.ndarray, length: int, spare: int) -> tuple[np
     return lead[first], within[first], order, first
 
 
+def _earlier(block: Block, start: np.ndarray, order: np.ndarray, first: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Which strings an earlier document has: of another block, as told for each key, or of this one."""
+    out = np.zeros(len(start), dtype=bool)
+    if len(start):
+        doc, sizes = block.doc[start[order]], np.diff(first, append=len(order))
+        own = block.ids[np.minimum.reduceat(doc, first)]
+        out[order] = np.repeat(told, sizes) | (block.ids[doc] > np.repeat(own, sizes))
+    return out
+
+
+def _stretches(block: Block, here: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the stretches in which every string may repeat (``here``)."""
+    padded = block.text + bytes(8)
+    eight = np.ndarray((len(block.text),), dtype="<u8", buffer=padded, strides=(1,))
+    anchor = np.zeros(len(block.text), dtype=bool)
+    for at in range(0, len(anchor), _STEP):
+        anchor[at : at + _STEP] = (eight[at : at + _STEP] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ANCHOR) == 0
+    begins = block.starting(length)
+    own = np.flatnonzero(block.known & ~block.copy & (block.sizes >= length))
+    anchor[block.starts[own]] = True
+    begin = np.flatnonzero(anchor & begins)
+    doc = block.doc[begin]
+    end = np.append(begin[1:], 0)
+    last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.zeros(0, bool)
+    end[last] = block.starts[doc[last]] + block.sizes[doc[last]] - length + 1
+    have = np.concatenate((np.zeros(1, np.int32), np.cumsum(here, dtype=np.int32)))
+    whole = have[end] - have[begin] == end - begin
+    return begin[whole], end[whole]
+
+
+def _joined(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _parted(b: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(b):
+        n = int.from_bytes(b[at : at + 8], "little")
+        out.append(b[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def _packed(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Blocks of rows (doc_id, t) in ascending order. Of two blocks, either all ids of one are smaller or both hold the same id only."""
     part, n, held, size, split = TaskContext.get().partitionId(), 0, [], 0, False
@@ -278,32 +329,61 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
     ranks = cut(ranks.groupBy("shard", "kind").applyInPandas(rank_samples, answer))
     release(spark)
 
-    def ask_suffixes(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        got = {(k, s): b for k, s, b in zip(replies["kind"], replies["shard"], replies["bits"])}
+    def told(got: dict, kind: str, lead: np.ndarray, shift: int) -> np.ndarray:
+        parts = [_unpack_bits(got[kind, s], hi - lo) for s, lo, hi in _slices(lead, shift, shards)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    def requests(number: int, low, state: bytes, kind: str, lead: np.ndarray, within: np.ndarray) -> list[tuple]:
+        """A block's keys for each shard, and its state, which comes back with the replies."""
+        return [(number % shards, number, low, "c", state), *[(s, number, low, kind, _pack(within[lo:hi])) for s, lo, hi in _slices(lead, 64 - spare, shards)]]
+
+    def by_kind(replies: pd.DataFrame) -> dict:
+        return {(k, 0 if k == "c" else s): b for k, s, b in zip(replies["kind"], replies["shard"], replies["bits"])}
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["shard", "block", "low", "kind", "keys"]).astype({"low": "Int64"})
+
+    def ask_stretches(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out, got = [], by_kind(replies)
         for number, low, *packed in zip(*[own[c] for c in ("block", "low", "ids", "sizes", "payload")]):
             block = Block(*packed)
             keys, _, where, place = _sample_request(block, key_length, bits)
-            told = [_unpack_bits(got["s", s], hi - lo) for s, lo, hi in _slices(keys, bits - spare, shards)]
-            repeated = np.concatenate(told) if told else np.zeros(0, bool)
+            repeated = told(got, "s", keys, bits - spare)
             whole, at = block.digests(), np.flatnonzero(block.known & (block.sizes >= length))
             of = (whole[at, 0] & np.uint64(shards - 1)).astype(np.int64)
             for s in np.unique(of).tolist():
                 block.copy[at[of == s]] = _unpack_bits(got["d", s], int((of == s).sum()))
             hit = where[repeated[place]]
-            start = _suffixes(block, hit[~block.copy[block.doc[hit]]], length)
-            lead, within, _, _ = _keyed(block, start, length, spare)
             here = np.zeros(len(block.text), dtype=bool)
-            here[start] = True
-            out.append((number % shards, number, low, "c", _pack_bits(here), _pack_bits(block.copy)))
-            out += [(s, number, low, "w", _pack(within[lo:hi]), b"") for s, lo, hi in _slices(lead, 64 - spare, shards)]
-        return pd.DataFrame(out, columns=["shard", "block", "low", "kind", "keys", "more"]).astype({"low": "Int64"})
+            here[_suffixes(block, hit[~block.copy[block.doc[hit]]], length)] = True
+            begin, end = _stretches(block, here, length)
+            lead, within, _, _ = _keyed(block, begin, end + length - 1, spare)
+            out += requests(number, low, _joined(_pack_bits(block.copy), _pack_bits(here)), "k", lead, within)
+        return frame(out)
+
+    def ask_suffixes(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out, got = [], by_kind(replies)
+        for number, low, *packed in zip(*[own[c] for c in ("block", "low", "ids", "sizes", "payload")]):
+            block = Block(*packed)
+            copy, here = _parted(got["c", 0])
+            block.copy, here = _unpack_bits(copy, len(block.ids)), _unpack_bits(here, len(block.text))
+            begin, end = _stretches(block, here, length)
+            lead, _, order, first = _keyed(block, begin, end + length - 1, spare)
+            known = _earlier(block, begin, order, first, told(got, "k", lead, 64 - spare))
+            gone = np.zeros(len(here) + 1, dtype=np.int8)
+            gone[begin[known]] += 1
+            gone[end[known]] -= 1
+            gone = np.cumsum(gone, dtype=np.int8)[:-1].view(bool)
+            here &= ~gone
+            start = np.flatnonzero(here)
+            lead, within, _, _ = _keyed(block, start, start + length, spare)
+            out += requests(number, low, _joined(copy, _pack_bits(here), _pack_bits(gone)), "w", lead, within)
+        return frame(out)
 
     def least_block(f: pd.DataFrame) -> pd.DataFrame:
         """Whether a block with smaller ids has the key. The state of blocks ("c") is handed on."""
         if f["kind"].iloc[0] == "c":
-            both = [len(a).to_bytes(8, "little") + a + b for a, b in zip(f["keys"], f["more"])]
-            return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "c", "bits": both})
+            return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "c", "bits": f["keys"]})
         f = f.sort_values("low")
         keys, low = [_unpack(k) for k in f["keys"]], f["low"].to_numpy(dtype=np.int64)
         sizes = np.array(list(map(len, keys)))
@@ -314,30 +394,26 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
         least = np.empty_like(own)
         least[order] = np.repeat(own[order[first]], np.diff(first, append=len(order)))
         reply = [_pack_bits(x) for x in np.split(low[least] < low[own], np.cumsum(sizes)[:-1])]
-        return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": "w", "bits": reply})
+        return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": f["kind"], "bits": reply})
 
-    asked = blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(ask_suffixes, "shard int, block long, low long, kind string, keys binary, more binary")
-    replies = cut(asked.groupBy("shard", "kind").applyInPandas(least_block, answer))
-    release(spark)
+    replies = ranks
+    for ask in (ask_stretches, ask_suffixes):
+        asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(ask, "shard int, block long, low long, kind string, keys binary")
+        replies = cut(asked.groupBy("shard", "kind").applyInPandas(least_block, answer))
+        del asked
+        release(spark)
 
     def judge(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        got = {(k, s if k == "w" else 0): b for k, s, b in zip(replies["kind"], replies["shard"], replies["bits"])}
+        out, got = [], by_kind(replies)
         for packed in zip(*[own[c] for c in ("ids", "sizes", "payload")]):
             block = Block(*packed)
-            state = got["c", 0]
-            n = int.from_bytes(state[:8], "little")
-            block.copy = _unpack_bits(state[8 + n :], len(block.ids))
-            start = np.flatnonzero(_unpack_bits(state[8 : 8 + n], len(block.text)))
-            lead, _, order, first = _keyed(block, start, length, spare)
-            told = [_unpack_bits(got["w", s], hi - lo) for s, lo, hi in _slices(lead, 64 - spare, shards)]
-            earlier = np.concatenate(told) if told else np.zeros(0, bool)
-            doc, sizes = block.doc[start[order]], np.diff(first, append=len(order))
-            gone = np.zeros(len(start), dtype=bool)
-            if len(start):  # earlier in another block, or in this one
-                own = block.ids[np.minimum.reduceat(doc, first)]
-                gone[order] = np.repeat(earlier, sizes) | (block.ids[doc] > np.repeat(own, sizes))
-            gone = start[gone]
+            copy, here, known = _parted(got["c", 0])
+            block.copy = _unpack_bits(copy, len(block.ids))
+            start = np.flatnonzero(_unpack_bits(here, len(block.text)))
+            lead, _, order, first = _keyed(block, start, start + length, spare)
+            gone = _unpack_bits(known, len(block.text))
+            gone[start[_earlier(block, start, order, first, told(got, "w", lead, 64 - spare))]] = True
+            gone = np.flatnonzero(gone)
             edge = np.zeros(len(block.text) + 1, dtype=np.int8)
             last = np.flatnonzero(np.diff(gone, append=1 << 60) > length)  # strings that touch make one run
             first = np.concatenate((np.zeros(1, np.int64), last[:-1] + 1)) if len(last) else last
