@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import WORD, terms
@@ -23,55 +21,76 @@ def top_k(rows: DataFrame, k: int, by: list[str], score: str = "score", tie: str
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
+def scope(queries: DataFrame, chunks: DataFrame) -> list[str]:
+    """The tenant filter: where both tables have product_id, a query sees its own product's chunks only."""
+    return ["product_id"] if "product_id" in queries.columns and "product_id" in chunks.columns else []
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 50, most_asked: int = 200_000) -> DataFrame:
     """(query_id, id, score, rank): Okapi BM25 top k of (query_id, query) over (id, content).
 
-    Postings are counted once and meet the queries' terms by a join on the term; a term that a
-    third of all chunks have is one row a chunk there, as in any inverted index.
+    Words that no query has are dropped where they are read, before any shuffle; the queries' terms are
+    broadcast while there are ``most_asked`` or fewer of them. Statistics are those of all ``chunks``;
+    with product_id in both tables, hits are of the query's product.
     """
-    words = chunks.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), 1)).alias("term"))
-    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term"))
-    postings = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    # lengths come from the text itself: no shuffle of all postings for them
-    length = chunks.select("id", F.size(F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), 1)).alias("dl"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    mine = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    hit = asked.join(mine, "term").join(df, "term").join(length, "id").crossJoin(F.broadcast(stats))  # stats is one row
+    own = scope(queries, chunks)
+    asked = queries.select("query_id", *own, F.explode(terms(F.col("query"))).alias("term"))
+    few = F.broadcast if asked.count() <= most_asked else lambda df: df
+    words = chunks.select("id", *own, F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), 1).alias("w"))
+    words = words.withColumn("dl", F.size("w"))
+    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    mine = words.select("id", *own, "dl", F.explode("w").alias("term")).join(few(asked.select("term").distinct()), "term", "left_semi")
+    mine = mine.groupBy("id", *own, "dl", "term").agg(F.count("*").alias("tf"))
+    df = mine.groupBy("term").agg(F.count("*").alias("df"))  # a row a term of the queries
+    hit = mine.join(few(asked.join(df, "term")), [*own, "term"]).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, k, ["query_id"])
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 50, most_queries: int = 20_000) -> DataFrame:
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest, in that order; of equals the first column goes first."""
+    low = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    row, col = np.nonzero(scores >= low[:, None])
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 50, most_queries: int = 20_000, tile: int = 256) -> DataFrame:
     """(query_id, id, score, rank): cosine top k of (query_id, vector) over (id, vector).
 
-    A block of queries at a time goes to all partitions (its size is bounded by ``most_queries``); each
-    keeps its own top k, so k rows a query and partition are shuffled.
+    A block of queries at a time goes to all partitions (its size is bounded by ``most_queries``), where
+    ``tile`` of them are scored at once; each task keeps its own top k, so k rows a query and batch are
+    shuffled. With product_id in both tables, hits are of the query's product.
     """
     spark = queries.sparkSession
+    own = scope(queries, vectors)
     n = queries.count()
     found = None
     for block in range(-(-n // most_queries) or 1):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // most_queries) or 1)) == block).toPandas()
         q = np.array(part["vector"].tolist(), dtype=float) if len(part) else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
+        of = part[own[0]].to_numpy() if own else np.zeros(len(part))
+        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), of))
 
         def score(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, unit = shared.value
+            names, unit, of = shared.value
             for f in frames:
-                if not len(f) or not len(names):
-                    continue
-                x = np.array(f["vector"].tolist(), dtype=float)
-                s = np.round(unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T, 6)
-                ids = f["id"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                best = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "id": ids[order][best].ravel(), "score": np.take_along_axis(s[:, order], best, axis=1).ravel()})
+                for product, part in f.sort_values("id").groupby(own[0] if own else np.zeros(len(f))):
+                    x, ids = np.array(part["vector"].tolist(), dtype=float), part["id"].to_numpy()
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    asked = np.flatnonzero(of == product)
+                    for at in range(0, len(asked), tile):
+                        some = asked[at : at + tile]
+                        s = np.round(unit[some] @ x.T, 6)
+                        row, col = _best(s, k)
+                        yield pd.DataFrame({"query_id": names[some][row], "id": ids[col], "score": s[row, col]})
 
         kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
-        one = vectors.select("id", "vector").mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+        one = vectors.select("id", "vector", *own).mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
         found = one if found is None else found.unionByName(one)
     return top_k(found, k, ["query_id"])
 
@@ -84,12 +103,20 @@ def fuse(rankings: DataFrame, k: int = 60, limit: int = 20) -> DataFrame:
     return top_k(scored, limit, ["query_id"])
 
 
+# Dotted names, file paths, snake and camel case, as the fusion weights see them.
+SYMBOL_SHAPE = (
+    r"[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*"
+    r"|[A-Za-z0-9_./-]+\.(?:py|ts|tsx|js|jsx|go|rs|java|sql|ya?ml|toml|md)\b"
+    r"|[a-z0-9]+_[a-z0-9_]+"
+    r"|[a-z]+[A-Z][A-Za-z0-9]*"
+)
+
+
 def shape_weights(query: Column) -> Column:
-    """Struct (dense_w, sparse_w): symbols and paths lean to words, long questions to meaning."""
-    symbol = query.rlike(r"[A-Za-z0-9]_[A-Za-z0-9]|[a-z][A-Z]|\w\(|[\w-]+/[\w./-]+|\w+\.(py|ts|tsx|js|jsx|go|rs|java|md|sql|ya?ml|json)\b")
-    long_ = F.size(F.regexp_extract_all(query, F.lit(r"([\p{L}]{3,})"), 1)) >= 5
+    """Struct (dense_w, sparse_w): symbols and paths lean to words, questions of five words or more to meaning."""
+    long_ = F.size(F.filter(F.regexp_extract_all(query, F.lit("([A-Za-z']+)"), 1), lambda w: F.length(w) >= 3)) >= 5
     pair = lambda d, s: F.struct(F.lit(d).alias("dense_w"), F.lit(s).alias("sparse_w"))
-    return F.when(symbol, pair(0.8, 1.2)).when(long_, pair(1.2, 0.8)).otherwise(pair(1.0, 1.0))
+    return F.when(query.rlike(SYMBOL_SHAPE), pair(0.8, 1.2)).when(long_, pair(1.2, 0.8)).otherwise(pair(1.0, 1.0))
 
 
 def overlap_score(query: Column, doc: Column) -> Column:
@@ -109,41 +136,35 @@ def grep_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(GREP_STOPWORDS)))
 
 
-def grep(queries: DataFrame, chunks: DataFrame, k: int = 12) -> DataFrame:
+def grep(queries: DataFrame, chunks: DataFrame, k: int = 12, most_asked: int = 200_000) -> DataFrame:
     """(query_id, id, line, score, excerpt, rank): line search of (query_id, query) over chunks.
 
-    ``chunks``: id, uri, path, start_line, content. Queries are a stated small set against all
-    chunks: the distinct terms of all queries form one automaton that passes over each
-    chunk once, whatever their number; only chunks that hold a term meet the queries.
+    ``chunks``: id, uri, path, start_line, content. A term is met by its first four characters: a chunk's
+    runs of four meet the terms that begin with them, and only those are searched for. The terms are
+    broadcast while there are ``most_asked`` or fewer. As a score lies between 10 and 12 times the number of
+    matched terms, most pairs drop out by that number before any content is shuffled. With product_id in
+    both tables, hits are of the query's product.
     """
-    asked = queries.select("query_id", F.explode(grep_terms(F.col("query"))).alias("t"))
-    every = [r.t for r in asked.select("t").distinct().collect()]  # bounded by the query set
-    shared = queries.sparkSession.sparkContext.broadcast(every)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = ahocorasick.Automaton()
-        for t in shared.value:
-            auto.add_word(t, t)
-        auto.make_automaton()
-        for b in batches:
-            hit = [sorted({t for _, t in auto.iter(h)}) if shared.value and h else [] for h in b.column(b.num_columns - 1).to_pylist()]
-            keep = pa.array([bool(h) for h in hit])
-            cols = [c.filter(keep) for c in b.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([h for h in hit if h], pa.list_(pa.string()))], [*b.schema.names[:-1], "found"])
-
-    own = chunks.select("id", "uri", F.coalesce("path", F.lit("")).alias("path"), F.col("start_line").cast("int").alias("start_line"), "content")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
-    hay = own.withColumn("hay", F.lower(F.concat_ws("\n", "uri", "path", "content")))
-    hit = hay.mapInArrow(find, kinds + ", found array<string>")
-    pairs = hit.select("id", F.explode("found").alias("t")).join(asked, "t").groupBy("query_id", "id").agg(F.collect_set("t").alias("matched"))
-    pairs = pairs.join(hit.drop("found"), "id")
-    lines = F.split("content", r"\r\n|\n|\r")
+    mine = scope(queries, chunks)
+    per_query = queries.select("query_id", *mine, grep_terms(F.col("query")).alias("terms"))
+    asked = per_query.select("query_id", *mine, F.explode("terms").alias("t"))
+    few = F.broadcast if asked.count() <= most_asked else lambda df: df
+    own = chunks.select("id", *mine, "uri", F.coalesce("path", F.lit("")).alias("path"), F.col("start_line").cast("int").alias("start_line"), "content")
+    hay = F.lower(F.concat_ws("\n", "uri", "path", "content"))
+    runs = F.array_distinct(F.regexp_extract_all("hay", F.lit(r"(?=([\p{L}\p{N}_./:-]{4}))"), 1))
+    names = asked.select("t", F.substring("t", 1, 4).alias("g")).distinct()
+    hit = own.select("id", *mine, hay.alias("hay")).select("id", *mine, "hay", F.explode(runs).alias("g")).join(few(names), "g").where(F.contains("hay", F.col("t")))
+    pairs = hit.select("id", *mine, "t").join(few(asked), [*mine, "t"]).groupBy("query_id", "id").agg(F.count("*").alias("m"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("m"))
+    bar = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("query_id").agg(F.min("m").alias("bar"))
+    pairs = pairs.join(bar, "query_id").where("12 * m >= 10 * bar").select("query_id", "id")
+    scored = pairs.join(own.drop(*mine), "id").join(per_query.select("query_id", "terms"), "query_id")
+    scored = scored.withColumn("matched", F.filter("terms", lambda t: F.contains(hay, t))).withColumn("lines", F.split("content", r"\r\n|\n|\r"))
     # a term's matches in the lines; the best line is the first of the most
-    low = F.transform(lines, lambda x: F.lower(x))
+    low = F.transform("lines", lambda x: F.lower(x))
     per = F.transform(low, lambda x, i: F.struct(F.size(F.filter("matched", lambda t: F.contains(x, t))).alias("n"), (-i).alias("at")))
-    best = F.array_max(per)
     head = F.transform(F.array(F.lower(F.concat_ws(" ", "uri", "path"))), lambda h: F.size(F.filter("matched", lambda t: F.contains(h, t))))[0]
-    scored = pairs.withColumn("best", best).withColumn("lines", lines)
+    scored = scored.withColumn("best", F.array_max(per))
     score = 10 * F.size("matched") + F.col("best.n") + head
     at = -F.col("best.at")
     near = F.slice("lines", F.greatest(at, F.lit(1)), F.when(at > 0, 3).otherwise(2))
@@ -154,7 +175,7 @@ def grep(queries: DataFrame, chunks: DataFrame, k: int = 12) -> DataFrame:
 
 def select_evidence(hits: DataFrame, limit: int) -> DataFrame:
     """Best row of each chunk; then one for each file in score order before the rest."""
-    best = Window.partitionBy("query_id", "id").orderBy(F.desc("score"))
+    best = Window.partitionBy("query_id", "id").orderBy(F.desc("score"), "uri")
     own = hits.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
     per = Window.partitionBy("query_id", "uri").orderBy(F.desc("score"), "id")
     own = own.withColumn("_later", F.row_number().over(per) > 1)

@@ -53,7 +53,7 @@ def _rankings(spark, d):
     return a.unionByName(b)
 
 
-_SHAPE = r"""CASE WHEN regexp_matches(query, '[A-Za-z0-9]_[A-Za-z0-9]|[a-z][A-Z]|\w\(|[\w-]+/[\w./-]+|\w+\.(py|ts|tsx|js|jsx|go|rs|java|md|sql|ya?ml|json)\b') THEN 0 WHEN len(regexp_extract_all(query, '\p{L}{3,}')) >= 5 THEN 1 ELSE 2 END"""
+_SHAPE = rf"""CASE WHEN regexp_matches(query, '{ranking.SYMBOL_SHAPE}') THEN 0 WHEN len(list_filter(regexp_extract_all(query, '[A-Za-z'']+'), lambda w: length(w) >= 3)) >= 5 THEN 1 ELSE 2 END"""
 _FUSE = rf"""
 , w AS (SELECT query_id, {_SHAPE} AS s FROM queries),
 fr AS (SELECT query_id, 'bm25' AS source, rank, id, [1.2, 0.8, 1.0][s + 1] AS weight FROM bmk JOIN w USING (query_id) UNION ALL SELECT query_id, 'grep', rank, id, [0.8, 1.2, 1.0][s + 1] FROM grk JOIN w USING (query_id)),
@@ -66,9 +66,21 @@ def rrf_hybrid(spark, d):
     return ranking.fuse(_rankings(spark, d)).select("query_id", "id", "score", "source", "rank")
 
 
-@query(rf"SELECT query_id, [0.8, 1.2, 1.0][{_SHAPE} + 1] AS dense_w, [1.2, 0.8, 1.0][{_SHAPE} + 1] AS sparse_w FROM queries")
+#: Questions of many shapes: the whole text, with a symbol, a path or a dotted name appended or none.
+_TEMPLATE = "CASE item_id % 6 WHEN 0 THEN text WHEN 1 THEN text || ' get_user' WHEN 2 THEN text || ' see src/app.py' WHEN 3 THEN text || ' a.b' WHEN 4 THEN 'MAX_N a/b auth' ELSE text || ' getUserById' END"
+
+
+def _templated(spark, d):
+    t = F.col("query")
+    plus = lambda s: F.concat(t, F.lit(s))
+    m = F.col("query_id") % 6
+    text = F.when(m == 0, t).when(m == 1, plus(" get_user")).when(m == 2, plus(" see src/app.py")).when(m == 3, plus(" a.b")).when(m == 4, F.lit("MAX_N a/b auth")).otherwise(plus(" getUserById"))
+    return queries(spark, d).select("query_id", text.alias("query"))
+
+
+@query(rf", asked AS (SELECT item_id AS query_id, {_TEMPLATE} AS query FROM benchmark) SELECT query_id, CAST([0.8, 1.2, 1.0][{_SHAPE} + 1] AS DOUBLE) AS dense_w, CAST([1.2, 0.8, 1.0][{_SHAPE} + 1] AS DOUBLE) AS sparse_w FROM asked")
 def shape_weights(spark, d):
-    return queries(spark, d).select("query_id", ranking.shape_weights(F.col("query")).alias("w")).select("query_id", "w.*")
+    return _templated(spark, d).select("query_id", ranking.shape_weights(F.col("query")).alias("w")).select("query_id", "w.*")
 
 
 _DENSE = """
