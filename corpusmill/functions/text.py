@@ -76,3 +76,8 @@ def document_window(doc: Column, chunk: Column, most: int = 22_000, mark: str =
     start = F.greatest(F.lit(1), F.when(at > 0, at - most // 2).otherwise(F.lit(1)))
     cut = F.substring(doc, start, F.lit(most))
     return F.when(F.length(doc) <= most, doc).otherwise(F.concat(F.when(start > 1, mark).otherwise(""), cut, F.when(start + most <= F.length(doc), mark).otherwise("")))
+
+
+def runs(text: Column, n: int, of: str = ".") -> Column:
+    """The distinct stretches of ``n`` characters: what contains a term contains the term's first run."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({of}{{{n}}}))"), 1))

@@ -51,24 +51,24 @@ def heading_chunks(docs: DataFrame) -> DataFrame:
 
 
 def split_lines(lines: list[str], start: int) -> list[tuple[int, int, str]]:
-    """Pieces (first line, last line, text) of about TARGET characters on line boundaries.
+    """Pieces (first line, last line, text) of up to TARGET characters on line boundaries; a longer line is one alone.
 
     Each later piece begins with trailing lines of the one before, of OVERLAP characters or
     more in all; their line numbers are the real ones.
     """
+    sizes = [len(x) + 1 for x in lines]
     out: list[tuple[int, int, str]] = []
     first, size = 0, 0
-    for i, line in enumerate(lines):
-        size += len(line) + 1
-        if size >= TARGET and i + 1 < len(lines):
-            out.append((start + first, start + i, "\n".join(lines[first : i + 1])))
-            back, kept = i, len(lines[i])
-            while kept < OVERLAP and back > first + 1:
+    for i, n in enumerate(sizes):
+        if i > first and size + n > TARGET:
+            out.append((start + first, start + i - 1, "\n".join(lines[first:i])))
+            back, size = i - 1, sizes[i - 1]
+            while size < OVERLAP and back > first:
                 back -= 1
-                kept += len(lines[back]) + 1
-            first = back if back > first else i + 1
-            size = sum(len(x) + 1 for x in lines[first : i + 1])
-    if first < len(lines):
+                size += sizes[back]
+            first = back
+        size += n
+    if lines:
         out.append((start + first, start + len(lines) - 1, "\n".join(lines[first:])))
     return out
 

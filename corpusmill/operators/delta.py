@@ -40,10 +40,21 @@ def broken(manifest: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def stale_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(uri, chunk_id) of old chunks that the new version of a re-indexed resource no longer has."""
-    have = new.groupBy("uri").agg(F.collect_set("chunk_id").alias("_new"))
-    both = old.join(have, "uri")
-    return both.select("uri", F.explode(F.array_except("chunk_ids", "_new")).alias("chunk_id"))
+    """(product_id, uri, chunk_id) of old chunks that the new version of a re-indexed resource no longer has."""
+    key = ["product_id", "uri"]
+    have = new.groupBy(*key).agg(F.collect_set("chunk_id").alias("_new"))
+    return old.join(have, key).select(*key, F.explode(F.array_except("chunk_ids", "_new")).alias("chunk_id"))
+
+
+def vectors_due(classified: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` of the classified resources (product_id, uri, action) with ``embed``: true where a new vector is due.
+
+    Of a graph_refresh only community summaries are embedded anew; its other chunks, and those of
+    unchanged resources, get their payload patched at most.
+    """
+    own = points.join(classified.select("product_id", "uri", "action"), ["product_id", "uri"])
+    due = F.col("action").isin("added", "updated") | ((F.col("action") == "graph_refresh") & (F.col("artifact_type") == "graph_community_summary"))
+    return own.withColumn("embed", F.coalesce(due, F.lit(False)))
 
 
 def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -53,9 +64,9 @@ def latest(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with their key."""
+    """``old`` with the rows of ``new`` in place of those with their key; of several new rows, the last by all columns."""
     both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)), allowMissingColumns=True)
-    return latest(both, key, F.col("_age")).drop("_age")
+    return latest(both, key, F.col("_age"), F.to_json(F.struct(*[c for c in both.columns if c != "_age"])).desc()).drop("_age")
 
 
 def mark_pending(manifest: DataFrame, uris: DataFrame, at: Column) -> DataFrame:
@@ -77,7 +88,7 @@ def chunk_ids(manifest: DataFrame) -> DataFrame:
 
 
 def counters(classified: DataFrame) -> DataFrame:
-    """Per product the number of resources of each action, and the run's status."""
+    """Per product the number of resources of each action; ``run_status`` gives the run's status."""
     n = {a: F.count_if(F.col("action") == a) for a in ("added", "updated", "unchanged", "graph_refresh")}
     out = classified.groupBy("product_id").agg(*[c.alias(a) for a, c in n.items()])
     return out

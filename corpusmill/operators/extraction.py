@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import stable_id, uuid5
 
-#: Fixed value: namespace of edge ids.
+# The namespace of edge ids; paths of tests; methods of routes; names of settings.
+TEST_PATH = r"(?i)(^|/)(tests?|__tests__)/|(^|/|_)(test|spec)[_.-]"
+ROUTE_METHODS = "get|post|put|patch|delete|options|head"
+SETTING = "[A-Z0-9_]+"
 EDGE_NAMESPACE = "1a41a1f2-a486-4aa7-bad5-a1a263ad91c2"
 
 
@@ -18,7 +21,7 @@ def file_labels(uri: Column, code: Column) -> Column:
     some = lambda c, name: F.when(c, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     low = F.lower(uri)
     return F.concat(
-        F.when(code, F.array(F.lit("CodeFile"))).otherwise(F.array(F.lit("Document"))), some(low.rlike(r"(^|/)tests?/|(^|/)test_|_test\.|\.test\.|\.spec\."), "Test"),
+        F.when(code, F.array(F.lit("CodeFile"))).otherwise(F.array(F.lit("Document"))), some(low.rlike(TEST_PATH), "Test"),
         some(low.rlike(r"(^|/)migrations?/"), "Migration"), some(low.rlike(r"\.(ya?ml|toml|ini|env|cfg)$"), "Config"),
     )
 
@@ -39,7 +42,7 @@ def file_graph(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def symbol_graph(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Class or Function nodes of (product_id, uri, name, kind, start_line) and DECLARES (or COVERS, for tests) edges."""
-    p, test = F.col("product_id"), F.col("uri").rlike(r"(^|/)tests?/|(^|/)test_") | F.col("name").rlike("^[Tt]est")
+    p, test = F.col("product_id"), F.col("uri").rlike(TEST_PATH) | F.col("name").rlike("^[Tt]est")
     id_, module = stable_id(F.lit("symbol"), p, F.col("uri"), F.col("name")), stable_id(F.lit("module"), p, F.regexp_replace("uri", r"\.[^./]*$", ""))
     label = F.when(F.col("kind").isin("class", "interface", "struct", "enum", "trait"), "Class").otherwise("Function")
     nodes = symbols.select("product_id", id_.alias("id"), F.array_compact(F.array(label, F.when(test, "Test"))).alias("labels"), "name", "uri", "start_line").distinct()
@@ -55,7 +58,8 @@ def imports(lines: DataFrame) -> DataFrame:
     )
     x = lines.select("product_id", "uri", name.alias("module")).where("module is not null").distinct()
     first = F.regexp_extract("module", r"^([^./]*)", 1)
-    return x.withColumn("external", ~F.startswith("module", F.lit(".")) & ~F.contains(F.concat(F.lit("/"), "uri"), F.concat(F.lit("/"), first)))
+    folders = F.split(F.regexp_replace("uri", r"/?[^/]*$", ""), "/")
+    return x.withColumn("external", ~F.startswith("module", F.lit(".")) & ~F.array_contains(folders, first))
 
 
 def imported_names(lines: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def call_edges(calls: DataFrame, spans: DataFrame, names: DataFrame) -> DataFram
 
 def routes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """(product_id, uri, line, method, path, handler): route decorators and the next symbol that starts there or after."""
-    pattern = r"""@\w+\.(get|post|put|patch|delete)\(\s*['"]([^'"]+)['"]"""
+    pattern = rf"""(?i)@[\w.]+\.({ROUTE_METHODS})\(\s*['"]([^'"]+)['"]"""
     r = lines.select("product_id", "uri", "line", F.upper(F.regexp_extract("content", pattern, 1)).alias("method"), F.regexp_replace(F.regexp_extract("content", pattern, 2), r"\{[^}]*\}", "{}").alias("path")).where("method <> ''")
     both = r.select("product_id", "uri", F.col("line").alias("at"), F.lit(0).alias("s"), F.lit(None).cast("string").alias("name")).unionByName(symbols.select("product_id", "uri", F.col("start_line").alias("at"), F.lit(1).alias("s"), "name"))
     w = Window.partitionBy("product_id", "uri").orderBy("at", "s").rowsBetween(0, Window.unboundedFollowing)
@@ -93,9 +97,17 @@ def routes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return r.join(nxt, ["product_id", "uri", "line"])
 
 
+def route_edges(routes: DataFrame) -> DataFrame:
+    """(product_id, src, type, dst) of routes: the handler HANDLES its endpoint, the file EXPOSES it."""
+    p = F.col("product_id")
+    api = stable_id(F.lit("api"), p, F.col("method"), F.col("path"))
+    handled = routes.where("handler is not null").select("product_id", stable_id(F.lit("symbol"), p, F.col("uri"), F.col("handler")).alias("src"), F.lit("HANDLES").alias("type"), api.alias("dst"))
+    return handled.unionByName(routes.select("product_id", stable_id(F.lit("file"), p, F.col("uri")).alias("src"), F.lit("EXPOSES").alias("type"), api.alias("dst"))).distinct()
+
+
 def config_reads(lines: DataFrame) -> DataFrame:
-    q = r"""['"]([A-Za-z_][A-Za-z0-9_]*)['"]"""
-    keys = F.concat(*[F.regexp_extract_all("content", F.lit(p), 1) for p in (rf"os\.environ\[{q}\]", rf"os\.(?:getenv|environ\.get)\({q}", r"process\.env\.([A-Za-z_][A-Za-z0-9_]*)")])
+    q = rf"""\(\s*['"]({SETTING})['"]"""
+    keys = F.concat(*[F.regexp_extract_all("content", F.lit(p), 1) for p in (rf"os\.environ(?:\.get)?{q}", rf"os\.getenv{q}", rf"process\.env\.({SETTING})")])
     return lines.select("product_id", "uri", "line", F.explode(F.array_distinct(keys)).alias("key"))
 
 

@@ -23,6 +23,19 @@ def delete_ids(points: DataFrame, ids: DataFrame) -> DataFrame:
     return points.join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
+def delete_products(points: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points without those of the products (product_id), and how many of each product and kind went: 0 where there were none."""
+    gone = products.select("product_id").distinct()
+    kinds = gone.select("product_id", F.explode(F.array(F.lit("code"), F.lit("text"))).alias("kind"))
+    n = points.join(gone, "product_id", "left_semi").groupBy("product_id", "kind").agg(F.count("*").alias("n"))
+    return points.join(gone, "product_id", "left_anti"), kinds.join(n, ["product_id", "kind"], "left").select("product_id", "kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def payloads(points: DataFrame) -> DataFrame:
+    """All columns of the points but their vectors."""
+    return points.drop("vector")
+
+
 def counts(points: DataFrame) -> DataFrame:
     return points.groupBy("product_id").agg(F.count_if(F.col("kind") == "code").alias("code"), F.count_if(F.col("kind") == "text").alias("text"), F.count("*").alias("total"))
 
@@ -54,8 +67,9 @@ def by_ids(points: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
 
 
 def tagged(points: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
-    """Chunks that carry a node of the query, score 1, ``limit`` a kind: (query_id, chunk_id, kind, score)."""
-    hit = points.select("chunk_id", "kind", F.explode("graph_node_ids").alias("node_id")).join(nodes, "node_id").select("query_id", "chunk_id", "kind").distinct()
+    """Chunks that carry a node of the query (query_id, node_id[, product_id]), score 1, ``limit`` a kind: (query_id, chunk_id, kind, rank, score)."""
+    own = ["product_id"] if "product_id" in points.columns and "product_id" in nodes.columns else []
+    hit = points.select(*own, "chunk_id", "kind", F.explode("graph_node_ids").alias("node_id")).join(nodes, [*own, "node_id"]).select("query_id", "chunk_id", "kind").distinct()
     w = Window.partitionBy("query_id", "kind").orderBy("chunk_id")
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("score", F.lit(1.0))
 

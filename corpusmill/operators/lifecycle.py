@@ -71,13 +71,18 @@ def product_stage(products: DataFrame, sources: DataFrame, skills: DataFrame, pr
     return x.select("product_id", stage.alias("stage"), F.coalesce("live", F.lit(False)).alias("live"))
 
 
-def queue_step(jobs: DataFrame, claim: int, max_attempts: int = 3) -> DataFrame:
-    """Jobs after one turn: the ``claim`` oldest pending ones with attempts left run; failed ones retry or end."""
+def queue_step(jobs: DataFrame, claim: int, at: Column, max_attempts: int = 3) -> DataFrame:
+    """Jobs after one turn at ``at``: done ones leave, failed ones (error) retry or end, and of all products' pending
+    ones with attempts left the ``claim`` that were touched longest ago run, one attempt more.
+
+    The claimed are found by a global top-n, so no window gathers the queue.
+    """
     open_ = (F.col("status") == "pending") & (F.col("attempts") < max_attempts)
-    order = Window.partitionBy("product_id").orderBy(~open_, "created_at", "id")
-    x = jobs.withColumn("_n", F.row_number().over(order))
-    status = F.when(open_ & (F.col("_n") <= claim), "running").when(F.col("status") == "error", F.when(F.col("attempts") < max_attempts, "pending").otherwise("failed")).otherwise(F.col("status"))
-    return x.withColumn("status", status).drop("_n")
+    next_ = jobs.where(open_).orderBy("updated_at", "id").limit(claim).select("id", F.lit(True).alias("_mine"))
+    x = jobs.where("status <> 'done'").join(F.broadcast(next_), "id", "left")  # ``claim`` rows at most
+    status = F.when(F.col("_mine"), "running").when(F.col("status") == "error", F.when(F.col("attempts") < max_attempts, "pending").otherwise("failed")).otherwise(F.col("status"))
+    moved = F.col("_mine").isNotNull() | (F.col("status") == "error")
+    return x.select(*[c for c in jobs.columns if c not in ("status", "attempts", "updated_at")], status.alias("status"), (F.col("attempts") + F.col("_mine").isNotNull().cast("int")).alias("attempts"), F.when(moved, at).otherwise(F.col("updated_at")).alias("updated_at"))
 
 
 def queue_counts(jobs: DataFrame, statuses: tuple[str, ...] = ("pending", "running", "done", "failed")) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import WORD, terms
+from ..functions.text import WORD, runs, terms
 
 #: Words that are no search terms of a line search.
 GREP_STOPWORDS = """also anti are before check citation citations concrete data does draft evidence exact file flow from gotchas heading
@@ -151,9 +151,8 @@ def grep(queries: DataFrame, chunks: DataFrame, k: int = 12, most_asked: int = 2
     few = F.broadcast if asked.count() <= most_asked else lambda df: df
     own = chunks.select("id", *mine, "uri", F.coalesce("path", F.lit("")).alias("path"), F.col("start_line").cast("int").alias("start_line"), "content")
     hay = F.lower(F.concat_ws("\n", "uri", "path", "content"))
-    runs = F.array_distinct(F.regexp_extract_all("hay", F.lit(r"(?=([\p{L}\p{N}_./:-]{4}))"), 1))
     names = asked.select("t", F.substring("t", 1, 4).alias("g")).distinct()
-    hit = own.select("id", *mine, hay.alias("hay")).select("id", *mine, "hay", F.explode(runs).alias("g")).join(few(names), "g").where(F.contains("hay", F.col("t")))
+    hit = own.select("id", *mine, hay.alias("hay")).select("id", *mine, "hay", F.explode(runs(F.col("hay"), 4, r"[\p{L}\p{N}_./:-]")).alias("g")).join(few(names), "g").where(F.contains("hay", F.col("t")))
     pairs = hit.select("id", *mine, "t").join(few(asked), [*mine, "t"]).groupBy("query_id", "id").agg(F.count("*").alias("m"))
     best = Window.partitionBy("query_id").orderBy(F.desc("m"))
     bar = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("query_id").agg(F.min("m").alias("bar"))

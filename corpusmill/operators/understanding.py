@@ -12,7 +12,6 @@ SYMBOL = r"\b([A-Za-z_][A-Za-z0-9_]{2,})\b"
 CALL = r"\b([A-Za-z_][A-Za-z0-9_]{2,})\s*\("
 STOPWORDS = "how what why when where which who does did can the this that these those and but for are is was".split()
 LOCAL = "where defined definition symbol constant function class file route".split()
-GLOBAL = "architecture strategy pipeline overview explain how flow design system".split()
 RELATIONAL = "uses use depends dependency impact calls called owns reads writes connects".split()
 PROCEDURAL = "should change debug review implement fix test".split()
 FACET_EDGES = {
@@ -23,6 +22,12 @@ FACET_EDGES = {
     "implementation": ["CALLS", "DECLARES", "CONTAINS", "HANDLES"],
     "source": ["CONTAINS", "DECLARES", "DOCUMENTS"],
 }
+SHAPE_EDGES = {
+    "relational": ["IMPORTS", "CALLS", "DEPENDS_ON", "HANDLES", "READS", "WRITES", "DECLARES", "CONTAINS"],
+    "global": ["CONTAINS", "DECLARES", "DOCUMENTS", "COVERS", "IMPLEMENTS", "RELATED_TO"],
+    "other": ["CONTAINS", "DECLARES", "HANDLES", "READS", "WRITES", "DOCUMENTS"],
+}
+FOLLOWUPS = ["implementation", "data flow", "tests", "configuration"]
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -60,12 +65,8 @@ def edge_types(facets: Column, shape: Column) -> Column:
     """The edge types a query's facets ask for, in order; the shape's if there are no facets."""
     table = F.create_map(*[x for k, v in FACET_EDGES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     own = F.array_distinct(F.flatten(F.transform(F.filter(facets, lambda f: F.map_contains_key(table, f)), lambda f: table[f])))
-    lit = lambda s: F.array(*map(F.lit, s.split()))
-    default = (
-        F.when(shape == "relational", lit("IMPORTS CALLS DEPENDS_ON HANDLES READS WRITES DECLARES CONTAINS"))
-        .when(shape == "global", lit("CONTAINS DECLARES DOCUMENTS COVERS IMPLEMENTS RELATED_TO"))
-        .otherwise(lit("CONTAINS DECLARES HANDLES READS WRITES DOCUMENTS"))
-    )
+    lit = lambda names: F.array(*map(F.lit, names))
+    default = F.when(shape == "relational", lit(SHAPE_EDGES["relational"])).when(shape == "global", lit(SHAPE_EDGES["global"])).otherwise(lit(SHAPE_EDGES["other"]))
     return F.when(F.size(own) > 0, own).otherwise(default)
 
 
@@ -101,7 +102,10 @@ def bias_terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: F.length(w) >= 3)
 
 
-def followups(seeds: DataFrame, most: int = 4) -> DataFrame:
-    """(query_id, no, query): fragments (query_id, pos, fragment) in order, the first ``most``."""
-    got = seeds.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "fragment"))).alias("f"))
-    return got.select("query_id", F.posexplode(F.slice(F.array_distinct(F.transform("f", lambda x: x["fragment"])), 1, most)).alias("no", "query"))
+def followups(queries: DataFrame, seeds: DataFrame, most: int = 4) -> DataFrame:
+    """(query_id, no, query): each query with its fragments (query_id, pos, fragment) appended, the first ``most``; with none, the default ones."""
+    got = seeds.where("fragment <> ''").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("pos", "fragment"))).alias("f"))
+    own = F.array_distinct(F.transform("f", lambda x: x["fragment"]))
+    some = F.slice(F.coalesce(own, F.array(*map(F.lit, FOLLOWUPS))), 1, most)
+    x = queries.join(got, "query_id", "left").select("query_id", "query", F.posexplode(some).alias("no", "fragment"))
+    return x.select("query_id", "no", F.concat_ws(" ", "query", "fragment").alias("query"))

@@ -26,7 +26,7 @@ def delta_forward_repair(spark, d):
     return delta.broken(manifest(spark, d), chunks(spark, d)).select("product_id", "uri")
 
 
-@query("SELECT uri, unnest(list_filter(m.chunk_ids, lambda x: NOT list_contains(c.ids, x))) AS chunk_id FROM manifest m JOIN (SELECT uri, list(chunk_id) AS ids FROM chunks GROUP BY uri) c USING (uri)")
+@query("SELECT product_id, uri, unnest(list_filter(m.chunk_ids, lambda x: NOT list_contains(c.ids, x))) AS chunk_id FROM manifest m JOIN (SELECT product_id, uri, list(chunk_id) AS ids FROM chunks GROUP BY product_id, uri) c USING (product_id, uri)")
 def delta_stale_chunks(spark, d):
     return delta.stale_chunks(manifest(spark, d), chunks(spark, d))
 

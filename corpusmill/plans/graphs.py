@@ -26,6 +26,22 @@ def resolve_entity(spark, d):
     return graph.resolve(m, nodes(spark, d))
 
 
+@query(f"""
+, {_SEEDS}, sd AS (SELECT query_id, seed AS s, CASE query_id WHEN 0 THEN ['DEPENDS_ON'] WHEN 1 THEN ['MENTIONS', 'CONTAINS'] WHEN 2 THEN ['nonsense'] ELSE ['CONTAINS', 'OWNS'] END AS ty FROM seeds),
+st AS (SELECT src AS a, src || '|' || type || '|' || dst AS e, dst AS b, type, false AS back FROM edges UNION ALL SELECT dst, src || '|' || type || '|' || dst, src, type, true FROM edges),
+w AS (SELECT query_id, s AS seed, ty, s AS here, 0 AS depth, [s] AS path, CAST([] AS VARCHAR[]) AS es FROM sd WHERE query_id <> 2
+  UNION ALL SELECT query_id, seed, ty, b, depth + 1, list_append(path, b), list_append(es, e) FROM w JOIN st ON a = here WHERE depth < 2 AND NOT list_contains(es, e) AND list_contains(ty, type) AND NOT (ty = ['DEPENDS_ON'] AND back)),
+l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, array_to_string(path, '>'), array_to_string(es, '>')) AS n FROM w WHERE depth > 0)
+SELECT query_id, seed, depth, array_to_string(path, '>') AS path FROM l WHERE n <= CASE query_id WHEN 1 THEN 40 ELSE 80 END""")
+def traverse_limited(spark, d):
+    """Each query's own edge types: directed ones go forward only, unknown ones nowhere, hubs have less room."""
+    q = F.col("query_id")
+    kinds = lambda *n: F.array(*map(F.lit, n))
+    own = F.when(q == 0, kinds("DEPENDS_ON")).when(q == 1, kinds("MENTIONS", "CONTAINS")).when(q == 2, kinds("nonsense")).otherwise(kinds("CONTAINS", "OWNS"))
+    x = graph.traverse(_seeds(spark, d).withColumn("types", own), edges(spark, d), None, 2, 80, known=["CONTAINS", "OWNS", "DEPENDS_ON", "MENTIONS"])
+    return x.select("query_id", "seed", "depth", F.array_join("path", ">").alias("path"))
+
+
 @query(f"""
 , {_SEEDS}, st AS (SELECT src AS a, src || '|' || type || '|' || dst AS e, dst AS b FROM edges WHERE type IN ('CONTAINS', 'OWNS') UNION ALL SELECT dst, src || '|' || type || '|' || dst, src FROM edges WHERE type IN ('CONTAINS', 'OWNS')),
 w AS (SELECT query_id, seed, seed AS here, 0 AS depth, [seed] AS path, CAST([] AS VARCHAR[]) AS es FROM seeds UNION ALL SELECT query_id, seed, b, depth + 1, list_append(path, b), list_append(es, e) FROM w JOIN st ON a = here WHERE depth < 3 AND NOT list_contains(es, e))
@@ -55,16 +71,11 @@ def dependency_sides(spark, d):
 
 @query(f"""
 , {_SEEDS}, a AS (SELECT DISTINCT query_id, dst AS id FROM seeds JOIN edges ON src = seed), c AS (SELECT query_id, id, confidence, 0 AS s FROM a JOIN nodes USING (id) UNION ALL SELECT query_id, seed, confidence, 1 FROM seeds JOIN nodes ON id = seed)
-SELECT query_id, round(least(0.75 * avg(confidence), 0.95), 3) AS confidence FROM c GROUP BY 1""")
+SELECT query_id, round(least((CASE WHEN query_id % 2 = 0 THEN 0.9 ELSE 0.75 END) * avg(confidence), 0.95), 3) AS confidence FROM c GROUP BY 1""")
 def impact_confidence(spark, d):
     s = _seeds(spark, d)
     a = s.join(edges(spark, d), F.col("seed") == F.col("src")).select("query_id", F.col("dst").alias("id")).distinct()
-    return graph.impact_confidence(s, a, nodes(spark, d), s.limit(0))
-
-
-@query("SELECT labels[1] AS label, count(*) AS nodes, round(avg(confidence), 6) AS confidence FROM nodes GROUP BY 1")
-def node_counts(spark, d):
-    return nodes(spark, d).groupBy(F.element_at("labels", 1).alias("label")).agg(F.count("*").alias("nodes"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return graph.impact_confidence(s, a, nodes(spark, d), a.where("query_id % 2 = 0"))
 
 
 @query("""
@@ -91,50 +102,111 @@ def neighbor_top8(spark, d):
     return extraction.neighbour_chunks(tags, e, c)
 
 
-_CODE = r"""
-, code AS (SELECT product_id, uri, doc_id, 'from ' || lang || '.base import a' || doc_id || ', b as c' || chr(10) || '@app.get("/p/{id}")' || chr(10) || 'def f' || doc_id || '():' || chr(10) || '  return os.environ["KEY_' || doc_id || '"]' || chr(10) || 'CREATE TABLE t' || doc_id || ' (x)' AS content FROM resources)"""
+#: Source files of four kinds, by doc_id, with the document's whole text below.
+_KINDS = [
+    """from LANG.base import aID, b as c
+@app.get("/p/{id}")
+def fID():
+  return os.environ.get("KEY_ID")
+CREATE TABLE tID (x)
+""",
+    """import PROD.core
+import os
+@api.v1.router.post('/q/{name}/x')
+async def gID(x):
+  return os.getenv('TOKEN_ID') + os.getenv('lower')
+ALTER TABLE IF EXISTS s.tID ADD y
+""",
+    """import {A as B, C} from './lib/xID'
+function hID(a) {
+  return process.env.PORT_ID
+}
+""",
+    """class KID:
+  @x.options("/o")
+  def mID(self):
+    pass
+DROP TABLE "qID"
+""",
+]
+_CODE = ", code AS (SELECT product_id, uri, doc_id, lang, doc_id % 4 AS k FROM resources)"
 
 
 def _code_lines(spark, d):
     from ..operators.chunking import lines_of
     from .inputs import resources
 
-    i = F.col("doc_id")
-    text = F.concat(F.lit("from "), "lang", F.lit(".base import a"), i, F.lit(', b as c\n@app.get("/p/{id}")\ndef f'), i, F.lit('():\n  return os.environ["KEY_'), i, F.lit('"]\nCREATE TABLE t'), i, F.lit(" (x)"))
-    return lines_of(resources(spark, d).withColumn("content", text))
+    text = F.lit("")
+    for k, kind in enumerate(_KINDS):
+        x = F.lit(kind)
+        for mark, col in (("LANG", F.col("lang")), ("PROD", F.col("product_id")), ("ID", F.col("doc_id").cast("string"))):
+            x = F.replace(x, F.lit(mark), col)
+        text = F.when(F.col("doc_id") % 4 == k, x).otherwise(text)
+    return lines_of(resources(spark, d).withColumn("content", F.concat(text, "content")))
 
 
-@query(_CODE + " SELECT product_id, uri, lang || '.base' AS module, NOT contains('/' || uri, '/' || lang) AS external FROM code JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
+@query(_CODE + """ SELECT product_id, uri, lang || '.base' AS module, true AS external FROM code WHERE k = 0 UNION ALL SELECT product_id, uri, product_id || '.core', false FROM code WHERE k = 1
+UNION ALL SELECT product_id, uri, 'os', true FROM code WHERE k = 1 UNION ALL SELECT product_id, uri, './lib/x' || doc_id, false FROM code WHERE k = 2""")
 def import_edges(spark, d):
     return extraction.imports(_code_lines(spark, d))
 
 
-@query(_CODE + " SELECT uri, 'a' || doc_id AS local, lang || '.base' AS module FROM code JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) UNION ALL SELECT uri, 'c', lang || '.base' FROM code JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)")
+@query(_CODE + """ SELECT uri, 'a' || doc_id AS local, lang || '.base' AS module FROM code WHERE k = 0 UNION ALL SELECT uri, 'c', lang || '.base' FROM code WHERE k = 0
+UNION ALL SELECT uri, unnest(['B', 'C']), './lib/x' || doc_id FROM code WHERE k = 2""")
 def imported_names(spark, d):
     return extraction.imported_names(_code_lines(spark, d)).select("uri", "local", "module")
 
 
-@query(_CODE + " SELECT uri, 2 AS line, 'GET' AS method, '/p/{}' AS path, 'f' || doc_id AS handler FROM code")
-def route_handlers(spark, d):
+_ROUTES = """, rt AS (SELECT product_id, uri, 2 AS line, 'GET' AS method, '/p/{}' AS path, 'f' || doc_id AS handler FROM code WHERE k = 0 UNION ALL SELECT product_id, uri, 3, 'POST', '/q/{}/x', 'g' || doc_id FROM code WHERE k = 1
+UNION ALL SELECT product_id, uri, 2, 'OPTIONS', '/o', 'm' || doc_id FROM code WHERE k = 3)"""
+
+
+def _routes(spark, d):
     x = _code_lines(spark, d)
-    return extraction.routes(x, summaries.declarations(x).withColumnRenamed("line", "start_line")).select("uri", "line", "method", "path", "handler")
+    return extraction.routes(x, summaries.declarations(x).withColumnRenamed("line", "start_line"))
 
 
-@query(_CODE + " SELECT uri, 'KEY_' || doc_id AS name, 'READS' AS type FROM code UNION ALL SELECT uri, 't' || doc_id, 'WRITES' FROM code")
+@query(_CODE + _ROUTES + " SELECT uri, line, method, path, handler FROM rt")
+def route_handlers(spark, d):
+    return _routes(spark, d).select("uri", "line", "method", "path", "handler")
+
+
+@query(_CODE + _ROUTES + """ SELECT DISTINCT product_id, 'symbol:' || product_id || ':' || uri || ':' || handler AS src, 'HANDLES' AS type, 'api:' || product_id || ':' || method || ':' || path AS dst FROM rt
+UNION ALL SELECT DISTINCT product_id, 'file:' || product_id || ':' || uri, 'EXPOSES', 'api:' || product_id || ':' || method || ':' || path FROM rt""")
+def route_edges(spark, d):
+    return extraction.route_edges(_routes(spark, d))
+
+
+@query(_CODE + """ SELECT uri, ['KEY_', 'TOKEN_', 'PORT_'][k + 1] || doc_id AS name, 'READS' AS type FROM code WHERE k < 3 UNION ALL SELECT uri, 't' || doc_id, 'WRITES' FROM code WHERE k = 0
+UNION ALL SELECT uri, 's.t' || doc_id, 'WRITES' FROM code WHERE k = 1 UNION ALL SELECT uri, 'q' || doc_id, 'WRITES' FROM code WHERE k = 3""")
 def config_and_tables(spark, d):
     x = _code_lines(spark, d)
     reads = extraction.config_reads(x).select("uri", F.col("key").alias("name"), F.lit("READS").alias("type"))
     return reads.unionByName(extraction.table_writes(x).select("uri", F.col("table").alias("name"), F.lit("WRITES").alias("type")))
 
 
-@query(_CODE + " SELECT uri, 'function' AS kind, 'f' || doc_id AS name, 'def f' || doc_id || '():' AS signature, 1 + 3 * CAST(contains(uri, 'src1') AS INTEGER) AS score FROM code")
+@query(_CODE + """, sy AS (SELECT uri, CASE k WHEN 3 THEN 'class' ELSE 'function' END AS kind, ['f', 'g', 'h', 'K'][k + 1] || doc_id AS name, replace(['def fID():', 'async def gID(x):', 'function hID(a) {', 'class KID:'][k + 1], 'ID', CAST(doc_id AS VARCHAR)) AS signature FROM code
+UNION ALL SELECT uri, 'function', 'm' || doc_id, 'def m' || doc_id || '(self):' FROM code WHERE k = 3)
+SELECT *, CASE kind WHEN 'class' THEN 2 ELSE 1 END + 3 * CAST(contains(uri, 'src1') AS INTEGER) AS score FROM sy""")
 def symbol_rank(spark, d):
     s = summaries.declarations(_code_lines(spark, d))
     return summaries.symbol_rank(s, F.array(F.lit("src1")), {"class": 2.0, "function": 1.0}).select("uri", "kind", "name", "signature", F.col("score").cast("int").alias("score"))
 
 
-@query(_CODE + " SELECT uri, 'edge:' || 'x' AS id FROM code WHERE false")
-def edge_ids_distinct(spark, d):
-    """No two edges of the star-schema graph share an id: an empty result."""
-    e = edges(spark, d).select(extraction.edge_id(F.lit("p"), F.col("src"), F.col("type"), F.col("dst"), F.lit("u")).alias("id"), F.col("src").alias("uri"))
-    return e.groupBy("id").agg(F.count("*").alias("n"), F.min("uri").alias("uri")).where("n > 1").select("uri", "id")
+@query(r"""
+, h AS (SELECT src, type, dst, sha1(unhex('1a41a1f2a4864aa7bad5a1a263ad91c2') || encode('p|' || src || '|' || type || '|' || dst || '|u')) AS h FROM edges)
+SELECT src, type, dst, 'edge:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', CAST(('0x' || h[17:17]) AS INTEGER) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS id FROM h""")
+def edge_ids(spark, d):
+    return edges(spark, d).select("src", "type", "dst", extraction.edge_id(F.lit("p"), F.col("src"), F.col("type"), F.col("dst"), F.lit("u")).alias("id"))
+
+
+@query("""
+, n AS (SELECT split_part(id, ':', 1) || '/' || right(id, 1) AS uri, labels[1] AS label, name FROM nodes), e AS (SELECT split_part(src, ':', 1) || '/' || right(src, 1) AS uri, type FROM edges),
+ln AS (SELECT uri, 'labels: ' || string_agg(label || '=' || c, ', ' ORDER BY label || '=' || c) AS l FROM (SELECT uri, label, count(*) AS c FROM n GROUP BY ALL) GROUP BY 1),
+le AS (SELECT uri, 'edges: ' || string_agg(type || '=' || c, ', ' ORDER BY type || '=' || c) AS t FROM (SELECT uri, type, count(*) AS c FROM e GROUP BY ALL) GROUP BY 1),
+nm AS (SELECT uri, 'names: ' || array_to_string(list_sort(list_distinct(list(name)))[1:24], ', ') AS m FROM n GROUP BY 1)
+SELECT uri, concat_ws(chr(10), l, t, m) AS text FROM nm JOIN ln USING (uri) LEFT JOIN le USING (uri)""")
+def structural_summary(spark, d):
+    at = lambda c: F.concat(F.split_part(c, F.lit(":"), F.lit(1)), F.lit("/"), F.right(c, F.lit(1)))
+    n, e = nodes(spark, d).withColumn("uri", at(F.col("id"))), edges(spark, d).withColumn("uri", at(F.col("src")))
+    return summaries.structural(n, e)

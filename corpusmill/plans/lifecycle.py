@@ -89,11 +89,12 @@ def _jobs(spark, d):
 
 
 @query(_JOBS + """
-, n AS (SELECT *, status = 'pending' AND attempts < 3 AS o, row_number() OVER (PARTITION BY product_id ORDER BY NOT (status = 'pending' AND attempts < 3), created_at, id) AS k FROM j),
-s AS (SELECT product_id, CASE WHEN o AND k <= 5 THEN 'running' WHEN status = 'error' THEN CASE WHEN attempts < 3 THEN 'pending' ELSE 'failed' END ELSE status END AS status FROM n)
+, c AS (SELECT id FROM j WHERE status = 'pending' AND attempts < 3 ORDER BY created_at, id LIMIT 50),
+s AS (SELECT product_id, CASE WHEN id IN (SELECT id FROM c) THEN 'running' WHEN status = 'error' THEN CASE WHEN attempts < 3 THEN 'pending' ELSE 'failed' END ELSE status END AS status FROM j WHERE status <> 'done')
 SELECT product_id, count_if(status = 'pending') AS pending, count_if(status = 'running') AS running, count_if(status = 'done') AS done, count_if(status = 'failed') AS failed FROM s GROUP BY 1""")
 def job_queue(spark, d):
-    return lifecycle.queue_counts(lifecycle.queue_step(_jobs(spark, d), 5))
+    jobs = _jobs(spark, d).withColumn("updated_at", F.col("created_at"))
+    return lifecycle.queue_counts(lifecycle.queue_step(jobs, 50, F.lit("2025-01-01").cast("timestamp")))
 
 
 @query(_EV + " SELECT event_type AS agent, skill AS model, CAST(sum(id % 100 + user_id) AS BIGINT) AS tokens FROM ev GROUP BY 1, 2")

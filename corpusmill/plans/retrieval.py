@@ -123,12 +123,12 @@ def retrieval_metrics(spark, d):
     return _items(spark, d)[0]
 
 
-_AGG = _METRICS + """, ag AS (SELECT 'p' || ql % 2 AS product_id, 'm' || ql AS mode, round(avg("precision"), 4) AS "precision", round(avg(recall), 4) AS recall, round(avg(rr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, count_if(recall = 0) AS misses, count(*) AS items FROM im JOIN q ON item_id = query_id GROUP BY 1, 2)"""
+_AGG = _METRICS + """, ag AS (SELECT 'p' || ql % 2 AS product_id, 'm' || (ql // 2) % 2 AS mode, round(avg("precision"), 4) AS "precision", round(avg(recall), 4) AS recall, round(avg(rr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, count_if(recall = 0) AS misses, count(*) AS items FROM im JOIN q ON item_id = query_id GROUP BY 1, 2)"""
 
 
 def _agg(spark, d):
     m, items = _items(spark, d)
-    x = m.join(items, "item_id").withColumns({"product_id": F.concat(F.lit("p"), F.col("label") % 2), "mode": F.concat(F.lit("m"), "label")})
+    x = m.join(items, "item_id").withColumns({"product_id": F.concat(F.lit("p"), F.col("label") % 2), "mode": F.concat(F.lit("m"), F.floor(F.col("label") / 2) % 2)})
     return evaluation.aggregate(x, "product_id", "mode")
 
 
@@ -138,7 +138,7 @@ def eval_gate(spark, d):
     return m.withColumn("passed", evaluation.passes(m))
 
 
-@query(_AGG + " SELECT a.product_id, a.mode, round(a.recall - b.recall, 4) AS delta_recall, round(a.mrr - b.mrr, 4) AS delta_mrr FROM ag a JOIN ag b ON a.product_id = b.product_id AND b.mode = CASE WHEN a.product_id = 'p0' THEN 'm0' ELSE 'm1' END WHERE a.product_id = 'p0'")
+@query(_AGG + " SELECT a.product_id, a.mode, round(a.recall - b.recall, 4) AS delta_recall, round(a.mrr - b.mrr, 4) AS delta_mrr FROM ag a JOIN ag b ON a.product_id = b.product_id AND b.mode = 'm0'")
 def eval_delta(spark, d):
     return evaluation.against_base(_agg(spark, d), "m0", ["recall", "mrr"])
 
