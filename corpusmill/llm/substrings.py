@@ -5,7 +5,7 @@ doc_id and written once, in blocks. Positions of a difference cover (mod 31) are
 in every document: two equal strings of 50 bytes always have a sampled position at the same
 distance from their starts. So first only the samples are ranked: suffixes that meet no
 20-byte string that several documents have at a sampled position can't repeat. Those that remain
-go to buckets by their key's leading bits, one bucket a task, where equal ones are brought
+go to buckets by their key's leading bits, some buckets at a time and one a task, where equal ones are brought
 together by sorting and the earliest block of each is found. Whole documents that repeat an earlier
 one are told by their digest and send no suffixes.
 
@@ -268,7 +268,7 @@ def _packed(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         yield flush(held)
 
 
-def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | None = None, shard_bytes: int | None = None, turns: int = 3) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of ``length`` bytes over it
@@ -278,7 +278,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
     is never cut between blocks. Other columns are not looked at. Blocks and buckets take
     ``block_bytes`` and ``shard_bytes`` of text; by default 4 and 16 MB, or so much that a block
     has some hundred keys for each bucket: 6 MB at 50 GB, 300 MB at 100 TB. A task takes some
-    forty times as much memory.
+    forty times as much memory. Suffixes are sent in ``turns``, some buckets each, so that only a part of
+    them lies on disk at a time.
     """
     spark, key_length = docs.sparkSession, length - PERIOD + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
@@ -287,6 +288,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
     block_bytes, shard_bytes = block_bytes or max(4 << 20, root), shard_bytes or max(16 << 20, root)
     spare = max(0, -(-total // shard_bytes) - 1).bit_length()
     shards = 1 << spare
+    turns = min(turns, shards)
     bits = int(min(64, np.ceil(np.log2(total + 2)) + 8))
     path = scratch_path(spark, "blocks")
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(
@@ -361,7 +363,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
             out += requests(number, low, _joined(_pack_bits(block.copy), _pack_bits(here)), "k", lead, within)
         return frame(out)
 
-    def ask_suffixes(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def ask_suffixes(own: pd.DataFrame, replies: pd.DataFrame, turn: int) -> pd.DataFrame:
         out, got = [], by_kind(replies)
         for number, low, *packed in zip(*[own[c] for c in ("block", "low", "ids", "sizes", "payload")]):
             block = Block(*packed)
@@ -377,7 +379,8 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
             here &= ~gone
             start = np.flatnonzero(here)
             lead, within, _, _ = _keyed(block, start, start + length, spare)
-            out += requests(number, low, _joined(copy, _pack_bits(here), _pack_bits(gone)), "w", lead, within)
+            rows = requests(number, low, _joined(copy, _pack_bits(here), _pack_bits(gone)), "w", lead, within)
+            out += [r for r in rows if (r[0] % turns == turn if r[3] == "w" else not turn)]
         return frame(out)
 
     def least_block(f: pd.DataFrame) -> pd.DataFrame:
@@ -396,12 +399,17 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
         reply = [_pack_bits(x) for x in np.split(low[least] < low[own], np.cumsum(sizes)[:-1])]
         return pd.DataFrame({"block": f["block"], "shard": f["shard"], "kind": f["kind"], "bits": reply})
 
-    replies = ranks
-    for ask in (ask_stretches, ask_suffixes):
+    def answered(ask, replies: DataFrame) -> DataFrame:
         asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(ask, "shard int, block long, low long, kind string, keys binary")
-        replies = cut(asked.groupBy("shard", "kind").applyInPandas(least_block, answer))
-        del asked
+        return cut(asked.groupBy("shard", "kind").applyInPandas(least_block, answer))
+
+    known = answered(ask_stretches, ranks)
+    release(spark)
+    replies = None
+    for turn in range(turns):
+        one = answered(lambda own, come, turn=turn: ask_suffixes(own, come, turn), known)
         release(spark)
+        replies = one if replies is None else replies.unionByName(one)
 
     def judge(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out, got = [], by_kind(replies)
