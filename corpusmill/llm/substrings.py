@@ -363,6 +363,9 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
             out += requests(number, low, _joined(_pack_bits(block.copy), _pack_bits(here)), "k", lead, within)
         return frame(out)
 
+    def suffixes_of(turn: int):
+        return lambda own, replies: ask_suffixes(own, replies, turn)
+
     def ask_suffixes(own: pd.DataFrame, replies: pd.DataFrame, turn: int) -> pd.DataFrame:
         out, got = [], by_kind(replies)
         for number, low, *packed in zip(*[own[c] for c in ("block", "low", "ids", "sizes", "payload")]):
@@ -407,7 +410,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, block_bytes: int | No
     release(spark)
     replies = None
     for turn in range(turns):
-        one = answered(lambda own, come, turn=turn: ask_suffixes(own, come, turn), known)
+        one = answered(suffixes_of(turn), known)
         release(spark)
         replies = one if replies is None else replies.unionByName(one)
 
