@@ -26,6 +26,14 @@ def fabricated(cited: DataFrame, evidence: DataFrame, most: int = 5) -> DataFram
     return x.withColumn("_n", F.row_number().over(Window.partitionBy("draft_id").orderBy("no"))).where(F.col("_n") <= most).drop("_n")
 
 
+def fabricated_by_section(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(draft_id, heading, file, line): what a section cites and the draft's evidence doesn't have."""
+    parts = sections(drafts).select("draft_id", "heading", F.col("text").alias("body"))
+    pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(CITATION), 1).alias("file"), F.regexp_extract_all("body", F.lit(CITATION), 2).alias("line"))
+    x = parts.select("draft_id", "heading", F.explode(F.array_distinct(pairs)).alias("c")).select("draft_id", "heading", F.trim("c.file").alias("file"), F.col("c.line").cast("int").alias("line"))
+    return x.distinct().join(evidence.select("draft_id", "file", "line").distinct(), ["draft_id", "file", "line"], "left_anti").select("draft_id", "heading", "file", "line")
+
+
 def verify_anchors(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """(draft_id, no, ok): the line lies in a chunk of the file and the claim shares words with it.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Floors of the gates.
@@ -76,3 +77,39 @@ def judged_contexts(candidates: DataFrame, most: int = 8) -> DataFrame:
     w = Window.partitionBy("item_id").orderBy("rank")
     own = candidates.where("trim(excerpt) <> ''").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     return own.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "excerpt"))), lambda x: x["excerpt"]).alias("contexts"))
+
+
+def select_products(wanted: list[str], products: DataFrame) -> DataFrame:
+    """The products (product_id) of a run: every one for ``["all"]``, else the named ones, each once. An unknown name is an error."""
+    every = products.select("product_id").distinct()
+    if wanted == ["all"]:
+        return every
+    names = list(dict.fromkeys(wanted))
+    known = {r.product_id for r in every.where(F.col("product_id").isin(names)).collect()}  # the named ones at most
+    if missing := [n for n in names if n not in known]:
+        raise ValueError(f"unknown products: {', '.join(missing)}")
+    return every.where(F.col("product_id").isin(names))
+
+
+def ingest_guard(products: DataFrame, points: DataFrame, manifest: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(products to ingest, points, manifest): products that have points are left out; with ``force`` all are ingested, after
+    their points and manifest rows have gone."""
+    own = products.select("product_id").distinct()
+    if not force:
+        return own.join(points, "product_id", "left_anti"), points, manifest
+    return own, points.join(own, "product_id", "left_anti"), manifest.join(own, "product_id", "left_anti")
+
+
+def judge(samples: DataFrame, model=None, metrics: tuple[str, ...] = ("faithfulness", "answer_correctness", "context_precision", "context_recall")) -> DataFrame:
+    """Adds the judged scores, each null where there is none. ``model``: maps (question, answer, contexts) lists to a list of
+    dicts; without one, all are null."""
+    if model is None:
+        return samples.withColumns({m: F.lit(None).cast("double") for m in metrics})
+
+    @F.pandas_udf(", ".join(f"{m} double" for m in metrics))
+    def run(q: pd.Series, a: pd.Series, c: pd.Series) -> pd.DataFrame:
+        got = model(q.tolist(), a.tolist(), [list(x) for x in c])
+        return pd.DataFrame([{m: g.get(m) for m in metrics} for g in got], columns=list(metrics), dtype="float64")
+
+    x = samples.withColumn("_j", run("question", "answer", "contexts"))
+    return x.select(*samples.columns, *[F.col(f"_j.{m}").alias(m) for m in metrics])

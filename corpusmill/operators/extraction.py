@@ -128,7 +128,8 @@ def heading_tree(headings: DataFrame) -> DataFrame:
 def references(lines: DataFrame) -> DataFrame:
     """(product_id, uri, line, type, kind, target) of the paths, routes, config keys and back-ticked symbols in documents."""
     kinds = [("DOCUMENTS", "file", r"\b([\w./-]+\.(?:py|ts|tsx|js|jsx|go|rs|java|md|sql|ya?ml|json))\b"), ("MENTIONS", "route", r"(?:GET|POST|PUT|PATCH|DELETE)\s+(/[A-Za-z0-9_./:{}-]+)"), ("MENTIONS", "config", r"\b([A-Z][A-Z0-9]*_[A-Z0-9_]+)\b"), ("MENTIONS", "symbol", r"`([A-Za-z_][\w.]*)(?:\(\))?`")]
-    found = F.concat(*[F.transform(F.array_distinct(F.regexp_extract_all("content", F.lit(p), 1)), lambda t, a=a, k=k: F.struct(F.lit(a).alias("type"), F.lit(k).alias("kind"), t.alias("target"))) for a, k, p in kinds])
+    as_ = lambda a, k: lambda t: F.struct(F.lit(a).alias("type"), F.lit(k).alias("kind"), t.alias("target"))
+    found = F.concat(*[F.transform(F.array_distinct(F.regexp_extract_all("content", F.lit(p), 1)), as_(a, k)) for a, k, p in kinds])
     return lines.select("product_id", "uri", "line", F.explode(found).alias("f")).select("product_id", "uri", "line", "f.*")
 
 

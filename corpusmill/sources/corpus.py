@@ -97,7 +97,7 @@ def eval_history(spark: SparkSession, root: str) -> DataFrame:
 def merge_sources(config: DataFrame, registry: DataFrame, jobs: DataFrame) -> DataFrame:
     """Configured and registered sources; the registry wins on a name; job counts attached."""
     both = config.withColumn("_p", F.lit(1)).unionByName(registry.withColumn("_p", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("name").orderBy("_p")
+    w = Window.partitionBy("name").orderBy("_p", F.to_json(F.struct(*[c for c in both.columns if c != "_p"])))
     x = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_p")
     return x.join(jobs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("jobs")), "name", "left").fillna(0, ["jobs"])
 
@@ -109,7 +109,7 @@ def redact(config: Column) -> Column:
 
 def skills(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, product, tier, description, body) of skill files; those without frontmatter and name are skipped."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), "value")
     x = raw.withColumns({"head": F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 1), "body": F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 2)})
     field = lambda n: F.nullif(F.trim(F.regexp_extract("head", rf"(?m)^{n}:[ \t]*(.*)$", 1)), F.lit(""))
     tier = F.when(field("tier").isin("master", "core", "domain", "feature", "task", "reference"), field("tier")).when(field("tier") == "global", "master").otherwise("domain")

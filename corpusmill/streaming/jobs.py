@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.delta import latest
 
@@ -20,7 +20,8 @@ def reindex(events: DataFrame, chunker: Callable[[DataFrame], DataFrame], write:
 
     A batch takes the latest event of each uri, cuts it, and writes in this order: ``upsert`` new
     chunks, ``keep`` (uri, chunk_ids: all others of the uri are to be pruned), ``manifest`` rows. If the upsert
-    fails the batch fails before anything is pruned. Events without content go to ``dead``.
+    fails the batch fails before anything is pruned, and is tried again with the same number after a restart. Events
+    without content go to ``dead``.
     """
 
     def batch(df: DataFrame, n: int) -> None:
@@ -38,6 +39,12 @@ def reindex(events: DataFrame, chunker: Callable[[DataFrame], DataFrame], write:
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def bootstrap(events: Callable[[], DataFrame], chunker, write, checkpoint: str, **then):
+    """Takes everything that is there in one run, waits for it, and then watches: ``events()`` is read with one checkpoint for both."""
+    reindex(events(), chunker, write, checkpoint, availableNow=True).awaitTermination()
+    return reindex(events(), chunker, write, checkpoint, **(then or {"processingTime": "10 seconds"}))
+
+
 def admit(times: list[int], kept: list[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
     """Sliding-window limiter: rejected events are not counted."""
     out = []
@@ -69,17 +76,22 @@ def limiter(events: DataFrame, limit: int, window_s: int) -> DataFrame:
 
 
 def limiter_batch(events: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """The same over a table: a fold over each subject's ordered events."""
-    rows = events.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "event_id"))).alias("e"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<boolean>").alias("ok"))
+    """(subject, event_id, allowed): the same over a table.
+
+    After a pause longer than the window nothing is counted any more, so a subject's events
+    are cut there, and each stretch is a group of its own.
+    """
+    w = Window.partitionBy("subject").orderBy("at", "event_id")
+    far = F.unix_micros(F.col("at").cast("timestamp")) - F.lag(F.unix_micros(F.col("at").cast("timestamp"))).over(w) >= window_s * 1_000_000
+    x = events.select("subject", "event_id", "at").withColumn("part", F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(w))
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
 
-    def step(acc, e):
-        kept = F.filter(acc["kept"], lambda k: k > e["t"] - window_s * 1_000_000)
-        ok = F.size(kept) < limit
-        return F.struct(F.when(ok, F.concat(kept, F.array(e["t"]))).otherwise(kept).alias("kept"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
+    def work(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["at", "event_id"])
+        ok, _ = admit(f["at"].astype("datetime64[us]").astype("int64").tolist(), [], limit, window_s * 1_000_000)
+        return f.assign(allowed=ok)[["subject", "event_id", "allowed"]]
 
-    x = rows.withColumn("ok", F.aggregate("e", start, step)["ok"]).select("subject", F.explode(F.arrays_zip("e", "ok")).alias("z"))
-    return x.select("subject", F.col("z.e.event_id").alias("event_id"), F.col("z.ok").alias("allowed"))
+    return x.groupBy("subject", "part").applyInPandas(work, f"subject {kinds['subject']}, event_id {kinds['event_id']}, allowed boolean")
 
 
 def progress(events: DataFrame) -> DataFrame:
