@@ -79,13 +79,14 @@ def _pivot(f: pd.DataFrame, seed: int) -> pd.DataFrame:
     return f
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, block_rows: int = 50_000, fan: int = 16) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for every row of ``docs`` (doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, block_rows: int = 4000, fan: int = 16) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken, source) for every row of ``docs`` (doc_id, text, source).
 
     Size counts the words of the text, null and blank texts have none and no copy. copies
     is the rounded number of times that the document is taken, at most ``most`` rounded up;
     taken is copies * size. The draw depends on doc_id, size and source alone: reruns and
-    other partitionings agree. Rows that repeat a doc_id are drawn one by one; an empty
+    other partitionings agree. A block has some ``block_rows`` rows of all sources, so those of one that
+    has a third of all rows lie in as many tasks as the others'. Rows that repeat a doc_id are drawn one by one; an empty
     table gives an empty result; other columns are not looked at.
     """
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
@@ -121,4 +122,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     for x in parts[1:]:
         out = out.union(x)
     out = out.withColumn("copies", F.col("copies") + F.round("frac").cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source")

@@ -58,3 +58,16 @@ def test_hard_rows(spark):
             assert out.columns == docs.columns or name == "tokens"
             out.collect()
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == ["1", "2", "3", "4", "None"]
+
+
+def test_repeated_ids_are_drawn_row_by_row(spark):
+    from corpusmill.llm.mixing import mix
+
+    rows = [(i % 40, "w " * (i % 3 + 1) + str(i), ["a", "b", None][i % 3], i) for i in range(120)] + [(None, "x y", "a", 1000 + i) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    out = corpus_pipeline.mixing(spark, docs, SF)
+    assert out.columns == docs.columns
+    size = lambda t: len(t.split())
+    taken = sum(size(r.text) for r in out.collect())
+    assert taken == sum(r.taken for r in mix(docs).collect())
+    assert all([r.copies for r in out.collect()].count(c) <= 2 for _, _, _, c in rows)
