@@ -8,11 +8,11 @@ result as Parquet in the shared folder and rereads it as the next one's docs.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.llm.common import cut, read_table, scratch_path
 from corpusmill.llm.decontaminate import contaminated
-from corpusmill.llm.mixing import mix
+from corpusmill.llm.mixing import mix, word_count
 from corpusmill.llm.simhash import near_duplicates
 from corpusmill.llm.tokens import token_table
 from corpusmill.llm.toxicity import toxic_documents
@@ -41,12 +41,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice.
 
-    Rows that repeat a doc_id are taken by their id's draws in the order of size.
+    Rows that repeat a doc_id, a source and a size are numbered on both sides, so each row has a draw of its own.
     """
-    drawn = mix(docs).select("doc_id", "copies")
-    taken = drawn.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(taken.doc_id)).select(*[docs[c] for c in docs.columns], "_copies")
-    return joined.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(docs.columns)
+    size = word_count(F.col("text"))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("of")]
+    own = Window.partitionBy("id", "of", "size")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *key, size.alias("size"))
+    rows = rows.withColumn("k", F.row_number().over(own.orderBy(F.xxhash64("doc.text"))))
+    drawn = mix(docs).where("copies > 0").select(*key, "size", F.col("copies").cast("int").alias("copies"))
+    drawn = drawn.withColumn("k", F.row_number().over(own.orderBy(F.desc("copies"))))
+    taken = rows.join(drawn, ["id", "of", "size", "k"]).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return taken.select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
