@@ -34,12 +34,15 @@ def fabricated_by_section(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
     return x.distinct().join(evidence.select("draft_id", "file", "line").distinct(), ["draft_id", "file", "line"], "left_anti").select("draft_id", "heading", "file", "line")
 
 
-def verify_anchors(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+def verify_anchors(claims: DataFrame, chunks: DataFrame, span: int = 50) -> DataFrame:
     """(draft_id, no, ok): the line lies in a chunk of the file and the claim shares words with it.
 
-    One shared word of six letters, or two of four.
+    One shared word of six letters, or two of four. A chunk is met under each stretch of ``span`` lines that it
+    touches, so a claim meets the chunks around its line only, not all of its file.
     """
-    x = claims.join(chunks.select("file", "start_line", "end_line", "content"), "file", "left")
+    stretch = F.explode(F.sequence(F.floor(F.col("start_line") / span), F.floor(F.col("end_line") / span))).alias("_s")
+    near = chunks.select("file", "start_line", "end_line", "content", stretch)
+    x = claims.withColumn("_s", F.floor(F.col("line") / span)).join(near, ["file", "_s"], "left")
     inside = F.coalesce(F.col("line").between(F.col("start_line"), F.col("end_line")), F.lit(False))
     shared = F.array_intersect(terms(F.col("claim"), 4), terms(F.coalesce("content", F.lit("")), 4))
     enough = (F.size(F.filter(shared, lambda w: F.length(w) >= 6)) >= 1) | (F.size(shared) >= 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.text import WORD
 from ..operators import extraction, graph, summaries
@@ -88,17 +88,19 @@ def community_edges(spark, d):
 
 
 @query(r"""
-, n AS (SELECT chunk_id, doc_id, start_line, content, unnest(list_distinct(list_filter(regexp_extract_all(content, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+')))) AS name FROM chunks), e AS (
-SELECT a.chunk_id, b.chunk_id AS neighbour, max(round(1.0 / (1 + abs(a.start_line - b.start_line)), 6)) AS confidence FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.name = b.name AND a.chunk_id <> b.chunk_id GROUP BY ALL)
+, n AS (SELECT chunk_id, doc_id, start_line, content, unnest(list_distinct(list_filter(regexp_extract_all(content, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+')))) AS name FROM chunks),
+l AS (SELECT *, lead(chunk_id) OVER w AS b, lead(start_line) OVER w AS nx FROM n WINDOW w AS (PARTITION BY doc_id, name ORDER BY start_line)),
+p AS (SELECT chunk_id, b, round(1.0 / (1 + nx - start_line), 6) AS c FROM l WHERE b IS NOT NULL),
+e AS (SELECT chunk_id, neighbour, max(c) AS confidence FROM (SELECT chunk_id, b AS neighbour, c FROM p UNION ALL SELECT b, chunk_id, c FROM p) GROUP BY ALL)
 SELECT chunk_id, neighbour, confidence, row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, neighbour) AS rank FROM e QUALIFY rank <= 8""")
 def neighbor_top8(spark, d):
     c = chunks(spark, d)
     n = c.select("chunk_id", "doc_id", "start_line", F.explode(F.array_distinct(F.filter(F.regexp_extract_all("content", F.lit(f"({WORD})"), 1), lambda w: w.rlike("^[A-Z][a-z]+$")))).alias("name"))
-    # every capitalised word of a chunk is a node of its own; equal words of a document are linked
+    # every capitalised word of a chunk is a node of its own; each is linked to the next one of its kind in the document
     tags = n.select("chunk_id", F.concat_ws("|", "chunk_id", "name").alias("node_id"))
-    a, b = n.alias("a"), n.alias("b")
-    same = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.chunk_id") < F.col("b.chunk_id")))
-    e = same.select(F.concat_ws("|", "a.chunk_id", "a.name").alias("src"), F.concat_ws("|", "b.chunk_id", "b.name").alias("dst"), F.round(1.0 / (1 + F.abs(F.col("a.start_line") - F.col("b.start_line"))), 6).alias("confidence"))
+    w = Window.partitionBy("doc_id", "name").orderBy("start_line")
+    nxt = n.withColumn("b", F.lead("chunk_id").over(w)).withColumn("at", F.lead("start_line").over(w)).where("b is not null")
+    e = nxt.select(F.concat_ws("|", "chunk_id", "name").alias("src"), F.concat_ws("|", "b", "name").alias("dst"), F.round(1.0 / (1 + F.col("at") - F.col("start_line")), 6).alias("confidence"))
     return extraction.neighbour_chunks(tags, e, c)
 
 

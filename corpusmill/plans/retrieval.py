@@ -102,8 +102,8 @@ def dense_topk(spark, d):
 
 
 _METRICS = _DENSE + """
-, rel AS (SELECT q.query_id AS item_id, v.id FROM q JOIN v ON v.label = ql AND v.id <> q.query_id), nrel AS (SELECT item_id, count(*) AS r FROM rel GROUP BY 1),
-hit AS (SELECT query_id AS item_id, rank, label = ql AS h FROM dn),
+, rel AS (SELECT q.query_id AS item_id, v.id FROM q JOIN v ON v.label = ql AND v.id <> q.query_id AND abs(v.id - q.query_id) <= 250), nrel AS (SELECT item_id, count(*) AS r FROM rel GROUP BY 1),
+hit AS (SELECT query_id AS item_id, rank, label = ql AND abs(id - query_id) <= 250 AS h FROM dn),
 im AS (SELECT q.query_id AS item_id, round(coalesce(sum(CAST(h AS INTEGER)), 0) / 10, 6) AS "precision", round(CASE WHEN coalesce(max(r), 0) > 0 THEN coalesce(sum(CAST(h AS INTEGER)), 0) / max(r) ELSE 1 END, 6) AS recall,
   round(coalesce(1.0 / min(CASE WHEN h THEN rank END), 0), 6) AS rr,
   round(CASE WHEN coalesce(max(r), 0) > 0 THEN coalesce(sum(CASE WHEN h THEN 1 / log2(rank + 1) ELSE 0 END), 0) / list_sum(list_transform(range(1, CAST(least(max(r), 10) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) ELSE CASE WHEN count(rank) = 0 THEN 1 ELSE 0 END END, 6) AS ndcg
@@ -113,7 +113,10 @@ im AS (SELECT q.query_id AS item_id, round(coalesce(sum(CAST(h AS INTEGER)), 0)
 def _items(spark, d):
     found, v = _dense(spark, d)
     items = v.where("id % 25 = 0").select(F.col("id").alias("item_id"), "label")
-    rel = items.join(v.select("label", F.col("id").alias("other")), "label").where("other <> item_id").select("item_id", F.col("other").alias("label"))
+    # relevant: the same label among the 250 ids on either side, met by stretches of 250 ids
+    near = items.withColumn("b", F.explode(F.array(*[F.floor(F.col("item_id") / 250) + i for i in (-1, 0, 1)])))
+    rel = near.join(v.select("label", F.col("id").alias("other"), F.floor(F.col("id") / 250).alias("b")), ["label", "b"]).where("other <> item_id and abs(other - item_id) <= 250")
+    rel = rel.select("item_id", F.col("other").alias("label"))
     rows = found.select(F.col("query_id").alias("item_id"), F.col("id").alias("label"), "rank")
     return evaluation.item_metrics(rows, rel, items.select("item_id")), items
 
@@ -272,20 +275,26 @@ def quality_gate(spark, d):
     return ranking.gate(_bm25(spark, d), 20.0)[1]
 
 
-# Drafts: every document cites lines of itself and of the next one
+# Drafts: every document is a draft, each of its lines a rule that cites that line, every third one the next document's instead
 _DRAFT = r"""
-, dr AS (SELECT doc_id AS draft_id, '# T' || chr(10) || '## Rules' || chr(10) || '- ' || left(replace(content, chr(10), ' '), 60) || ' [file: ' || uri || ':1]' || chr(10) || '- b [file: ' || product_id || '/' || (doc_id + 20) || '.md:2]' || chr(10) || '- c [file: ' || uri || ':1]' || chr(10) || '## Anti-patterns' || chr(10) || '- no' AS body, uri FROM resources),
-ci AS (SELECT DISTINCT draft_id, unnest(list_distinct(list_zip(regexp_extract_all(body, '\[file: ([^\]:]+):(\d+)\]', 1), regexp_extract_all(body, '\[file: ([^\]:]+):(\d+)\]', 2)))) AS z FROM dr),
-cited AS (SELECT draft_id, trim(z[1]) AS file, CAST(z[2] AS INTEGER) AS line FROM ci)"""
+, ru AS (SELECT doc_id AS draft_id, start_line AS line, content AS claim, CASE WHEN start_line % 3 = 0 THEN product_id || '/' || (doc_id + 20) || '.md' ELSE uri END AS file FROM chunks),
+cited AS (SELECT DISTINCT draft_id, file, line FROM ru)"""
 
 
-def _drafts(spark, d):
-    from .inputs import resources
+def _rules(spark, d):
+    c = chunks(spark, d)
+    file = F.when(F.col("start_line") % 3 == 0, F.concat("product_id", F.lit("/"), F.col("doc_id") + 20, F.lit(".md"))).otherwise(F.col("uri"))
+    return c.select(F.col("doc_id").alias("draft_id"), F.col("start_line").alias("line"), F.col("content").alias("claim"), file.alias("file"))
+
 
-    r = resources(spark, d)
-    own = F.concat(F.lit(" [file: "), "uri", F.lit(":1]"))
-    body = F.concat(F.lit("# T\n## Rules\n- "), F.substring(F.replace("content", F.lit("\n"), F.lit(" ")), 1, 60), own, F.lit("\n- b [file: "), "product_id", F.lit("/"), F.col("doc_id") + 20, F.lit(".md:2]\n- c"), own, F.lit("\n## Anti-patterns\n- no"))
-    return r.select(F.col("doc_id").alias("draft_id"), body.alias("body"), "uri")
+def _drafts(spark, d):
+    rule = F.concat(F.lit("- "), F.regexp_replace("claim", r"\[file: ", "(file: "), F.lit(" [file: "), "file", F.lit(":"), "line", F.lit("]"))
+    per = _rules(spark, d).groupBy("draft_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", rule.alias("r")))), lambda x: x["r"]), "\n").alias("rules"))
+    # every second draft has anti-patterns, every fifth a section twice, every seventh a closing remark
+    i = F.col("draft_id")
+    anti = F.when(i % 2 == 0, "\n## Anti-patterns\n- no").otherwise("")
+    twice, more = F.when(i % 5 == 0, "\n## Rules\n- again").otherwise(""), F.when(i % 7 == 0, "\n## Remarks\nx").otherwise("")
+    return per.select("draft_id", F.concat(F.lit("# T\n## Rules\n"), "rules", anti, twice, more).alias("body"))
 
 
 @query(_DRAFT + " SELECT draft_id, file, line FROM cited")
@@ -293,31 +302,36 @@ def draft_citations(spark, d):
     return drafts.citations(_drafts(spark, d)).select("draft_id", "file", "line")
 
 
-@query(_DRAFT + " SELECT draft_id, file, line FROM cited c WHERE NOT EXISTS (SELECT 1 FROM chunks k WHERE k.uri = c.file AND k.start_line = c.line AND k.doc_id = c.draft_id)")
+@query(_DRAFT + ", f AS (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY line) AS k FROM cited c WHERE NOT EXISTS (SELECT 1 FROM chunks k WHERE k.uri = c.file AND k.start_line = c.line AND k.doc_id = c.draft_id)) SELECT draft_id, file, line FROM f WHERE k <= 5")
 def citation_anti(spark, d):
     e = chunks(spark, d).select(F.col("doc_id").alias("draft_id"), F.col("uri").alias("file"), F.col("start_line").alias("line"))
     return drafts.fabricated(drafts.citations(_drafts(spark, d)), e).select("draft_id", "file", "line")
 
 
 @query(_DRAFT + r"""
-, cl AS (SELECT c.*, left(content, 60) AS claim FROM cited c JOIN resources r ON r.doc_id = c.draft_id),
-tw AS (SELECT cl.draft_id, cl.file, cl.line, list_intersect(list_distinct(list_filter(regexp_extract_all(lower(claim), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 4)), list_distinct(list_filter(regexp_extract_all(lower(coalesce(k.content, '')), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 4))) AS sh, coalesce(cl.line BETWEEN k.start_line AND k.start_line, false) AS ins
-  FROM cl LEFT JOIN chunks k ON k.uri = cl.file)
+, tw AS (SELECT r.draft_id, r.file, r.line, list_intersect(list_distinct(list_filter(regexp_extract_all(lower(claim), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 4)), list_distinct(list_filter(regexp_extract_all(lower(coalesce(k.content, '')), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 4))) AS sh, k.content IS NOT NULL AS ins
+  FROM ru r LEFT JOIN chunks k ON k.uri = r.file AND k.start_line = r.line)
 SELECT draft_id, file, line, bool_or(ins AND (len(list_filter(sh, lambda w: length(w) >= 6)) >= 1 OR len(sh) >= 2)) AS ok FROM tw GROUP BY ALL""")
 def anchor_range(spark, d):
-    from .inputs import resources
-
-    c = drafts.citations(_drafts(spark, d))
-    claim = resources(spark, d).select(F.col("doc_id").alias("draft_id"), F.substring("content", 1, 60).alias("claim"))
+    """Each claim is its whole line."""
+    c = drafts.citations(_drafts(spark, d)).join(_rules(spark, d), ["draft_id", "file", "line"])
     k = chunks(spark, d).select(F.col("uri").alias("file"), "start_line", F.col("start_line").alias("end_line"), "content")
-    return drafts.verify_anchors(c.join(claim, "draft_id"), k).join(c, ["draft_id", "no"]).select("draft_id", "file", "line", "ok")
+    return drafts.verify_anchors(c, k).join(c, ["draft_id", "no"]).select("draft_id", "file", "line", "ok")
 
 
-@query(_DRAFT + " SELECT draft_id, '' AS missing, 'Rules' AS thin, 'Anti-patterns' AS uncited FROM dr")
+@query(_DRAFT + """ SELECT draft_id, CASE WHEN draft_id % 2 = 0 THEN '' ELSE 'Anti-patterns' END AS missing, CASE WHEN n < 4 OR draft_id % 5 = 0 THEN 'Rules' ELSE '' END AS thin,
+concat_ws(' ', CASE WHEN draft_id % 2 = 0 THEN 'Anti-patterns' END, CASE WHEN draft_id % 5 = 0 THEN 'Rules' END) AS uncited, CASE WHEN draft_id % 7 = 0 THEN 'Remarks' ELSE '' END AS unexpected, CASE WHEN draft_id % 5 = 0 THEN 'Rules' ELSE '' END AS duplicated
+FROM (SELECT draft_id, count(*) AS n FROM ru GROUP BY 1)""")
 def draft_sections(spark, d):
     r = _drafts(spark, d)
     x = drafts.completeness(drafts.sections(r), r, {"Rules": 4, "Anti-patterns": 1}, ["Rules", "Anti-patterns"])
-    return x.select("draft_id", *[F.array_join(c, " ").alias(c) for c in ("missing", "thin", "uncited")])
+    return x.select("draft_id", *[F.array_join(c, " ").alias(c) for c in ("missing", "thin", "uncited", "unexpected", "duplicated")])
+
+
+@query(_DRAFT + " SELECT DISTINCT c.draft_id, 'Rules' AS heading, c.file, c.line FROM cited c WHERE NOT EXISTS (SELECT 1 FROM chunks k WHERE k.uri = c.file AND k.start_line = c.line AND k.doc_id = c.draft_id)")
+def fabricated_by_section(spark, d):
+    e = chunks(spark, d).select(F.col("doc_id").alias("draft_id"), F.col("uri").alias("file"), F.col("start_line").alias("line"))
+    return drafts.fabricated_by_section(_drafts(spark, d), e)
 
 
 @query("""
