@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut
+from .common import cut, stored
 
 
 def usable(v: Column) -> Column:
@@ -117,7 +117,7 @@ def _floats(column) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, queries: Column | str, k: int = 20, recall: float = 0.96, fit_rows: int = 20_000, leaf_rows: int = 256, probe_queries: int = 200, shelf_rows: int = 8192
+    vectors: DataFrame, queries: Column | str, k: int = 20, recall: float = 0.96, fit_rows: int = 20_000, leaf_rows: int = 256, probe_queries: int = 200, shelf_rows: int = 8192, team_rows: int = 20_000
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` selects its k nearest others.
 
@@ -210,7 +210,12 @@ def nearest(
     lookup = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
     points = index.select("vec_id", "v", "leaf", lookup(shelf_of, F.col("leaf")).alias("shelf"))
     points = points.withColumn("block", F.pmod(F.xxhash64("vec_id"), lookup(dict(enumerate(parts)), F.col("shelf"))).cast("int"))
-    asks = index.where("ask").select("vec_id", "v").mapInArrow(ask, "query_id long, q binary, shelf int, block int, leaves binary")
+    asks = stored(index.where("ask").select("vec_id", "v").mapInArrow(ask, "query_id long, q binary, shelf int, block int, leaves binary"), "asks")
+    # a shelf that many queries visit answers them in teams; one number for each shelf comes here
+    busy = {r.shelf: -(-r.n // team_rows) for r in asks.where("block = 0").groupBy("shelf").agg(F.count("*").alias("n")).collect()}
+    teams = {s: busy.get(s, 1) for s in range(len(parts))}
+    points = points.withColumn("team", F.explode(F.sequence(F.lit(0), lookup(teams, F.col("shelf")) - 1)))
+    asks = asks.withColumn("team", F.pmod(F.xxhash64("query_id"), lookup(teams, F.col("shelf"))).cast("int"))
 
     def score(own: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(come):
@@ -221,6 +226,7 @@ def nearest(
         return _top(own["vec_id"].to_numpy(), _floats(own["v"]), come["query_id"].to_numpy(), _floats(come["q"]), k, open_[:, own["leaf"].to_numpy()])
 
     n_leaves = tree.value.n_leaves
-    found = points.groupBy("shelf", "block").cogroup(asks.groupBy("shelf", "block")).applyInPandas(score, "query_id long, vec_id long, score double")
+    key = ["shelf", "block", "team"]
+    found = points.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(score, "query_id long, vec_id long, score double")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,6 +1,6 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are characters (rare ones share classes, so that an n-gram fits a long). Counts
+Symbols are characters (all but the 4,094 most frequent of the trusted text are one symbol, so that an n-gram fits a long). Counts
 of the longest n-grams come from all trusted documents; lower orders are continuation
 counts, grouped from them. The counts lie in shards by the last context symbol and the last
 symbol's remainder: all that the probability of an n-gram needs is in one shard. Blocks of
@@ -26,10 +26,31 @@ BITS, PLAIN = 12, 3072  # of a symbol; characters below PLAIN have one of their
 ORDER, SALT = 4, 8
 
 
-def grams(text: str) -> np.ndarray:
-    """The n-gram that ends at each character, packed; the text begins with ORDER - 1 zeros."""
+def symbol_table(texts: DataFrame) -> np.ndarray:
+    """The symbol of each code point: the most frequent of ``texts`` (text) have one of their own, the others share 1.
+
+    One row for each character of the texts is sorted, and the first of them, at most 2^BITS, come to the driver.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0x110000, dtype=np.int64)
+        for b in batches:
+            whole = "".join(t for t in b.column(0).to_pylist() if t)
+            n += np.bincount(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4"), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["ch", "n"])
+
+    rows = texts.mapInArrow(work, "ch long, n long").groupBy("ch").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ch").limit((1 << BITS) - 2).collect()
+    table = np.ones(0x110000, dtype=np.int16)
+    table[[r.ch for r in rows]] = np.arange(2, len(rows) + 2)
+    return table
+
+
+def grams(text: str, table: np.ndarray | None = None) -> np.ndarray:
+    """The n-gram that ends at each character, packed; the text begins with ORDER - 1 zeros. Without a table, symbols are
+    code points, those from PLAIN on by their remainder."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    x = np.where(x < PLAIN, x, PLAIN + x % ((1 << BITS) - PLAIN))
+    x = table[x].astype(np.int64) if table is not None else np.where(x < PLAIN, x, PLAIN + x % ((1 << BITS) - PLAIN))
     x = np.concatenate((np.zeros(ORDER - 1, np.int64), x))
     n = len(x) - ORDER + 1
     out = np.zeros(n, dtype=np.int64)
@@ -66,8 +87,9 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i8")[:, 0])
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
+def count_grams(texts: DataFrame, symbols: np.ndarray | None = None) -> DataFrame:
     """(key long, c long) over all rows of ``texts`` (text); each task adds its own up first."""
+    table = texts.sparkSession.sparkContext.broadcast(symbols)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -75,7 +97,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    held.append(grams(t))
+                    held.append(grams(t, table.value))
                     size += len(held[-1])
                 if size > 1 << 20:
                     parts.append(np.unique(np.concatenate(held), return_counts=True))
@@ -151,7 +173,7 @@ class ShardModel:
         return np.log(p)
 
 
-def perplexities(docs: DataFrame, counts: DataFrame, shards: int = 64, block_chars: int = 8 << 20, team_chars: int = 4 << 30) -> DataFrame:
+def perplexities(docs: DataFrame, counts: DataFrame, shards: int = 64, block_chars: int = 8 << 20, team_chars: int = 4 << 30, symbols: np.ndarray | None = None) -> DataFrame:
     """(doc_id, lang, perplexity) of every row of ``docs`` (doc_id, text, lang): null without text.
 
     A task answers what the blocks of some ``team_chars`` ask of one shard, so no task grows with the input.
@@ -178,7 +200,7 @@ def perplexities(docs: DataFrame, counts: DataFrame, shards: int = 64, block_cha
     def distinct(payload: bytes) -> tuple[list, list[np.ndarray], np.ndarray]:
         """Documents, their n-grams, and the block's distinct ones by (shard, key)."""
         held = pickle.loads(zstandard.decompress(payload))
-        each = [grams(t or "") for _, _, t in held]
+        each = [grams(t or "", table.value) for _, _, t in held]
         parts, size, todo = [], 0, []
         for g in each:
             todo.append(g)
@@ -190,6 +212,7 @@ def perplexities(docs: DataFrame, counts: DataFrame, shards: int = 64, block_cha
             parts.append(np.unique(np.concatenate(todo)))
         return held, each, np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
+    table = docs.sparkSession.sparkContext.broadcast(symbols)
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     teams = -(-total // team_chars) or 1
     path = scratch_path(docs.sparkSession, "blocks")  # written once: both passes meet the same blocks
@@ -259,8 +282,9 @@ def quality(docs: DataFrame, labels: DataFrame, keep: float = 0.99, most_broadca
         text = text.mapInArrow(known, "text string")
     else:
         text = text.join(train, "doc_id", "left_semi").select("text")
-    counts = cut(count_grams(text))
-    scored = cut(perplexities(docs, counts, shards))
+    symbols = symbol_table(text)
+    counts = cut(count_grams(text, symbols))
+    scored = cut(perplexities(docs, counts, shards, symbols=symbols))
     held = scored.join(trusted.where(fold == 0), "doc_id", "left_semi").where("perplexity is not null")
     cuts = held.groupBy("lang").agg(F.percentile_approx("perplexity", keep, 10_000).alias("own"))
     overall = held.agg(F.percentile_approx("perplexity", keep, 10_000)).first()[0]

@@ -56,3 +56,17 @@ def test_best_bin_first_visits_all_leaves_once():
     t = Tree(rng.normal(size=(500, 8)), 40)
     seen = t.visit(rng.normal(size=8), t.n_leaves)
     assert sorted(seen) == list(range(t.n_leaves))
+
+
+@pytest.mark.parametrize("rows", [20_000, 3])
+def test_recall_on_the_embeddings(spark, rows):
+    """The production query on a given table, answered in one team a shelf and in many."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    held = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding is not None]
+    ids, x = [i for i, _ in held], np.array([v for _, v in held], dtype=float)
+    want = brute(ids, x, [i for i in ids if i % 20 == 0], 20)
+    got = {}
+    for r in nearest(df, "vec_id % 20 = 0", leaf_rows=32, shelf_rows=64, team_rows=rows).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want)
+    assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * 20 * len(want)

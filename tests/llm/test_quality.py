@@ -91,3 +91,18 @@ def test_large_ids_and_repeated_rows(spark):
     counts = count_grams(docs.select("text"))
     one = sorted((str(r.doc_id), round(r.perplexity, 6)) for r in perplexities(docs, counts, 8).collect())
     assert one == sorted((str(r.doc_id), round(r.perplexity, 6)) for r in perplexities(docs, counts, 8, 10, 12).collect())
+
+
+def test_symbols_of_the_trusted_text(spark):
+    """Characters of any script have symbols of their own; the model with them equals that of plain dictionaries."""
+    from corpusmill.llm.quality import symbol_table
+
+    rng = np.random.default_rng(7)
+    train = ["".join(rng.choice(list("漢字仮名交文 あいう한글"), int(rng.integers(1, 60)))) for _ in range(40)]
+    texts = spark.createDataFrame([(t,) for t in train] + [(None,), ("",)], "text string").repartition(3)
+    table = symbol_table(texts)
+    assert len({int(table[ord(c)]) for c in "漢字仮名交文あいう한글 "}) == 12 and table[ord("z")] == 1
+    docs = spark.createDataFrame([(0, "漢字仮名"), (1, "名仮字漢 zz"), (2, train[0])], "doc_id long, text string").selectExpr("*", "'ja' as lang")
+    got = {r.doc_id: r.perplexity for r in perplexities(docs, count_grams(texts, table), shards=5, symbols=table).collect()}
+    for i, t in enumerate(["漢字仮名", "名仮字漢 zz", train[0]]):
+        assert abs(got[i] - slow_perplexity(train, t)) < 1e-3 * got[i]
