@@ -41,17 +41,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice.
 
-    Rows that repeat a doc_id, a source and a size are numbered on both sides, so each row has a draw of its own.
+    A doc_id that one row has brings the draw along. Rows that repeat a doc_id (null is one), a source and a size are
+    numbered on both sides, so each row has a draw of its own.
     """
-    size = word_count(F.col("text"))
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("of")]
+    drawn = cut(mix(docs).where("copies > 0").select("doc_id", "source", "size", F.col("copies").cast("int").alias("copies")))
+    again = cut(docs.select(F.col("doc_id").cast("long").alias("id")).groupBy("id").count().where("count > 1 or id is null").select("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    plain = drawn.select(F.col("doc_id").alias("id"), "copies").join(again, "id", "left_anti")
+    taken = rows.join(plain, "id").select("doc", "copies")
+    key = [F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col("source"), F.lit("\x00")).alias("of"), "size"]
     own = Window.partitionBy("id", "of", "size")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), *key, size.alias("size"))
-    rows = rows.withColumn("k", F.row_number().over(own.orderBy(F.xxhash64("doc.text"))))
-    drawn = mix(docs).where("copies > 0").select(*key, "size", F.col("copies").cast("int").alias("copies"))
-    drawn = drawn.withColumn("k", F.row_number().over(own.orderBy(F.desc("copies"))))
-    taken = rows.join(drawn, ["id", "of", "size", "k"]).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    return taken.select("doc.*")
+    few = rows.join(again, rows.id.eqNullSafe(again.id), "left_semi").select("doc", "id", F.col("doc.source").cast("string").alias("source"), word_count(F.col("doc.text")).alias("size"))
+    few = few.select("doc", *key).withColumn("k", F.row_number().over(own.orderBy(F.xxhash64("doc.text"))))
+    odds = drawn.withColumnRenamed("doc_id", "id")
+    odds = odds.join(again, odds.id.eqNullSafe(again.id), "left_semi").select(*key, "copies").withColumn("k", F.row_number().over(own.orderBy(F.desc("copies"))))
+    taken = taken.unionByName(few.join(odds, ["id", "of", "size", "k"]).select("doc", "copies"))
+    return taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
