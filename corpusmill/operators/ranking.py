@@ -40,7 +40,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 50, most_asked: int = 2
     words = words.withColumn("dl", F.size("w"))
     stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     mine = words.select("id", *own, "dl", F.explode("w").alias("term")).join(few(asked.select("term").distinct()), "term", "left_semi")
-    mine = mine.groupBy("id", *own, "dl", "term").agg(F.count("*").alias("tf"))
+    # dealt by id alone: counts, scores and sums of a chunk are then all made where its words are
+    mine = mine.repartition("id").groupBy("id", *own, "dl", "term").agg(F.count("*").alias("tf"))
     df = mine.groupBy("term").agg(F.count("*").alias("df"))  # a row a term of the queries
     hit = mine.join(few(asked.join(df, "term")), [*own, "term"]).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
