@@ -155,8 +155,10 @@ def grep(queries: DataFrame, chunks: DataFrame, k: int = 12, most_asked: int = 2
     names = asked.select("t", F.substring("t", 1, 4).alias("g")).distinct()
     hit = own.select("id", *mine, hay.alias("hay")).select("id", *mine, "hay", F.explode(runs(F.col("hay"), 4, r"[\p{L}\p{N}_./:-]")).alias("g")).join(few(names), "g").where(F.contains("hay", F.col("t")))
     pairs = hit.select("id", *mine, "t").join(few(asked), [*mine, "t"]).groupBy("query_id", "id").agg(F.count("*").alias("m"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("m"))
-    bar = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("query_id").agg(F.min("m").alias("bar"))
+    # the k-th largest number of a query, from how often each number occurs
+    down = Window.partitionBy("query_id").orderBy(F.desc("m"))
+    often = pairs.groupBy("query_id", "m").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(down))
+    bar = often.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("upto") >= k, F.col("m"))), F.min("m")).alias("bar"))
     pairs = pairs.join(bar, "query_id").where("12 * m >= 10 * bar").select("query_id", "id")
     scored = pairs.join(own.drop(*mine), "id").join(per_query.select("query_id", "terms"), "query_id")
     scored = scored.withColumn("matched", F.filter("terms", lambda t: F.contains(hay, t))).withColumn("lines", F.split("content", r"\r\n|\n|\r"))
