@@ -18,6 +18,7 @@ from .substrings import repeated_substrings
 from .tokens import token_table
 from .toxicity import toxic_documents
 from .urls import judged_urls
+from .whitening import whiten
 
 
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +64,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"), k=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ann_search, op2_simhash_near_dedup, op3_quality, op4_substring_dedup, op5_url_filter, op6_decontamination, op7_toxicity, op8_line_dedup, op9_mixing, op10_token_files)
+    for f in (op1_ann_search, op2_simhash_near_dedup, op3_quality, op4_substring_dedup, op5_url_filter, op6_decontamination, op7_toxicity, op8_line_dedup, op9_mixing, op10_token_files, op11_whitening)
 }
 
 ORACLE: dict[str, str] = {"op8_line_dedup": units.SQL}
