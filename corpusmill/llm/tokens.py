@@ -87,6 +87,24 @@ class Encoder:
     def _batch(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts without special strings, and how many each has."""
         text = b"\x00" + b"\x00".join(raw) + b"\x00"
+        start, number, sizes = self._stretches(text)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[number] - (ends - sizes), sizes)
+        lengths = np.array([len(t) + 1 for t in raw], dtype=np.int64)
+        upto = np.concatenate(([0], ends))[np.searchsorted(start, np.cumsum(lengths))]
+        return self.flat[where], np.diff(upto, prepend=0)
+
+    def places(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Where stretches of a text begin, how many ids come before each, and all ids; None if it must be encoded as a whole."""
+        if not self.parted or self.special.search(raw):
+            return None
+        if self.n > self.keep:
+            self.forget()
+        start, _, sizes = self._stretches(b"\x00" + raw + b"\x00")
+        return start - 1, np.cumsum(sizes, dtype=np.int64) - sizes, int(sizes.sum())
+
+    def _stretches(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, number and how many ids of each stretch of texts between NULs."""
         x = np.frombuffer(text, dtype=np.uint8)
         begin = _KIND[x] & _BEGIN > 0  # at a text's end too, for now
         at = np.flatnonzero(_KIND[x] & _MAYBE)  # spaces, line ends, commas and full stops; never the first or last byte
@@ -104,12 +122,7 @@ class Encoder:
         full = end > start
         start, size = start[full], (end - start)[full]
         number = self._numbers(text, start, size)
-        sizes = self.sizes[number]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[number] - (ends - sizes), sizes)
-        lengths = np.array([len(t) + 1 for t in raw], dtype=np.int64)
-        upto = np.concatenate(([0], ends))[np.searchsorted(start, np.cumsum(lengths))]
-        return self.flat[where], np.diff(upto, prepend=0)
+        return start, number, self.sizes[number]
 
     def _numbers(self, text: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number of each stretch; new ones are encoded."""
