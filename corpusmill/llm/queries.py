@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import units
 from .ann import nearest
 from .common import read_table
+from .conversations import conversation_facts, damaged, every_conversation, repaired_segments
 from .counts import token_counts
 from .decontaminate import contaminated
 from .mixing import mix
@@ -69,13 +70,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"), k=16)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return every_conversation(turns, conversation_facts(repaired_segments(damaged(turns))))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ann_search, op2_simhash_near_dedup, op3_quality, op4_substring_dedup, op5_url_filter, op6_decontamination, op7_toxicity, op8_line_dedup, op9_mixing, op10_token_files, op11_whitening, op13_token_counts)
+    for f in (op1_ann_search, op2_simhash_near_dedup, op3_quality, op4_substring_dedup, op5_url_filter, op6_decontamination, op7_toxicity, op8_line_dedup, op9_mixing, op10_token_files, op11_whitening, op12_conversation_repair, op13_token_counts)
 }
 
 ORACLE: dict[str, str] = {"op8_line_dedup": units.SQL}
