@@ -421,3 +421,59 @@ def every_conversation(conversations: DataFrame, facts: DataFrame) -> DataFrame:
     numbers = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
     out = ids.join(facts, ids.id.eqNullSafe(facts.conv_id), "left").drop("conv_id").withColumnRenamed("id", "conv_id")
     return out.withColumns(numbers | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.lit(sha256(b"").hexdigest()))})
+
+
+#: DuckDB SQL of the whole job: turn by turn, without a grammar. Ties of one turn and role go by text here.
+SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k
+  FROM conversations),
+way AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(k, lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS w
+  FROM src, crc),
+harm AS (
+  SELECT conv_id, turn, CASE WHEN w = 4 THEN 'user' ELSE role END AS role,
+    CASE w WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN w = 3 THEN 2 ELSE 1 END)) AS z
+  FROM way WHERE w > 0),
+num AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS late,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, z) AS n,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, z) > 1 AS again
+  FROM harm),
+lines AS (
+  SELECT *, blank OR again AS gone, CASE WHEN blank OR again THEN 0 WHEN late THEN 3 ELSE 0 END AS more,
+    left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS p
+  FROM num),
+move(a, b, r, role) AS (VALUES (0, 1, 's', CAST(NULL AS VARCHAR)), (0, 2, 'u', 'user'), (1, 2, 'u', 'user'), (3, 2, 'u', 'user'), (2, 3, 'a', 'assistant')),
+put(a, b, c, told) AS (VALUES (0, 0, 0, []), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 3, ['user:']), (1, 2, 3, ['user:']), (3, 2, 3, ['user:']),
+  (2, 3, 3, ['assistant:']), (0, 3, 6, ['user:', 'assistant:']), (1, 3, 6, ['user:', 'assistant:'])),
+op(a, b, c, op, r, role) AS (
+  SELECT a, a, 4, 'D', '', CAST(NULL AS VARCHAR) FROM (VALUES (0), (1), (2), (3)) s(a)
+  UNION ALL SELECT a, b, 0, 'K', r, CAST(NULL AS VARCHAR) FROM move
+  UNION ALL SELECT a, b, 3, 'R', '', role FROM move WHERE role IS NOT NULL),
+best(conv_id, n, s, m) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} FROM lines
+  UNION ALL
+  SELECT x.conv_id, x.n, op.b, min({'c': m.c + put.c + op.c + CASE WHEN op = 'D' THEN 0 ELSE more END, 'a': m.a || repeat('I', len(put.told)) || op,
+    't': m.t || put.told || CASE WHEN op = 'D' THEN [] ELSE [coalesce(op.role, x.role) || ':' || x.text] END})
+  FROM best JOIN lines x ON x.conv_id IS NOT DISTINCT FROM best.conv_id AND x.n = best.n + 1
+    JOIN put ON put.a = best.s JOIN op ON op.a = put.b AND (op = 'D' OR NOT gone AND (op = 'R' OR op.r = x.r))
+  GROUP BY x.conv_id, x.n, op.b),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+    count(*) FILTER (more > 0) AS truncated, count(*) FILTER (p || r NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n
+  FROM lines GROUP BY conv_id),
+done AS (
+  SELECT best.conv_id, min({'c': m.c + put.c, 'a': m.a || repeat('I', len(put.told)), 't': m.t || put.told}) AS m
+  FROM best JOIN facts ON facts.conv_id IS NOT DISTINCT FROM best.conv_id AND facts.n = best.n JOIN put ON put.a = best.s AND put.b IN (0, 3)
+  GROUP BY best.conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(m.c, 0) AS BIGINT) AS cost, coalesce(m.a, '') AS audit, sha256(coalesce(array_to_string(m.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+  LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

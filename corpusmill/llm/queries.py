@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import units
+from . import conversations, units
 from .ann import nearest
 from .common import read_table
 from .conversations import conversation_facts, damaged, every_conversation, repaired_segments
@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_ann_search, op2_simhash_near_dedup, op3_quality, op4_substring_dedup, op5_url_filter, op6_decontamination, op7_toxicity, op8_line_dedup, op9_mixing, op10_token_files, op11_whitening, op12_conversation_repair, op13_token_counts)
 }
 
-ORACLE: dict[str, str] = {"op8_line_dedup": units.SQL}
+ORACLE: dict[str, str] = {"op8_line_dedup": units.SQL, "op12_conversation_repair": conversations.SQL}

@@ -76,18 +76,20 @@ def simhash(text: bytes | None, shingle: int = 4, count: int = 1, seed: int = 42
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
-def signatures(docs: DataFrame, shingle: int = 4, count: int = 1, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
-    """(doc_id, sigs array<long>): ``count`` fingerprints of every row."""
+def signatures(docs: DataFrame, shingle: int = 4, count: int = 1, id_col: str = "doc_id", text_col: str = "text", once: bool = False, text_hash: bool = False) -> DataFrame:
+    """(doc_id[, text_hash], sigs array<long>): ``count`` fingerprints of every row."""
+    own = ["doc_id", "text_hash"] if text_hash else ["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [simhash(t.as_py(), shingle, count, once=once).view(np.int64) for t in batch.column(1)]
+            rows = [simhash(t.as_py(), shingle, count, once=once).view(np.int64) for t in batch.column(len(own))]
             flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * count)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "sigs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.ListArray.from_arrays(ends, flat)], [*own, "sigs"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(work, "doc_id long, sigs array<long>")
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *([F.xxhash64(text).alias("text_hash")] if text_hash else []), text.alias("t"))
+    return rows.mapInArrow(work, ", ".join(f"{c} long" for c in own) + ", sigs array<long>")
 
 
 def _blocks(n: int, agree: int) -> list[list[tuple[int, int]]]:
@@ -423,15 +425,16 @@ def _jaccard_links(sets: list[np.ndarray], sides: np.ndarray, similarity: float)
 def _verified_links(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, most_broadcast: int, block_shingles: int) -> DataFrame:
     """Links (a, b): a forest with the components of all pairs of one group whose texts have the Jaccard similarity.
 
-    ``groups``: (node, root). The documents of a group are dealt to blocks of some ``block_shingles``
-    distinct shingles and all pairs of blocks are compared, each in a task.
+    ``groups``: (doc_id, text_hash, node, root), the text of each node. The documents of a group are dealt to
+    blocks of some ``block_shingles`` distinct shingles and all pairs of blocks are compared, each in a task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("t"))
+    text, key = F.col("text").cast("binary"), ["doc_id", "text_hash"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("t"))
     if groups.count() <= most_broadcast:  # 8 bytes each: saves shuffling all texts
-        ids = spark.sparkContext.broadcast(np.sort(groups.select("node").toArrow().column(0).to_numpy()))
+        ids = spark.sparkContext.broadcast(np.sort(groups.select("doc_id").toArrow().column(0).to_numpy()))
     else:
-        ids, rows = None, rows.join(groups.select("node"), "node", "left_semi")
+        ids, rows = None, rows.join(groups.select(*key), key, "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -439,11 +442,11 @@ def _verified_links(docs: DataFrame, groups: DataFrame, shingle: int, similarity
                 own = b.column(0).to_pandas().to_numpy(dtype=np.int64)
                 at = np.minimum(np.searchsorted(ids.value, own), max(len(ids.value) - 1, 0))
                 b = b.filter(pa.array(ids.value[at] == own if len(ids.value) else np.zeros(len(own), bool)))
-            got = [np.unique(shingles(t.as_py(), shingle)) for t in b.column(1)]
-            cols = [b.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "n", "items"])
+            got = [np.unique(shingles(t.as_py(), shingle)) for t in b.column(2)]
+            cols = [b.column(0), b.column(1), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [*key, "n", "items"])
 
-    rows = cut(rows.mapInArrow(sets, "node long, n long, items binary").where("n > 0").join(groups, "node"))
+    rows = cut(rows.mapInArrow(sets, "doc_id long, text_hash long, n long, items binary").where("n > 0").join(groups, key).drop(*key))
     parts = rows.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).alias("parts"))
     rows = rows.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
@@ -463,7 +466,10 @@ def near_duplicates(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, count: int = 16, distance: int = 14, blocks: int = 4, group_rows: int = 20_000, spreads: float = 4,
     most_broadcast: int = 5_000_000, block_shingles: int = 1 << 20,
 ) -> DataFrame:
-    """(doc_id, rep_id) of the documents that repeat another: all of a group but its smallest doc_id.
+    """(doc_id, text_hash, rep_id) of the rows that repeat another: all of a group but its smallest doc_id.
+
+    A row is told by doc_id and the XXH64 of its text, so different texts under one doc_id are judged apart;
+    of those in one group the one of the least hash is the smallest. Rows equal in both are one.
 
     Documents go with those of ``similarity`` or more: the Jaccard similarity of their sets of
     ``shingle``-word shingles, and what such pairs link. Texts at 0.8 differ in some 15 % of their
@@ -476,13 +482,16 @@ def near_duplicates(
     doc_id are left alone.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    sig = cut(signatures(rows, shingle, count, once=True))
-    same = sig.groupBy("sigs").agg(F.min("doc_id").alias("node"))
-    nodes = cut(same)
+    sig = cut(signatures(rows, shingle, count, once=True, text_hash=True))
+    own = F.struct("doc_id", "text_hash")
+    # numbered as they are written, once
+    nodes = cut(sig.groupBy("sigs").agg(F.min(own).alias("first")).withColumn("node", F.monotonically_increasing_id()))
     mean = similarity_bits(similarity, 64 * count)
     limit = mean + round(spreads * float(np.sqrt(mean * (1 - mean / (64 * count)))))
-    loose = components(_whole_links(nodes, count, distance, blocks, limit, group_rows))
-    groups = cut(loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct())
+    loose = components(_whole_links(nodes.drop("first"), count, distance, blocks, limit, group_rows))
+    groups = cut(loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct().join(nodes.select("node", "first.*"), "node"))
     roots = components(_verified_links(rows, groups, shingle, similarity, most_broadcast, block_shingles))
-    of = nodes.join(roots, "node", "left").select("sigs", F.coalesce("root", "node").alias("rep_id"))
-    return sig.join(of, "sigs").where("doc_id <> rep_id").select("doc_id", "rep_id")
+    of = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    reps = of.groupBy("root").agg(F.min("first").alias("rep"))
+    gone = sig.join(of.join(reps, "root").select("sigs", "rep"), "sigs").where(own != F.col("rep"))
+    return gone.select("doc_id", "text_hash", F.col("rep.doc_id").alias("rep_id"))

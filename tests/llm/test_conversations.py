@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import read_table
-from corpusmill.llm.conversations import GONE, LAST, Grammar, cheapest, conversation_facts, damaged, every_conversation, repaired_segments, repaired_turns
+from corpusmill.llm.conversations import GONE, LAST, SQL, Grammar, cheapest, conversation_facts, damaged, every_conversation, repaired_segments, repaired_turns
 from corpusmill.llm.queries import op12_conversation_repair
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -186,6 +187,9 @@ def full(rows):
 def test_whole_table(spark, sf):
     rows = [tuple(r) for r in read_table(spark, f"/root/testdata/{sf}", "conversations").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, op12_conversation_repair(spark, f"/root/testdata/{sf}").collect()), key=repr) == full(rows)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '/root/testdata/{sf}/conversations.parquet'")
+    assert sorted(db.sql(SQL).fetchall(), key=repr) == full(rows)
 
 
 def test_hard_rows(spark):

@@ -71,3 +71,13 @@ def test_repeated_ids_are_drawn_row_by_row(spark):
     taken = sum(size(r.text) for r in out.collect())
     assert taken == sum(r.taken for r in mix(docs).collect())
     assert all([r.copies for r in out.collect()].count(c) <= 2 for _, _, _, c in rows)
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    """What goes repeats something that stays, also where an id has texts of two groups, or two of one."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b, c = (words(k, 120) for k in "abc")
+    rows = [(3, a, "x"), (5, a + " more", "x"), (5, b, "x"), (9, b + " more", "x"), (11, c, "x"), (12, c, "y"), (20, words("d", 99), "x"), (20, words("d", 99) + " end", "x"), (20, words("e", 99), "x"), (21, words("e", 99), "z"), (20, words("e", 99), "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text[:2]) for r in kept) == [(3, "wa"), (5, "wb"), (11, "wc"), (20, "wd"), (20, "we")]
