@@ -25,11 +25,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays; of rows that are the same in all columns, one."""
-    repeated = docs.join(near_duplicates(docs).select("doc_id").distinct(), "doc_id", "left_anti")
-    more = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = repeated.join(more, "doc_id", "left_anti")
-    return once.unionByName(repeated.join(more, "doc_id", "left_semi").dropDuplicates()).select(docs.columns)
+    """Of each group of near copies the smallest doc_id stays; different texts under one doc_id are judged apart.
+
+    Of rows that have doc_id and text in common, one stays. Rows without doc_id are left alone.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("text_hash"))
+    gone = near_duplicates(docs).select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    left = rows.join(gone, ["id", "text_hash"], "left_anti")
+    more = cut(docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").groupBy("id").count().where("count > 1").select("id"))
+    once = left.join(more, "id", "left_anti")
+    again = left.join(more, "id", "left_semi").dropDuplicates(["id", "text_hash"])
+    return once.unionByName(again).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
