@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 #: Namespaces of the name-based ids.
 CHUNK_NAMESPACE = "8c4f4d7e-2c1b-4a6a-9a3e-1f5b8d2c9e10"
 WORD = r"[\p{L}\p{N}_]+"
+#: What a term of the line search is made of, so that it lies within one such stretch.
+RUN = r"[\p{L}\p{N}_./:-]+"
 
 
 def uuid5(namespace: str, key: Column) -> Column:

@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import WORD, runs, terms
+from ..functions.text import RUN, WORD, runs, terms
+from .stored import ChunkIndex
 
 #: Words that are no search terms of a line search.
-GREP_STOPWORDS = """also anti are before check citation citations concrete data does draft evidence exact file flow from gotchas heading
-into line needs only ownership path product repair section skill system that this tier use validation when with""".split()
+GREP_STOPWORDS = [
+    "about", "after", "also", "anti", "are", "before", "check", "citation", "citations", "concrete", "data", "does", "draft", "evidence", "exact", "file", "flow", "from", "gotchas", "heading",
+    "into", "line", "needs", "only", "ownership", "path", "product", "repair", "section", "skill", "system", "that", "this", "tier", "use", "validation", "when", "with",
+]
 K1, B = 1.2, 0.75
 
 
@@ -26,26 +29,41 @@ def scope(queries: DataFrame, chunks: DataFrame) -> list[str]:
     return ["product_id"] if "product_id" in queries.columns and "product_id" in chunks.columns else []
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 50, most_asked: int = 200_000) -> DataFrame:
-    """(query_id, id, score, rank): Okapi BM25 top k of (query_id, query) over (id, content).
+def bm25(queries: DataFrame, chunks: DataFrame | ChunkIndex, k: int = 50, most_asked: int = 200_000, kinds: list[str] | None = None, most_listed: int = 1_000) -> DataFrame:
+    """(query_id, id, score, rank): Okapi BM25 top k of (query_id, query) over (id, content), or over a stored index.
 
     Words that no query has are dropped where they are read, before any shuffle; the queries' terms are
-    broadcast while there are ``most_asked`` or fewer of them. Statistics are those of all ``chunks``;
+    broadcast while there are ``most_asked`` or fewer of them, and up to ``most_listed`` choose folders and row groups of a stored
+    index. Statistics are those of all ``chunks``, or of the index's ``kinds``;
     with product_id in both tables, hits are of the query's product.
     """
-    own = scope(queries, chunks)
+    stored = isinstance(chunks, ChunkIndex)
+    own = (["product_id"] if "product_id" in queries.columns else []) if stored else scope(queries, chunks)
     asked = queries.select("query_id", *own, F.explode(terms(F.col("query"))).alias("term"))
-    few = F.broadcast if asked.count() <= most_asked else lambda df: df
-    words = chunks.select("id", *own, F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), 1).alias("w"))
-    words = words.withColumn("dl", F.size("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    mine = words.select("id", *own, "dl", F.explode("w").alias("term")).join(few(asked.select("term").distinct()), "term", "left_semi")
-    # dealt by id alone: counts, scores and sums of a chunk are then all made where its words are
-    mine = mine.repartition("id").groupBy("id", *own, "dl", "term").agg(F.count("*").alias("tf"))
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))  # a row a term of the queries
-    hit = mine.join(few(asked.join(df, "term")), [*own, "term"]).crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    n_asked = asked.count()
+    few = F.broadcast if n_asked <= most_asked else lambda df: df
+    if stored:
+        words, (n, mean) = chunks.postings("words", kinds), chunks.statistics(kinds)
+        if n_asked <= most_listed:
+            names = sorted(r.term for r in asked.select("term").distinct().collect())
+            parts = {r.tb for r in asked.select(chunks.bucket_of_term(F.col("term")).alias("tb")).distinct().collect()}
+            mine = words.where(F.col("tb").isin(parts) & F.col("term").isin(names))
+        else:
+            mine = words.join(few(asked.select("term").distinct()), "term", "left_semi")
+        n, mean = F.lit(n), F.lit(mean)
+        hit = mine.select("id", *own, "dl", "term", "tf").join(few(asked.join(mine.groupBy("term").agg(F.count("*").alias("df")), "term")), [*own, "term"])
+    else:
+        words = chunks.select("id", *own, F.regexp_extract_all(F.lower("content"), F.lit(f"({WORD})"), 1).alias("w"))
+        words = words.withColumn("dl", F.size("w"))
+        stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        mine = words.select("id", *own, "dl", F.explode("w").alias("term")).join(few(asked.select("term").distinct()), "term", "left_semi")
+        # dealt by id alone: counts, scores and sums of a chunk are then all made where its words are
+        mine = mine.repartition("id").groupBy("id", *own, "dl", "term").agg(F.count("*").alias("tf"))
+        df = mine.groupBy("term").agg(F.count("*").alias("df"))  # a row a term of the queries
+        hit = mine.join(few(asked.join(df, "term")), [*own, "term"]).crossJoin(F.broadcast(stats))  # stats is one row
+        n, mean = F.col("n"), F.col("avgdl")
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, k, ["query_id"])
 
@@ -133,15 +151,22 @@ def gate(hits: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
 
 def grep_terms(query: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(F.lower(query), F.lit(r"([\p{L}\p{N}_./:-]+)"), 1), lambda w: F.regexp_replace(w, r"^[._:/-]+|[._:/-]+$", ""))
+    words = F.transform(F.regexp_extract_all(F.lower(query), F.lit(f"({RUN})"), 1), lambda w: F.regexp_replace(w, r"^[._:/-]+|[._:/-]+$", ""))
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(GREP_STOPWORDS)))
 
 
-def grep(queries: DataFrame, chunks: DataFrame, k: int = 12, most_asked: int = 200_000) -> DataFrame:
+def _pieces(run: Column, longest: int) -> Column:
+    """A run, or overlapping pieces of a long one, so that each term of up to ``longest`` characters in it is whole in one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(run) - longest, F.lit(1)), F.lit(longest))
+    return F.when(F.length(run) <= 2 * longest, F.array(run)).otherwise(F.transform(starts, lambda i: F.substring(run, i, F.lit(2 * longest))))
+
+
+def grep(queries: DataFrame, chunks: DataFrame, k: int = 12, most_asked: int = 200_000, index: ChunkIndex | None = None) -> DataFrame:
     """(query_id, id, line, score, excerpt, rank): line search of (query_id, query) over chunks.
 
-    ``chunks``: id, uri, path, start_line, content. A term is met by its first four characters: a chunk's
-    runs of four meet the terms that begin with them, and only those are searched for. The terms are
+    ``chunks``: id, uri, path, start_line, content. A term lies within one unbroken run of a chunk's address and
+    content; runs meet the terms by their first four characters, and only small rows (id, run) go along. With
+    ``index`` (a stored one of these chunks) the distinct runs are searched and their postings read. The terms are
     broadcast while there are ``most_asked`` or fewer. As a score lies between 10 and 12 times the number of
     matched terms, most pairs drop out by that number before any content is shuffled. With product_id in
     both tables, hits are of the query's product.
@@ -149,12 +174,24 @@ def grep(queries: DataFrame, chunks: DataFrame, k: int = 12, most_asked: int = 2
     mine = scope(queries, chunks)
     per_query = queries.select("query_id", *mine, grep_terms(F.col("query")).alias("terms"))
     asked = per_query.select("query_id", *mine, F.explode("terms").alias("t"))
-    few = F.broadcast if asked.count() <= most_asked else lambda df: df
+    n_asked, longest = asked.agg(F.count("*"), F.max(F.length("t"))).first()
+    few, longest = F.broadcast if n_asked <= most_asked else lambda df: df, max(128, longest or 0)
     own = chunks.select("id", *mine, "uri", F.coalesce("path", F.lit("")).alias("path"), F.col("start_line").cast("int").alias("start_line"), "content")
     hay = F.lower(F.concat_ws("\n", "uri", "path", "content"))
     names = asked.select("t", F.substring("t", 1, 4).alias("g")).distinct()
-    hit = own.select("id", *mine, hay.alias("hay")).select("id", *mine, "hay", F.explode(runs(F.col("hay"), 4, r"[\p{L}\p{N}_./:-]")).alias("g")).join(few(names), "g").where(F.contains("hay", F.col("t")))
-    pairs = hit.select("id", *mine, "t").join(few(asked), [*mine, "t"]).groupBy("query_id", "id").agg(F.count("*").alias("m"))
+
+    def met(rows: DataFrame, *keep: str) -> DataFrame:
+        """Rows with the terms that their ``term`` contains."""
+        parts = rows.select(*keep, F.explode(_pieces(F.col("term"), longest)).alias("run"))
+        return parts.select(*keep, "run", F.explode(runs(F.col("run"), 4)).alias("g")).join(few(names), "g").where(F.contains("run", F.col("t"))).select(*keep, "t")
+
+    if index is None:
+        each = F.explode(F.array_distinct(F.filter(F.regexp_extract_all(hay, F.lit(f"({RUN})"), 1), lambda r: F.length(r) >= 4)))
+        hit = met(own.select("id", *mine, each.alias("term")), "id", *mine)
+    else:
+        known = index.postings("runs").where(F.length("term") >= 4).select("id", *mine, "term", "tb")
+        hit = known.join(met(known.select("term").distinct(), "term").distinct(), "term").select("id", *mine, "t")
+    pairs = hit.join(few(asked), [*mine, "t"]).groupBy("query_id", "id").agg(F.size(F.collect_set("t")).cast("long").alias("m"))  # at most a query's terms
     # the k-th largest number of a query, from how often each number occurs
     down = Window.partitionBy("query_id").orderBy(F.desc("m"))
     often = pairs.groupBy("query_id", "m").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(down))
