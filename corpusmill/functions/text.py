@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 #: Namespaces of the name-based ids.
 CHUNK_NAMESPACE = "8c4f4d7e-2c1b-4a6a-9a3e-1f5b8d2c9e10"
+#: Fixed value: the tier of a product's master skill.
+MASTER = "product_master"
 WORD = r"[\p{L}\p{N}_]+"
 #: What a term of the line search is made of, so that it lies within one such stretch.
 RUN = r"[\p{L}\p{N}_./:-]+"
@@ -54,6 +56,16 @@ def glob_regex(glob: str) -> str:
     return f"(?s)^{out}$"
 
 
+def path_regex(glob: Column) -> Column:
+    """A path pattern as a regular expression for whole paths: ``**`` stands for any folders, ``*`` and ``?`` stay within one."""
+    e = F.regexp_replace(glob, r"([\\.+()|^${}])", r"\\$1")
+    e = F.regexp_replace(e, r"(?<![^/])\*\*/", "\u0001")
+    e = F.regexp_replace(F.regexp_replace(e, r"(?<![^/\u0001])\*\*$", "\u0002"), r"\*+", "[^/]*")
+    e = F.regexp_replace(F.regexp_replace(e, r"\?", "[^/]"), r"\[!", "[^")
+    e = F.replace(F.replace(e, F.lit("\u0001"), F.lit("(?:[^/]+/)*")), F.lit("\u0002"), F.lit(".*"))
+    return F.concat(F.lit("(?s)^"), e, F.lit("$"))
+
+
 def terms(text: Column, least: int = 1) -> Column:
     """Distinct lower-case words, in order of first use."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1), lambda w: F.length(w) >= least))

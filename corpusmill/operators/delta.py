@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 
 def fingerprint(*settings: Column) -> Column:
@@ -94,6 +96,42 @@ def counters(classified: DataFrame) -> DataFrame:
     return out
 
 
+COUNTED = ("added", "updated", "unchanged", "graph_refresh", "removed", "failed")
+
+
+def observed(results: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
+    """``results`` (action, error, chunk_ids) of one root's resources, observed: their numbers are known once it has been written.
+
+    A resource with an error counts as failed, whatever its action, and its chunks don't count.
+    """
+    seen = Observation(name)
+    action = F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("action"))
+    numbers = [F.count_if(action == a).alias(a) for a in COUNTED]
+    chunks = F.sum(F.when(F.col("error").isNull() & (F.col("action") != "removed"), F.size(F.coalesce("chunk_ids", F.array().cast("array<string>")))).otherwise(0))
+    return results.observe(seen, *numbers, F.coalesce(chunks, F.lit(0)).alias("chunks")), seen
+
+
+def ingest_run(roots: dict[str, DataFrame], write: Callable[[str, DataFrame], None], embed_errors: int = 0) -> dict:
+    """Writes the results of each root by ``write`` (root, rows) and gives the run's numbers, summed over the roots, and its status.
+
+    The numbers are observed while the rows are written, so nothing is computed twice. A root whose write fails counts as one failure, and the
+    others go on.
+    """
+    total = dict.fromkeys((*COUNTED, "chunks"), 0)
+    errors = {}
+    for root, rows in roots.items():
+        df, seen = observed(rows, f"ingest-{root}")
+        try:
+            write(root, df)
+        except Exception as e:
+            errors[root] = str(e).strip().splitlines()[0][:500] if str(e).strip() else type(e).__name__
+            total["failed"] += 1
+            continue
+        for k, v in seen.get.items():
+            total[k] += v
+    return total | {"errors": errors, "status": "done" if total["failed"] == 0 and embed_errors == 0 else "partial"}
+
+
 def run_status(failed: Column, embed_errors: Column) -> Column:
     return F.when((failed == 0) & (embed_errors == 0), "done").otherwise("partial")
 

@@ -151,3 +151,126 @@ def merge_sections(base: DataFrame, fill: DataFrame) -> DataFrame:
     x = base.join(f, ["draft_id", "heading"], "full")
     order = Window.partitionBy("draft_id").orderBy(F.col("no").isNull(), "no", "f_no")
     return x.select("draft_id", F.row_number().over(order).alias("no"), "heading", F.coalesce("f_text", "text").alias("text"))
+
+
+# Sections of a product's skill, which of them need citations, which are lists, which may stay uncited as long as they
+# name no concrete fact, and what a concrete fact looks like.
+REQUIRED = [
+    "Use This Skill When", "Product Snapshot", "Product Language", "Capabilities And Workflows", "System Map", "Data Model", "Interfaces And Contracts", "Invariants And Constraints",
+    "How To Use The Knowledge Base", "How To Work In This Product", "Security And Secrets", "Known Traps", "Freshness And Evidence",
+]
+OPTIONAL = ["Testing Strategy", "Common Change Patterns"]
+CITED = [
+    "Product Snapshot", "Product Language", "Capabilities And Workflows", "System Map", "Data Model", "Interfaces And Contracts", "Invariants And Constraints", "Security And Secrets",
+    "Known Traps", "Freshness And Evidence",
+]
+LISTS = [
+    "Product Language", "Capabilities And Workflows", "System Map", "Data Model", "Interfaces And Contracts", "Invariants And Constraints", "Security And Secrets", "Known Traps", "Freshness And Evidence",
+]
+PROCEDURES = ["anti-patterns", "how to work in this product", "testing strategy", "common change patterns"]
+CONCRETE = r"(?i)\b(?:uv run|pytest|ruff|mypy|npm|pnpm|yarn|make|docker)\b|[\w./-]+\.(?:py|ts|tsx|js|jsx|rs|go|toml|ya?ml|json|md)\b|/\w[\w/{}.-]*"
+MIN_RULES, MIN_ANTI, MIN_LIST = 3, 1, 2
+UNRELATED = ["what time is it", "summarize this unrelated PDF"]
+
+ITEM = r"(?m)^\s*(?:\d+\.|[-*])\s"
+
+
+def skill_report(drafts: DataFrame, required: list[str] = REQUIRED, cited: list[str] = CITED, optional: list[str] = OPTIONAL) -> DataFrame:
+    """(draft_id, missing, short): what a draft's level-2 sections lack, as messages in the order of the sections.
+
+    Missing: a title and required sections. Short: empty sections, lists with too few items (three cited rules, one anti-pattern, two
+    items elsewhere), unexpected and repeated sections, sections without the citation they need, and uncited procedures that name a
+    concrete fact (a file, a route, a command). Of sections with one heading in any case the last counts. Headings in
+    fenced code count as the others do.
+    """
+    text = lambda t: F.coalesce(t, F.lit(""))
+    each = drafts.select("draft_id", F.posexplode(F.slice(F.split(F.concat(F.lit("\n"), text(F.col("body"))), r"\n##[ \t]+(?=\S)"), 2, 1_000_000)).alias("no", "p"))
+    each = each.select("draft_id", "no", F.trim(F.regexp_extract("p", r"^([^\n]*)", 1)).alias("heading"), F.regexp_replace("p", r"^[^\n]*", "").alias("text"))
+    by = each.groupBy("draft_id", F.lower("heading").alias("key")).agg(F.max_by("text", "no").alias("text"), F.min("no").alias("no"))
+    by = by.groupBy("draft_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("of"), F.transform(F.sort_array(F.collect_list(F.struct("no", "key"))), lambda x: x["key"]).alias("keys"))
+    heads = each.groupBy("draft_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "heading"))), lambda x: x["heading"]).alias("heads"))
+    x = drafts.select("draft_id", text(F.col("body")).alias("body")).join(by, "draft_id", "left").join(heads, "draft_id", "left")
+    none = F.array().cast("array<string>")
+    x = x.withColumns({"of": F.coalesce("of", F.create_map().cast("map<string,string>")), "keys": F.coalesce("keys", none), "heads": F.coalesce("heads", none)})
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    count = lambda t: F.size(F.regexp_extract_all(t, F.lit(ITEM), 0))
+    bare = lambda t: F.trim(t, F.lit(" \n\r\t")) == ""
+    held = lambda t: t.rlike(CITATION)
+    here = lambda h: F.col("of")[h.lower()]
+    short: list[Column] = []
+    for h in required:
+        t, low = here(h), h.lower()
+        short.append(F.when(bare(t), f"{h} (empty)"))
+        if low == "rules":
+            short.append(F.when(count(t) < MIN_RULES, say("Rules (have ", count(t).cast("string"), f", need ≥{MIN_RULES})")))
+            n = F.size(F.filter(F.split(t, "\n"), lambda s: s.rlike(ITEM) & s.rlike(CITATION)))
+            short.append(F.when(n < MIN_RULES, say("Rules cited items (have ", n.cast("string"), f", need ≥{MIN_RULES})")))
+        elif low == "anti-patterns":
+            short.append(F.when(count(t) < MIN_ANTI, say(f"{h} (have ", count(t).cast("string"), f", need ≥{MIN_ANTI})")))
+        elif h in LISTS:
+            short.append(F.when(count(t) < MIN_LIST, say(f"{h} (have ", count(t).cast("string"), f" list items, need ≥{MIN_LIST} — use bullet or numbered list)")))
+    odd = F.filter("heads", lambda h: ~h.isin([*required, *optional]))
+    twice = F.array_sort(F.array_distinct(F.filter("heads", lambda h: F.size(F.filter("heads", lambda o: o == h)) > 1)))
+    short.append(F.when(F.size(odd) > 0, say("unexpected sections: ", F.array_join(odd, ", "))))
+    short.append(F.when(F.size(twice) > 0, say("duplicate sections: ", F.array_join(twice, ", "))))
+    short += [F.when(~bare(here(h)) & ~held(here(h)), f"{h.lower()} (needs citation)") for h in cited]
+    for h in optional:
+        short.append(F.when(bare(here(h)), f"{h} (empty)").when(~held(here(h)), f"{h} (optional section needs evidence)"))
+    loose = [k for k in PROCEDURES if k not in {c.lower() for c in cited}]
+    claims = F.transform(F.filter("keys", lambda k: k.isin(loose) & ~bare(F.col("of")[k]) & ~held(F.col("of")[k]) & F.col("of")[k].rlike(CONCRETE)), lambda k: F.concat(k, F.lit(" (concrete claim needs citation)")))
+    missing = F.array_compact(F.array(F.when(~F.col("body").rlike(r"(?m)^#\s+\S"), "title"), *[F.when(here(h).isNull(), h) for h in required]))
+    return x.select("draft_id", missing.alias("missing"), F.concat(F.array_compact(F.array(*short)), claims).alias("short"))
+
+
+def plain_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+
+
+def trigger_queries(drafts: DataFrame) -> DataFrame:
+    """(draft_id, no, query, frame, positive): up to three differing queries that must find the draft, made of its name and the longer words of
+    its description, and two unrelated ones; ``frame``: the words of the phrase around them."""
+    words, name = F.filter(plain_words(F.col("description")), lambda w: F.length(w) >= 4), F.replace("name", F.lit("-"), F.lit(" "))
+    q = lambda frame, said, ok=F.lit(True): F.when(ok, F.struct(F.concat(F.lit(frame + " "), said).alias("query"), F.lit(frame).alias("frame"), F.lit(True).alias("positive")))
+    join = lambda low, n: F.array_join(F.slice(words, low, n), " ")
+    made = F.array(
+        q("I need help with", join(1, 4), F.size(words) > 0),
+        F.when(F.size(words) >= 5, q("how do I handle", join(3, 4))).otherwise(q("how do I use", name, F.size(words) > 0)),
+        q("explain", name),
+        *[F.struct(F.lit(u).alias("query"), F.lit("").alias("frame"), F.lit(False).alias("positive")) for u in UNRELATED],
+    )
+    return drafts.select("draft_id", F.posexplode(F.array_distinct(F.array_compact(made))).alias("no", "q")).select("draft_id", "no", "q.*")
+
+
+def trigger_failures(drafts: DataFrame, plan: DataFrame) -> DataFrame:
+    """(draft_id, failures): the first four of what the drafts' trigger queries get wrong.
+
+    ``drafts``: draft_id, name, description; ``plan``: name, description, purpose, topics, place (its order). The positive queries must rank the
+    plan's item of the draft's name first, with a score; of equals the earlier is first. The unrelated ones must give it none. A score is
+    the shared part of a query's words. Without a plan nothing fails.
+
+    Queries meet the items that share a word besides those of the query's phrase, which all have; of the items that
+    share only such, the best of each phrase is enough.
+    """
+    hay = plain_words(F.concat_ws(" ", "name", "description", "purpose", F.array_join("topics", " ")))
+    items = plan.select(F.col("name").alias("item"), "place", F.array_distinct(hay).alias("h"))
+    if items.isEmpty():
+        return drafts.select("draft_id", F.array().cast("array<string>").alias("failures"))
+    asked = trigger_queries(drafts).join(drafts.select("draft_id", "name"), "draft_id")
+    asked = asked.withColumns({"q": F.array_distinct(plain_words(F.col("query"))), "f": F.array_distinct(plain_words(F.col("frame")))})
+    own = asked.join(items.select(F.col("item").alias("name"), "h", "place"), "name", "left")
+    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("draft_id", "no").orderBy(F.desc(F.size(F.array_intersect("q", "h"))), "place"))).where("_n = 1")
+    own = own.select("draft_id", "no", "query", "positive", "name", F.coalesce(F.size(F.array_intersect("q", "h")), F.lit(0)).alias("own"))
+    good = asked.where("positive")
+    met = good.select("draft_id", "no", F.explode(F.array_except("q", "f")).alias("w")).join(items.select("item", F.explode("h").alias("w")), "w").groupBy("draft_id", "no", "item").agg(F.count("*").alias("n"))
+    met = met.join(items, "item").join(good.select("draft_id", "no", "q", "f"), ["draft_id", "no"])
+    met = met.select("draft_id", "no", "item", "place", (F.col("n") + F.size(F.array_intersect(F.array_intersect("q", "f"), "h"))).alias("n"))
+    frames = good.select("frame", "f").distinct()  # a handful of phrases
+    alone = items.crossJoin(F.broadcast(frames)).groupBy("frame").agg(F.max_by(F.struct("item", "place", F.size(F.array_intersect("f", "h")).alias("n")), F.struct(F.size(F.array_intersect("f", "h")), -F.col("place"))).alias("b"))
+    alone = good.select("draft_id", "no", "frame").join(F.broadcast(alone), "frame").select("draft_id", "no", "b.item", "b.place", F.col("b.n").cast("long").alias("n"))
+    first = met.unionByName(alone).groupBy("draft_id", "no").agg(F.max_by(F.struct("item", "n"), F.struct("n", -F.col("place"))).alias("b"))
+    x = own.join(first, ["draft_id", "no"], "left")
+    lost = F.col("positive") & ((F.coalesce("b.n", F.lit(0)) <= 0) | ~F.coalesce(F.col("b.item") == F.col("name"), F.lit(False)))
+    text = F.when(lost, F.concat(F.lit("Description trigger failed: `"), "query", F.lit("` did not rank `"), "name", F.lit("` first.")))
+    text = text.when(~F.col("positive") & (F.col("own") > 0), F.concat(F.lit("Description over-triggered: unrelated prompt `"), "query", F.lit("` matched `"), "name", F.lit("`.")))
+    told = x.select("draft_id", "no", text.alias("t")).where("t is not null").groupBy("draft_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda y: y["t"]), 1, 4).alias("failures"))
+    return drafts.select("draft_id").join(told, "draft_id", "left").select("draft_id", F.coalesce("failures", F.array().cast("array<string>")).alias("failures"))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import stable_id, uuid5
 
-# The namespace of edge ids; paths of tests; methods of routes; names of settings.
+# The namespace of edge ids; paths of tests, settings and scripts; kinds that are classes; methods of routes; names of settings.
 TEST_PATH = r"(?i)(^|/)(tests?|__tests__)/|(^|/|_)(test|spec)[_.-]"
+CONFIG_PATH = r"\.(env|ini|toml|yaml|yml|json)$"
+SCRIPT_PATH = r"(?i)\.(ts|tsx|js|jsx|mjs|cjs)$"
+CLASS_KINDS = ["class", "struct", "trait", "interface", "type", "enum", "contract"]
 ROUTE_METHODS = "get|post|put|patch|delete|options|head"
 SETTING = "[A-Z0-9_]+"
 EDGE_NAMESPACE = "1a41a1f2-a486-4aa7-bad5-a1a263ad91c2"
@@ -17,46 +20,62 @@ def edge_id(product: Column, src: Column, type_: Column, dst: Column, uri: Colum
     return F.concat(F.lit("edge:"), uuid5(EDGE_NAMESPACE, F.concat_ws("|", product, src, type_, dst, uri)))
 
 
+def module_name(uri: Column) -> Column:
+    """The path without its suffix, dots for slashes."""
+    bare = F.regexp_replace(uri, r"(?<=[^/])\.[^./]+$", "")
+    return F.replace(F.regexp_replace(bare, r"^[./]+|[./]+$", ""), F.lit("/"), F.lit("."))
+
+
+def normal_route(path: Column) -> Column:
+    """Without slashes at the end; ``{name}`` and ``:name`` become ``{}``."""
+    bare = F.regexp_replace(path, "/+$", "")
+    return F.regexp_replace(F.when(bare == "", "/").otherwise(bare), r"\{[^}]+\}|:[A-Za-z_]\w*", "{}")
+
+
 def file_labels(uri: Column, code: Column) -> Column:
     some = lambda c, name: F.when(c, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     low = F.lower(uri)
-    return F.concat(
-        F.when(code, F.array(F.lit("CodeFile"))).otherwise(F.array(F.lit("Document"))), some(low.rlike(TEST_PATH), "Test"),
-        some(low.rlike(r"(^|/)migrations?/"), "Migration"), some(low.rlike(r"\.(ya?ml|toml|ini|env|cfg)$"), "Config"),
-    )
+    return F.array_sort(F.concat(
+        F.when(code, F.array(F.lit("CodeFile"))).otherwise(F.array(F.lit("Document"))), some(uri.rlike(TEST_PATH), "Test"),
+        some(F.contains(low, F.lit("migration")) | F.endswith(low, F.lit(".sql")), "Migration"), some(low.rlike(CONFIG_PATH), "Config"),
+    ))
 
 
 def file_graph(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Source, repository, file and module nodes and CONTAINS edges of (product_id, source_id, repo, uri, code)."""
     p = F.col("product_id")
-    source, repo, file, module = stable_id(F.lit("source"), p, F.col("source_id")), stable_id(F.lit("repo"), p, F.col("repo")), stable_id(F.lit("file"), p, F.col("uri")), stable_id(F.lit("module"), p, F.regexp_replace("uri", r"\.[^./]*$", ""))
+    source, repo, file, module = stable_id(F.lit("source"), p, F.col("source_id")), stable_id(F.lit("repo"), p, F.col("repo")), stable_id(F.lit("file"), p, F.col("uri")), stable_id(F.lit("module"), p, module_name(F.col("uri")))
     node = lambda id_, labels, name, df=resources: df.select("product_id", id_.alias("id"), labels.alias("labels"), name.alias("name"))
     code = resources.where("code")
     nodes = (
         node(source, F.array(F.lit("Source")), F.col("source_id")).unionByName(node(repo, F.array(F.lit("Repository")), F.col("repo")))
-        .unionByName(node(file, file_labels(F.col("uri"), F.col("code")), F.col("uri"))).unionByName(node(module, F.array(F.lit("Module")), F.regexp_extract("uri", r"([^/.]*)\.?[^/.]*$", 1), code))
+        .unionByName(node(file, file_labels(F.col("uri"), F.col("code")), F.regexp_extract("uri", "([^/]*)$", 1))).unionByName(node(module, F.array(F.lit("Module")), module_name(F.col("uri")), code))
     ).distinct()
     edge = lambda a, b, df=resources: df.select("product_id", a.alias("src"), F.lit("CONTAINS").alias("type"), b.alias("dst"))
     return nodes, edge(source, repo).unionByName(edge(repo, file)).unionByName(edge(file, module, code)).distinct()
 
 
+def symbol_label(kind: Column) -> Column:
+    return F.when(kind.isin(CLASS_KINDS), "Class").otherwise("Function")
+
+
 def symbol_graph(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Class or Function nodes of (product_id, uri, name, kind, start_line) and DECLARES (or COVERS, for tests) edges."""
-    p, test = F.col("product_id"), F.col("uri").rlike(TEST_PATH) | F.col("name").rlike("^[Tt]est")
-    id_, module = stable_id(F.lit("symbol"), p, F.col("uri"), F.col("name")), stable_id(F.lit("module"), p, F.regexp_replace("uri", r"\.[^./]*$", ""))
-    label = F.when(F.col("kind").isin("class", "interface", "struct", "enum", "trait"), "Class").otherwise("Function")
+    """Class or Function nodes of (product_id, uri, name, kind, start_line) and DECLARES (and COVERS, for tests) edges."""
+    p, test = F.col("product_id"), F.col("uri").rlike(TEST_PATH) | F.col("name").rlike("^(?:test|it|spec)_")
+    label, module = symbol_label(F.col("kind")), stable_id(F.lit("module"), p, module_name(F.col("uri")))
+    id_ = stable_id(F.lit("symbol"), p, F.col("uri"), F.col("name"), label)
     nodes = symbols.select("product_id", id_.alias("id"), F.array_compact(F.array(label, F.when(test, "Test"))).alias("labels"), "name", "uri", "start_line").distinct()
     edges = symbols.select("product_id", module.alias("src"), F.lit("DECLARES").alias("type"), id_.alias("dst"))
     return nodes, edges.unionByName(symbols.where(test).select("product_id", id_.alias("src"), F.lit("COVERS").alias("type"), module.alias("dst"))).distinct()
 
 
 def imports(lines: DataFrame) -> DataFrame:
-    """(product_id, uri, module, external) of import lines."""
-    name = F.coalesce(
-        F.nullif(F.regexp_extract("content", r"^\s*from\s+([\w.]+)\s+import\s", 1), F.lit("")), F.nullif(F.regexp_extract("content", r"^\s*import\s+([\w.]+)\s*(?:as\s+\w+)?\s*$", 1), F.lit("")),
-        F.nullif(F.regexp_extract("content", r"""^\s*import\s.*from\s+['"]([^'"]+)['"]""", 1), F.lit("")),
-    )
-    x = lines.select("product_id", "uri", name.alias("module")).where("module is not null").distinct()
+    """(product_id, uri, module, external) of import lines: Python's in .py files, else those of scripts: with and without names, typed, or required."""
+    one = lambda pattern: F.nullif(F.regexp_extract("content", pattern, 1), F.lit(""))
+    py = F.coalesce(one(r"^\s*from\s+([A-Za-z_][\w.]*)\s+import"), one(r"^\s*import\s+([A-Za-z_][\w.]*)"))
+    script = F.concat(F.array_compact(F.array(one(r"""^\s*import(?:\s+type)?(?:[^'"]*\s+from\s+|\s*)['"]([^'"]+)['"]"""))), F.regexp_extract_all("content", F.lit(r"""require\(\s*['"]([^'"]+)['"]\s*\)"""), 1))
+    both = F.when(F.col("uri").endswith(".py"), F.array_compact(F.array(py))).when(F.col("uri").rlike(SCRIPT_PATH), script).otherwise(F.array_compact(F.concat(F.array(py), script)))
+    x = lines.select("product_id", "uri", F.explode(both).alias("module")).distinct()
     first = F.regexp_extract("module", r"^([^./]*)", 1)
     folders = F.split(F.regexp_replace("uri", r"/?[^/]*$", ""), "/")
     return x.withColumn("external", ~F.startswith("module", F.lit(".")) & ~F.array_contains(folders, first))
@@ -88,21 +107,24 @@ def call_edges(calls: DataFrame, spans: DataFrame, names: DataFrame) -> DataFram
 
 
 def routes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(product_id, uri, line, method, path, handler): route decorators and the next symbol that starts there or after."""
+    """(product_id, uri, line, method, path, handler, handler_label): route decorators and the next symbol that starts there or after."""
     pattern = rf"""(?i)@[\w.]+\.({ROUTE_METHODS})\(\s*['"]([^'"]+)['"]"""
-    r = lines.select("product_id", "uri", "line", F.upper(F.regexp_extract("content", pattern, 1)).alias("method"), F.regexp_replace(F.regexp_extract("content", pattern, 2), r"\{[^}]*\}", "{}").alias("path")).where("method <> ''")
-    both = r.select("product_id", "uri", F.col("line").alias("at"), F.lit(0).alias("s"), F.lit(None).cast("string").alias("name")).unionByName(symbols.select("product_id", "uri", F.col("start_line").alias("at"), F.lit(1).alias("s"), "name"))
+    r = lines.select("product_id", "uri", "line", F.upper(F.regexp_extract("content", pattern, 1)).alias("method"), normal_route(F.regexp_extract("content", pattern, 2)).alias("path")).where("method <> ''")
+    label = symbol_label(F.col("kind")) if "kind" in symbols.columns else F.lit("Function")
+    own = symbols.select("product_id", "uri", F.col("start_line").alias("at"), F.lit(1).alias("s"), F.struct("name", label.alias("label")).alias("h"))
+    both = r.select("product_id", "uri", F.col("line").alias("at"), F.lit(0).alias("s"), F.lit(None).cast(own.schema["h"].dataType).alias("h")).unionByName(own)
     w = Window.partitionBy("product_id", "uri").orderBy("at", "s").rowsBetween(0, Window.unboundedFollowing)
-    nxt = both.withColumn("handler", F.first("name", True).over(w)).where("s = 0").select("product_id", "uri", F.col("at").alias("line"), "handler").distinct()
+    nxt = both.withColumn("h", F.first("h", True).over(w)).where("s = 0").select("product_id", "uri", F.col("at").alias("line"), F.col("h.name").alias("handler"), F.col("h.label").alias("handler_label")).distinct()
     return r.join(nxt, ["product_id", "uri", "line"])
 
 
 def route_edges(routes: DataFrame) -> DataFrame:
-    """(product_id, src, type, dst) of routes: the handler HANDLES its endpoint, the file EXPOSES it."""
+    """(product_id, src, type, dst) of routes: the handler, or else the file, HANDLES its endpoint; the file EXPOSES it. Endpoints are of one module."""
     p = F.col("product_id")
-    api = stable_id(F.lit("api"), p, F.col("method"), F.col("path"))
-    handled = routes.where("handler is not null").select("product_id", stable_id(F.lit("symbol"), p, F.col("uri"), F.col("handler")).alias("src"), F.lit("HANDLES").alias("type"), api.alias("dst"))
-    return handled.unionByName(routes.select("product_id", stable_id(F.lit("file"), p, F.col("uri")).alias("src"), F.lit("EXPOSES").alias("type"), api.alias("dst"))).distinct()
+    api, file = stable_id(F.lit("api"), p, F.col("method"), F.col("path"), module_name(F.col("uri"))), stable_id(F.lit("file"), p, F.col("uri"))
+    by = F.when(F.col("handler").isNull(), file).otherwise(stable_id(F.lit("symbol"), p, F.col("uri"), F.col("handler"), F.col("handler_label")))
+    edge = lambda src, type_: routes.select("product_id", src.alias("src"), F.lit(type_).alias("type"), api.alias("dst"))
+    return edge(by, "HANDLES").unionByName(edge(file, "EXPOSES")).distinct()
 
 
 def config_reads(lines: DataFrame) -> DataFrame:

@@ -40,9 +40,24 @@ def counts(points: DataFrame) -> DataFrame:
     return points.groupBy("product_id").agg(F.count_if(F.col("kind") == "code").alias("code"), F.count_if(F.col("kind") == "text").alias("text"), F.count("*").alias("total"))
 
 
+def _scope(points: DataFrame, asked: DataFrame) -> list[str]:
+    """Where both have product_id, only the asked product's points count."""
+    return ["product_id"] if "product_id" in points.columns and "product_id" in asked.columns else []
+
+
 def ids_by_resource(points: DataFrame, uris: DataFrame) -> DataFrame:
-    some = points.join(uris.select("uri").distinct(), "uri", "left_semi")
-    return some.groupBy("uri", "kind").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+    """(uri, kind, chunk_ids) of ``uris``; with product_id in both tables, a row for each product."""
+    own = _scope(points, uris)
+    some = points.join(uris.select(*own, "uri").distinct(), [*own, "uri"], "left_semi")
+    return some.groupBy(*own, "uri", "kind").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+
+
+def delete_resources(points: DataFrame, uris: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points without those of ``uris``, and how many of each (product and) uri went."""
+    own = _scope(points, uris)
+    gone = uris.select(*own, "uri").distinct()
+    n = points.join(gone, [*own, "uri"], "left_semi").groupBy(*own, "uri").agg(F.count("*").alias("n"))
+    return points.join(gone, [*own, "uri"], "left_anti"), gone.join(n, [*own, "uri"], "left").select(*own, "uri", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def existing(points: DataFrame, ids: DataFrame) -> DataFrame:
@@ -50,12 +65,14 @@ def existing(points: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def at_files(points: DataFrame, uris: DataFrame) -> DataFrame:
-    return points.join(uris.where("uri <> ''").select("uri").distinct(), "uri", "left_semi")
+    own = _scope(points, uris)
+    return points.join(uris.where("uri <> ''").select(*own, "uri").distinct(), [*own, "uri"], "left_semi")
 
 
 def by_symbol(points: DataFrame, symbols: DataFrame, cap: int = 4) -> DataFrame:
-    w = Window.partitionBy("symbol_id").orderBy("chunk_id")
-    some = points.join(symbols.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    own = _scope(points, symbols)
+    w = Window.partitionBy(*own, "symbol_id").orderBy("chunk_id")
+    some = points.join(symbols.select(*own, "symbol_id").distinct(), [*own, "symbol_id"], "left_semi")
     return some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
 

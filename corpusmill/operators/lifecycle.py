@@ -4,25 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import terms
+from ..functions.text import MASTER, path_regex, terms
 from .delta import latest
 
 
 def find_skills(queries: DataFrame, skills: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, name, tier, score, rank): the best master first, then by overlap and confidence."""
-    q = queries.withColumn("q", terms(F.col("query")))
-    text = terms(F.concat_ws(" ", F.regexp_replace("name", "-", " "), "body"))
-    x = q.join(skills.withColumn("t", text), "product_id")
-    fits = F.lit(True)
-    if "file" in queries.columns:
-        fits = fits & (F.col("file").isNull() | (F.size("file_patterns") == 0) | F.exists("file_patterns", lambda p: F.regexp(F.col("file"), p)))
-    if "context" in queries.columns:
-        fits = fits & (F.col("context").isNull() | F.array_contains("contexts", F.col("context")))
-    x = x.where(fits).withColumn("score", F.round(F.size(F.array_intersect("q", "t")) / F.greatest(F.size("q"), F.lit(1)) + 0.2 * F.col("confidence"), 6))
-    w = Window.partitionBy("query_id")
-    master = F.row_number().over(w.orderBy(F.col("tier") != "master", F.desc("score"), "name")) == 1
-    x = x.withColumn("_m", master & (F.col("tier") == "master"))
-    return x.withColumn("rank", F.row_number().over(w.orderBy(~F.col("_m"), F.desc("score"), "name"))).where(F.col("rank") <= k).select("query_id", "name", "tier", "score", "rank")
+    """(query_id, name, tier, score, rank): the product's first master, then its other skills by shared words and confidence.
+
+    ``queries``: query_id, product_id, query[, file, context]; ``skills``: product_id, name, tier, confidence, body[, description, contexts, files,
+    file_patterns]. A skill with path patterns (``files``, or regular expressions in ``file_patterns``) needs one that
+    fits the query's file, one with contexts the query's context, where the query has one other than general. Masters pass no
+    such filter. Words have three characters or more; a score is the shared part of the query's and its context's words and a fifth of
+    the confidence, or the confidence alone where there are no words. Ties go by name.
+
+    Queries meet the skills that share a word with them; of the others only the best of each kind of filter can come in.
+    """
+    optional = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
+    words = lambda c: terms(c, 3)
+    context = F.coalesce(F.nullif(optional(queries, "context", "string"), F.lit("")), F.lit("general"))
+    q = queries.select("query_id", "product_id", words(F.concat_ws(" ", "query", context)).alias("q"), optional(queries, "file", "string").alias("file"), context.alias("context"))
+    some = lambda c: F.coalesce(optional(skills, c, "array<string>"), F.array().cast("array<string>")).alias(c)
+    s = skills.select("product_id", "name", "tier", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), some("contexts"), some("files"), some("file_patterns"), words(F.concat_ws(" ", "name", optional(skills, "description", "string"), F.concat_ws(" ", some("contexts")), "body")).alias("t"))
+    plain = s.where(F.col("tier") != MASTER)
+    met = q.select("query_id", "product_id", F.explode("q").alias("w")).join(plain.select("product_id", "name", F.explode("t").alias("w")), ["product_id", "w"]).groupBy("query_id", "product_id", "name").agg(F.count("*").alias("n"))
+    alike = Window.partitionBy("product_id", "contexts", "files", "file_patterns").orderBy(F.desc("confidence"), "name")
+    rest = plain.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).select("product_id", "name")
+    rest = q.select("query_id", "product_id").join(rest, "product_id").select("query_id", "product_id", "name", F.lit(0).cast("long").alias("n"))
+    x = met.unionByName(rest).groupBy("query_id", "product_id", "name").agg(F.max("n").alias("n"))
+    x = x.join(plain.drop("t"), ["product_id", "name"]).join(q.drop("product_id"), "query_id")
+    path = F.exists("files", lambda g: F.regexp(F.col("file"), path_regex(g))) | F.exists("file_patterns", lambda p: F.regexp(F.col("file"), p))
+    fits = (F.col("file").isNull() | (F.size("files") + F.size("file_patterns") == 0) | path) & ((F.size("contexts") == 0) | (F.col("context") == "general") | F.array_contains("contexts", F.col("context")))
+    score = F.when(F.size("q") == 0, F.col("confidence")).otherwise(F.col("n") / F.size("q") + 0.2 * F.col("confidence"))
+    x = x.where(fits).select("query_id", "name", "tier", F.round(score, 6).alias("score"), F.lit(1).alias("_late"))
+    slug = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower("product_id"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("product"))
+    own = Window.partitionBy("product_id").orderBy(F.col("name") != F.concat(slug, F.lit("-skill")), F.desc("confidence"), "name")
+    first = s.where(F.col("tier") == MASTER).withColumn("_n", F.row_number().over(own)).where("_n = 1").select("product_id", "name", "tier", "confidence", "t")
+    shared = F.size(F.array_intersect("q", "t"))
+    score = F.when(F.size("q") == 0, F.col("confidence")).otherwise(shared / F.size("q") + 0.2 * F.col("confidence"))
+    first = q.join(first, "product_id").select("query_id", "name", "tier", F.round(score, 6).alias("score"), F.lit(0).alias("_late"))
+    w = Window.partitionBy("query_id").orderBy("_late", F.desc("score"), "name")
+    return first.unionByName(x).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "name", "tier", "score", "rank")
 
 
 def by_tier(skills: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .fold import ordered_fold
+
 
 def structural(nodes: DataFrame, edges: DataFrame, names: int = 24) -> DataFrame:
     """(uri, text): label counts, edge-type counts (sorted) and the first names of a resource."""
@@ -44,13 +46,31 @@ def symbol_rank(symbols: DataFrame, bias: Column, weights: dict[str, float]) ->
 
 
 def repo_map(ranked: DataFrame, tokens: int) -> DataFrame:
-    """(product_id, text): files by their best symbol, symbols by line; a file that doesn't fit is passed over."""
+    """(product_id, text): files by their best symbol, symbols by line; a file that doesn't fit is passed over.
+
+    What fits is found from the length of each file's block, in order; only the symbols of those files are brought together.
+    """
     budget = max(4 * tokens, 200)
-    files = ranked.groupBy("product_id", "uri").agg(F.max("score").alias("best"), F.sort_array(F.collect_list(F.struct("line", F.concat(F.lit("  "), "signature").alias("s")))).alias("l"))
-    files = files.withColumn("block", F.concat_ws("\n", "uri", F.transform("l", lambda x: x["s"])))
-    per = files.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("best")).alias("b"), "uri", "block"))).alias("f"))
-    step = lambda acc, f: F.when(F.length(acc) + F.length(f["block"]) + 1 <= budget, F.when(acc == "", f["block"]).otherwise(F.concat(acc, F.lit("\n"), f["block"]))).otherwise(acc)
-    return per.select("product_id", F.aggregate("f", F.lit(""), step).alias("text"))
+    kind = ranked.schema["product_id"].dataType.simpleString()
+    line = F.concat(F.lit("  "), "signature")
+    files = ranked.groupBy("product_id", "uri").agg(F.max("score").alias("best"), (F.length("uri") + F.sum(F.length(F.coalesce(line, F.lit(""))) + F.when(line.isNull(), 0).otherwise(1))).alias("size"))
+
+    def step(state: list, r: tuple) -> list[tuple]:
+        ok = state[0] + r[3] + 1 <= budget
+        if ok:
+            state[0] += r[3] + (state[1] > 0)
+            state[1] += 1
+        return [(r[0], r[1], state[1] if ok else None)]
+
+    files = files.select("product_id", "uri", (-F.col("best")).alias("worse"), F.col("size").cast("long").alias("size"))
+    places = ordered_fold(files, ["product_id"], ["worse", "uri"], lambda: [0, 0], step, f"product_id {kind}, uri string, place int", ["product_id", "uri", "worse", "size"])
+    places = places.withColumnRenamed("uri", "of").withColumnRenamed("product_id", "p")
+    own = ranked.join(places.where("place is not null"), ranked.product_id.eqNullSafe(places.p) & (ranked.uri == places.of))
+    blocks = own.groupBy("p", "place", "uri").agg(F.sort_array(F.collect_list(F.struct("line", line.alias("s")))).alias("l"))
+    blocks = blocks.select("p", "place", F.concat_ws("\n", "uri", F.transform("l", lambda x: x["s"])).alias("block"))
+    text = blocks.groupBy("p").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "\n").alias("text"))
+    every = places.select("p").distinct().withColumnRenamed("p", "product_id")
+    return every.join(text, every.product_id.eqNullSafe(text.p), "left").select("product_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def combine_roots(maps: dict[str, DataFrame]) -> DataFrame:

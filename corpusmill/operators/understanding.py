@@ -86,12 +86,23 @@ def grep_query(understood: DataFrame) -> DataFrame:
     return understood.withColumn("grep_query", F.concat_ws(" ", F.array_distinct(F.concat(F.array("query"), "anchors"))))
 
 
-def mentions(query: Column, most: int = 12) -> Column:
-    """Seed mentions of a graph question: paths, ticket keys, routes, code-like words; at most ``most``."""
-    ticket = found(query, r"\b([A-Z][A-Z0-9]+-\d+)\b")
-    code = F.filter(found(query, SYMBOL), lambda x: F.contains(x, F.lit("_")) | x.rlike("[a-z][A-Z]|[A-Z][a-z].*[A-Z]"))
-    every = F.array_distinct(F.concat(found(query, PATH), ticket, found(query, ROUTE), code))
-    return F.slice(F.filter(every, lambda x: (F.length(x) >= 2) & ~F.lower(x).isin(STOPWORDS)), 1, most)
+# What a graph question may name, and words that are no names.
+MENTION_PATH = r"\b([\w./-]+\.(?:py|ts|tsx|js|jsx|go|rs|java|md|mdx|sql|yaml|yml|toml)\b)"
+MENTION_KEY = r"\b([A-Z][A-Z0-9]+-\d+\b)"
+MENTION_ROUTE = r"(/[A-Za-z0-9_./:{}-]+)"
+MENTION_TOKEN = r"([A-Za-z][A-Za-z0-9_./:{}-]{1,})"
+MENTION_STOP = [
+    "a", "about", "again", "all", "an", "and", "are", "can", "could", "detail", "does", "explain", "flow", "for", "from", "how", "in", "is", "it", "like", "me", "of", "please",
+    "the", "this", "that", "to", "what", "when", "where", "why", "with", "work", "works",
+]
+
+
+def mentions(query: Column, most: int = 12, current_file: Column | None = None) -> Column:
+    """Seed mentions of a graph question: the current file, paths, ticket keys, routes, and words that look like code or a name; at most ``most``."""
+    code = F.filter(found(query, MENTION_TOKEN), lambda x: x.rlike(r"[/.:{}_-]|[a-z][A-Z]|^[A-Z][A-Za-z0-9]{3,}$"))
+    here = F.array() if current_file is None else F.array(current_file)
+    every = F.array_compact(F.concat(here.cast("array<string>"), found(query, MENTION_PATH), found(query, MENTION_KEY), found(query, MENTION_ROUTE), code))
+    return F.slice(F.filter(F.array_distinct(every), lambda x: (F.length(x) >= 2) & ~F.lower(x).isin(MENTION_STOP)), 1, most)
 
 
 def context_tokens(text: Column, most: int = 8) -> Column:

@@ -105,8 +105,9 @@ def chunks_tagged(spark, d):
 
 
 @query(f""", f AS (SELECT product_id, {_URI} AS uri, doc_id % 8 IN (0, 1, 5) AS code FROM resources),
-n AS (SELECT DISTINCT 'file:' || product_id || ':' || uri AS id, list_filter([CASE WHEN code THEN 'CodeFile' ELSE 'Document' END, CASE WHEN uri LIKE 'tests/%' THEN 'Test' END, CASE WHEN uri LIKE '%.yaml' THEN 'Config' END], lambda x: x IS NOT NULL) AS l FROM f
-UNION SELECT 'source:' || product_id || ':s', ['Source'] FROM f UNION SELECT 'repo:' || product_id || ':r', ['Repository'] FROM f UNION SELECT 'module:' || product_id || ':' || regexp_replace(uri, '\\.[^./]*$', ''), ['Module'] FROM f WHERE code)
+n AS (SELECT DISTINCT 'file:' || product_id || ':' || uri AS id, list_sort(list_filter([CASE WHEN code THEN 'CodeFile' ELSE 'Document' END, CASE WHEN uri LIKE 'tests/%' THEN 'Test' END,
+  CASE WHEN uri LIKE '%.yaml' OR uri LIKE '%.json' OR uri LIKE '%.toml' THEN 'Config' END, CASE WHEN uri LIKE '%migration%' OR uri LIKE '%.sql' THEN 'Migration' END], lambda x: x IS NOT NULL)) AS l FROM f
+UNION SELECT 'source:' || product_id || ':s', ['Source'] FROM f UNION SELECT 'repo:' || product_id || ':r', ['Repository'] FROM f UNION SELECT 'module:' || product_id || ':' || replace(regexp_replace(uri, '\\.[^./]*$', ''), '/', '.'), ['Module'] FROM f WHERE code)
 SELECT id, array_to_string(l, ' ') AS labels FROM n""".replace("\\\\", "\\"))
 def file_nodes(spark, d):
     code = (F.col("doc_id") % 8).isin(0, 1, 5)

@@ -173,8 +173,9 @@ def route_handlers(spark, d):
     return _routes(spark, d).select("uri", "line", "method", "path", "handler")
 
 
-@query(_CODE + _ROUTES + """ SELECT DISTINCT product_id, 'symbol:' || product_id || ':' || uri || ':' || handler AS src, 'HANDLES' AS type, 'api:' || product_id || ':' || method || ':' || path AS dst FROM rt
-UNION ALL SELECT DISTINCT product_id, 'file:' || product_id || ':' || uri, 'EXPOSES', 'api:' || product_id || ':' || method || ':' || path FROM rt""")
+@query(_CODE + _ROUTES + r""", ep AS (SELECT *, 'api:' || product_id || ':' || method || ':' || path || ':' || replace(regexp_replace(uri, '\.md$', ''), '/', '.') AS dst FROM rt)
+SELECT DISTINCT product_id, 'symbol:' || product_id || ':' || uri || ':' || handler || ':Function' AS src, 'HANDLES' AS type, dst FROM ep
+UNION ALL SELECT DISTINCT product_id, 'file:' || product_id || ':' || uri, 'EXPOSES', dst FROM ep""")
 def route_edges(spark, d):
     return extraction.route_edges(_routes(spark, d))
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.lineage import new_path
+from ..operators.stored import ChunkIndex
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +49,19 @@ def chunks(spark, sf_dir) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], ChunkIndex] = {}
+
+
+def stored_index(spark, sf_dir) -> ChunkIndex:
+    """The stored index of all chunks, in the shared folder; built once a session and read by every query on words."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        built = ChunkIndex(spark, new_path(spark, "chunk-index"))
+        built.apply(chunks(spark, sf_dir).withColumnRenamed("chunk_id", "id"))
+        _INDEXES[key] = built
+    return _INDEXES[key]
+
+
 def queries(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

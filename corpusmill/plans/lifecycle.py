@@ -57,14 +57,15 @@ def product_stage(spark, d):
 
 
 @query(r"""
-, sk AS (SELECT source AS product_id, 'skill-' || doc_id AS name, CASE WHEN doc_id % 10 = 0 THEN 'master' ELSE 'domain' END AS tier, doc_id % 10 / 10.0 AS confidence, list_distinct(regexp_extract_all(lower(replace('skill-' || doc_id, '-', ' ') || ' ' || text), '[\p{L}\p{N}_]+')) AS t FROM documents),
-q AS (SELECT query_id, 'src' || query_id % 20 AS product_id, list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS q FROM queries),
-s AS (SELECT query_id, name, tier, round(len(list_intersect(q, t)) / greatest(len(q), 1) + 0.2 * confidence, 6) AS score FROM q JOIN sk USING (product_id)),
-m AS (SELECT *, tier = 'master' AND row_number() OVER (PARTITION BY query_id ORDER BY tier <> 'master', score DESC, name) = 1 AS b FROM s)
-SELECT query_id, name, tier, score, row_number() OVER (PARTITION BY query_id ORDER BY NOT b, score DESC, name) AS rank FROM m QUALIFY rank <= 5""")
+, sk AS (SELECT source AS product_id, 'skill-' || doc_id AS name, CASE WHEN doc_id % 10 = 0 THEN 'product_master' ELSE 'domain' END AS tier, doc_id % 10 / 10.0 AS confidence,
+  list_distinct(list_filter(regexp_extract_all(lower('skill-' || doc_id || ' ' || text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3)) AS t FROM documents),
+q AS (SELECT query_id, 'src' || query_id % 20 AS product_id, list_distinct(list_filter(regexp_extract_all(lower(query || ' general'), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3)) AS q FROM queries),
+s AS (SELECT query_id, name, tier, tier = 'product_master' AS m, confidence, round(len(list_intersect(q, t)) / len(q) + 0.2 * confidence, 6) AS score FROM q JOIN sk USING (product_id)),
+b AS (SELECT * FROM s QUALIFY NOT m OR row_number() OVER (PARTITION BY query_id, m ORDER BY confidence DESC, name) = 1)
+SELECT query_id, name, tier, score, row_number() OVER (PARTITION BY query_id ORDER BY NOT m, score DESC, name) AS rank FROM b QUALIFY rank <= 5""")
 def skill_rank(spark, d):
     t = table(spark, d, "documents")
-    s = t.select(F.col("source").alias("product_id"), F.concat(F.lit("skill-"), "doc_id").alias("name"), F.when(F.col("doc_id") % 10 == 0, "master").otherwise("domain").alias("tier"), (F.col("doc_id") % 10 / 10).alias("confidence"), F.col("text").alias("body"))
+    s = t.select(F.col("source").alias("product_id"), F.concat(F.lit("skill-"), "doc_id").alias("name"), F.when(F.col("doc_id") % 10 == 0, "product_master").otherwise("domain").alias("tier"), (F.col("doc_id") % 10 / 10).alias("confidence"), F.col("text").alias("body"))
     q = queries(spark, d).withColumn("product_id", F.concat(F.lit("src"), F.col("query_id") % 20))
     return lifecycle.find_skills(q, s)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import drafts, evaluation, evidence, ranking, response, understanding
 from ..registry import query
-from .inputs import chunks, queries, table
+from .inputs import chunks, queries, stored_index, table
 
 _BM25 = r"""
 , words AS (SELECT chunk_id AS id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS term FROM chunks),
@@ -23,16 +23,20 @@ _GREP = r"""
 ga AS (SELECT query_id, chunk_id AS id, lower(uri || chr(10) || '' || chr(10) || content) AS hay, lower(content) AS low, lower(uri || ' ') AS head, start_line, terms FROM gt, chunks),
 gm AS (SELECT *, list_filter(terms, lambda t: contains(hay, t)) AS m FROM ga),
 gs AS (SELECT query_id, id, start_line AS line, CAST(10 * len(m) + len(list_filter(m, lambda t: contains(low, t))) + len(list_filter(m, lambda t: contains(head, t))) AS DOUBLE) AS score FROM gm WHERE len(m) > 0),
-grk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM gs QUALIFY rank <= 50)""".replace("STOP", ", ".join(f"'{w}'" for w in ranking.GREP_STOPWORDS))
+grk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM gs QUALIFY rank <= 50)""".replace(
+    "STOP",
+    """'about', 'after', 'also', 'anti', 'are', 'before', 'check', 'citation', 'citations', 'concrete', 'data', 'does', 'draft', 'evidence', 'exact', 'file', 'flow', 'from', 'gotchas', 'heading', 'into', 'line', 'needs',
+'only', 'ownership', 'path', 'product', 'repair', 'section', 'skill', 'system', 'that', 'this', 'tier', 'use', 'validation', 'when', 'with'""",
+)  # written out, so that a word lost in the operator shows
 
 
 def _bm25(spark, d, k=50):
-    return ranking.bm25(queries(spark, d), chunks(spark, d).select(F.col("chunk_id").alias("id"), "content"), k)
+    return ranking.bm25(queries(spark, d), stored_index(spark, d), k)
 
 
 def _grep(spark, d, k=50):
     c = chunks(spark, d).select(F.col("chunk_id").alias("id"), "uri", F.lit("").alias("path"), "start_line", "content")
-    return ranking.grep(queries(spark, d), c, k)
+    return ranking.grep(queries(spark, d), c, k, index=stored_index(spark, d))
 
 
 @query(_BM25 + " SELECT query_id, id, score, rank FROM bmk WHERE rank <= 10")

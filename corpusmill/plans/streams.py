@@ -27,8 +27,8 @@ def latest_progress(spark, d):
     return jobs.latest_progress(table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_type").alias("state"), F.col("event_id").alias("seq")))
 
 
-@query(" SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'LCP' ELSE 'CLS' END AS name, value, left('/p/' || user_id, 256) AS route FROM events WHERE user_id % 3 <> 0 AND value BETWEEN 0 AND 600000")
+@query(" SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'Next.js-render' WHEN user_id % 2 = 0 THEN 'LCP' ELSE 'CLS' END AS name, value, left('/p/' || user_id, 256) AS route FROM events WHERE user_id % 3 <> 0 AND value BETWEEN 0 AND 600000")
 def metric_cleaning(spark, d):
     u = F.col("user_id")
-    e = table(spark, d, "events").select("event_id", F.when(u % 3 == 0, "XXX").when(u % 2 == 0, "LCP").otherwise("CLS").alias("name"), "value", F.concat(F.lit("https://h.example/p/"), u, F.lit("?q=1#x")).alias("route"))
+    e = table(spark, d, "events").select("event_id", F.when(u % 3 == 0, "XXX").when(u % 5 == 0, "Next.js-render").when(u % 2 == 0, "LCP").otherwise("CLS").alias("name"), "value", F.concat(F.lit("https://h.example/p/"), u, F.lit("?q=1#x")).alias("route"))
     return jobs.clean_metrics(e)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import glob_regex
+from ..functions.lineage import cut
+from ..functions.text import MASTER, glob_regex
 
 # Default exclusions (directory patterns are anchored at the root), extensions and types.
-EXCLUDE = """.git/* .venv/* venv/* node_modules/* __pycache__/* .pytest_cache/* .mypy_cache/* .ruff_cache/* dist/* build/* *.egg-info/* models/* skills/*
-*.lock *-lock.yaml *-lock.json pnpm-lock.yaml yarn.lock package-lock.json Pipfile.lock poetry.lock Cargo.lock go.sum
-*.min.js *.min.css *.map *.png *.jpg *.jpeg *.gif *.pdf *.zip *.tar.gz *.wasm *.ico *.svg""".split()
-CODE_EXTENSIONS = "py ts tsx js jsx rs go java kt swift rb cpp cc cxx c h hpp hh hxx cs sol kts".split()
+EXCLUDE = [
+    ".git/*", ".venv/*", "venv/*", "node_modules/*", "__pycache__/*", ".pytest_cache/*", ".mypy_cache/*", ".ruff_cache/*", "dist/*", "build/*", "*.egg-info/*", "models/*", "skills/*",
+    "*.lock", "*-lock.yaml", "*-lock.json", "pnpm-lock.yaml", "yarn.lock", "package-lock.json", "Pipfile.lock", "poetry.lock", "Cargo.lock", "go.sum",
+    "*.min.js", "*.min.css", "*.map", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.pdf", "*.zip", "*.tar.gz", "*.wasm", "*.ico", "*.svg",
+]
+CODE_EXTENSIONS = ["py", "ts", "tsx", "js", "jsx", "rs", "go", "java", "kt", "swift", "rb", "cpp", "cc", "cxx", "c", "h", "hpp", "hh", "hxx", "cs", "sol", "kts"]
 MIMES = {
     "text/x-python": "py", "text/x-typescript": "ts tsx", "application/javascript": "js jsx mjs cjs", "text/x-rust": "rs", "text/x-go": "go", "text/x-java": "java",
     "text/x-c++": "cpp cc cxx hpp hh hxx h", "text/x-kotlin": "kt kts", "text/x-solidity": "sol", "text/markdown": "md mdx", "application/pdf": "pdf", "text/plain": "txt rst",
@@ -57,6 +60,74 @@ def rich_text(tree: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(tree, F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1), lambda t: F.regexp_replace(t, r'\\(["\\/])', "$1")), " ")
 
 
+def rich_texts(trees: DataFrame, key: str, tree: str, most_levels: int = 100) -> DataFrame:
+    """(key, text): the texts of JSON trees, parents before children, joined by spaces.
+
+    A node is an object whose ``text`` is its own text and whose ``content`` are its children; a list is its members, a plain string (or what is
+    no JSON) itself. One level of all trees at a time; escapes are decoded. Null trees give an empty text.
+    """
+    v = F.coalesce(F.try_parse_json(tree), F.try_parse_json(F.to_json(F.struct(F.col(tree).alias("text")))))
+    level = trees.select(F.col(key).alias("k"), F.array().cast("array<int>").alias("at"), v.alias("v"))
+    told = None
+    for _ in range(most_levels):
+        level = cut(level)
+        if level.isEmpty():
+            break
+        kind = F.schema_of_variant("v")
+        text = F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).when(kind.startswith("OBJECT") & (F.schema_of_variant(F.try_variant_get("v", "$.text", "variant")) == "STRING"), F.try_variant_get("v", "$.text", "string"))
+        one = level.select("k", "at", text.alias("t")).where("t <> ''")
+        told = one if told is None else told.unionByName(one)
+        inner = F.when(kind.startswith("ARRAY"), F.col("v")).when(kind.startswith("OBJECT"), F.try_variant_get("v", "$.content", "variant"))
+        members = F.try_variant_get(inner, "$", "array<variant>")
+        level = level.select("k", "at", F.posexplode(members).alias("pos", "c")).where("not is_variant_null(c)").select("k", F.concat("at", F.array(F.col("pos").cast("int"))).alias("at"), F.col("c").alias("v"))
+    else:
+        raise ValueError(f"a tree has more than {most_levels} levels")
+    every = trees.select(F.col(key).alias(key)).distinct()
+    if told is None:
+        return every.select(key, F.lit("").alias("text"))
+    joined = told.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), " ").alias("text"))  # one document's own texts
+    joined = joined.withColumnRenamed("k", "_k")
+    return every.join(joined, every[key].eqNullSafe(joined["_k"]), "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+
+
+_NAMED = "struct<name: string>"
+_PERSON = "struct<displayName: string, name: string, emailAddress: string>"
+_ISSUE = "struct<key: string>"
+TICKET = f"""key string, fields struct<summary: string, status: {_NAMED}, issuetype: {_NAMED}, assignee: {_PERSON}, reporter: {_PERSON}, parent: {_ISSUE}, labels: array<string>, components: array<{_NAMED}>,
+issuelinks: array<struct<inwardIssue: {_ISSUE}, outwardIssue: {_ISSUE}>>, description: variant, created: string, updated: string>, renderedFields struct<description: string>"""
+
+
+def ticket_export(exports: DataFrame, site: str = "") -> DataFrame:
+    """(key, uri, mime, content, parent, linked_keys, mentioned_keys) of nested tickets (json: one ticket's JSON).
+
+    Linked keys are the parent and both sides of the links; mentioned ones are those that the body names, but the ticket's own; each distinct
+    and sorted. The body is the rendered description, or else the texts of the description's tree. The document begins with the facts as one
+    line of JSON. Tickets without a key are left out; of several of one key one stays, the last by its JSON.
+    """
+    x = exports.select(F.from_json("json", TICKET).alias("j"), "json").where("j.key <> ''")
+    x = x.groupBy("j.key").agg(F.max_by("j", "json").alias("j")).select("key", "j.fields", "j.renderedFields")
+    trees = x.select("key", F.to_json("fields.description").alias("tree"))
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    person = lambda c: F.coalesce(F.nullif(F.col(f"fields.{c}.displayName"), F.lit("")), F.nullif(F.col(f"fields.{c}.name"), F.lit("")), F.col(f"fields.{c}.emailAddress"), F.lit(""))
+    sides = F.flatten(F.transform(F.coalesce("fields.issuelinks", F.array().cast("array<struct<inwardIssue:struct<key:string>,outwardIssue:struct<key:string>>>")), lambda s: F.array(s["inwardIssue"]["key"], s["outwardIssue"]["key"])))
+    linked = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("fields.parent.key"), sides), lambda k: k != "")))
+    x = x.join(rich_texts(trees, "key", "tree"), "key")
+    body = F.trim(F.coalesce(F.nullif("renderedFields.description", F.lit("")), "text"), F.lit(" \n\r\t"))
+    names = lambda c: F.array_join(F.filter(c, lambda s: s != ""), ", ")
+    x = x.select(
+        "key", said("fields.summary").alias("summary"), said("fields.status.name").alias("status"), said("fields.issuetype.name").alias("issue_type"), person("assignee").alias("assignee"), person("reporter").alias("reporter"),
+        said("fields.parent.key").alias("parent"), F.coalesce(names(F.col("fields.labels")), F.lit("")).alias("labels"), F.coalesce(names(F.col("fields.components.name")), F.lit("")).alias("components"),
+        said("fields.created").alias("created"), said("fields.updated").alias("updated"), linked.alias("linked_keys"), F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\b([A-Z][A-Z0-9]+-\d+)\b"), 1)), F.array("key"))).alias("mentioned_keys"), body.alias("body"),
+    )
+    url = F.concat(F.lit(site.rstrip("/") + "/browse/"), "key").alias("url")
+    facts = ["assignee", "components", "created", "issue_type", "key", "labels", "linked_keys", "mentioned_keys", "parent", "reporter", "status", "summary", "updated"]
+    line = lambda label, c: F.when(c != "", F.concat(F.lit(label + ": "), c))
+    head = F.concat_ws("\n", F.to_json(F.struct(F.struct(*facts, url).alias("ticket"))), F.lit(""), F.trim(F.concat_ws(" ", F.lit("#"), "key", "summary")), F.lit(""), F.concat(F.lit("Status: "), "status"), F.concat(F.lit("Type: "), "issue_type"),
+        F.concat(F.lit("Assignee: "), "assignee"), F.concat(F.lit("Reporter: "), "reporter"), line("Parent", F.col("parent")), line("Labels", F.col("labels")), line("Components", F.col("components")), line("Linked issues", F.array_join("linked_keys", ", ")))
+    content = F.concat(F.trim(F.concat(head, F.lit("\n\n"), "body"), F.lit(" \n\r\t")), F.lit("\n"))
+    return x.select("key", F.concat(F.lit("ticket/"), "key").alias("uri"), F.lit("text/x-ticket").alias("mime"), content.alias("content"), F.nullif("parent", F.lit("")).alias("parent"), "linked_keys", "mentioned_keys")
+
+
 def ticket_documents(tickets: DataFrame) -> DataFrame:
     """(uri, mime, content, mentioned_keys) of an export (key, summary, status, description, linked_keys, labels)."""
     mentioned = F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all("description", F.lit(r"\b([A-Z][A-Z0-9]+-\d+)\b"), 1)), F.array("key")))
@@ -107,13 +178,37 @@ def redact(config: Column) -> Column:
     return F.transform_values(config, lambda k, v: F.when(F.lower(k).rlike("token|api_key|password|secret"), "***").otherwise(v))
 
 
+def skill_tier(tier: Column, kind: Column, scope: Column) -> Column:
+    """The tier that a skill names, or the one that its older kind and scope stand for."""
+    kind, scope = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(scope, F.lit("")))
+    old = F.when((kind == "master") | ((kind == MASTER) & (scope == "product")), MASTER)
+    old = old.when(kind.isin("product_domain", "domain"), "domain").when(kind.isin("tech_stack", "language"), "tech_stack").when(kind.isin("security", "quality_security"), "quality_security")
+    return F.coalesce(F.nullif(tier, F.lit("")), old.otherwise("domain"))
+
+
 def skills(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, product, tier, description, body) of skill files; those without frontmatter and name are skipped."""
+    """(path, name, product, tier, confidence, description, files, contexts, body) of the skill files of a library.
+
+    They are SKILL.md and *.skill.md anywhere, and *.md one folder down. Those without frontmatter and name are skipped. ``files`` and ``contexts``
+    are the lists under applies_to.
+    """
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), "value")
+    base = root.split("://", 1)[-1].lstrip("/").rstrip("/")
+    inner = F.regexp_replace("path", rf"^.*?{glob_regex(base)[5:-1]}/", "")
+    raw = raw.where(inner.rlike(r"(^|/)SKILL\.md$|\.skill\.md$|^[^/]+/[^/]+\.md$"))
     x = raw.withColumns({"head": F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 1), "body": F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?(.*)\z", 2)})
-    field = lambda n: F.nullif(F.trim(F.regexp_extract("head", rf"(?m)^{n}:[ \t]*(.*)$", 1)), F.lit(""))
-    tier = F.when(field("tier").isin("master", "core", "domain", "feature", "task", "reference"), field("tier")).when(field("tier") == "global", "master").otherwise("domain")
-    return x.select("path", field("name").alias("name"), field("product").alias("product"), tier.alias("tier"), field("description").alias("description"), "body").where("name is not null")
+    bare = lambda c: F.regexp_replace(F.trim(c), r"""^(['"])(.*)\1$""", "$2")
+    field = lambda n: F.nullif(bare(F.regexp_extract("head", rf"(?m)^{n}:[ \t]*(.*)$", 1)), F.lit(""))
+
+    def listed(name: str) -> Column:
+        """A list in brackets, or lines that begin with a dash."""
+        block = F.regexp_extract("head", rf"(?m)^[ \t]+{name}:[ \t]*(\[.*\]|(?:\n[ \t]*- .*)+)", 1)
+        parts = F.when(F.startswith(block, F.lit("[")), F.split(F.regexp_replace(block, r"^\[|\]$", ""), ",")).otherwise(F.split(F.regexp_replace(block, r"^\n[ \t]*- ", ""), r"\n[ \t]*- "))
+        return F.filter(F.transform(parts, bare), lambda p: p != "")
+
+    tier = skill_tier(field("tier"), field("kind"), field("scope"))
+    confidence = F.coalesce(F.try_to_number(field("confidence"), F.lit("9.999999")).cast("double"), F.lit(0.0))
+    return x.select("path", field("name").alias("name"), field("product").alias("product"), tier.alias("tier"), confidence.alias("confidence"), field("description").alias("description"), listed("files").alias("files"), listed("contexts").alias("contexts"), "body").where("name is not null")
 
 
 def save_map(symbols: DataFrame, path: str) -> None:

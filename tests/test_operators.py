@@ -112,11 +112,12 @@ def test_golden_and_history(spark):
 
 def test_skills_maps_reports(spark, make):
     root = tempfile.mkdtemp(prefix="spark-")
-    for name, body in {"a.md": "---\nname: one\nproduct: p\ntier: global\ndescription: d\n---\n# Body\n", "b.md": "no head", "c.md": "---\nname: two\ntier: odd\n---\nx"}.items():
-        with open(f"{root}/{name}", "w") as f:
+    os.mkdir(f"{root}/p")
+    for name, body in {"a.md": "---\nname: one\nproduct: p\nkind: master\ndescription: d\n---\n# Body\n", "b.md": "no head", "c.md": "---\nname: two\ntier: odd\n---\nx"}.items():
+        with open(f"{root}/p/{name}", "w") as f:
             f.write(body)
     got = {r.name: (r.product, r.tier, r.body.strip()) for r in corpus.skills(spark, root).collect()}
-    assert got == {"one": ("p", "master", "# Body"), "two": (None, "domain", "x")}
+    assert got == {"one": ("p", "product_master", "# Body"), "two": (None, "odd", "x")}
     assert rows(corpus.skill_chunks(corpus.skills(spark, root).where("name = 'one'")).select("source_id", "path")) == [("skill:p", "skill:one")]
     s = make([("p", "a.py", 3, "class", "A", "class A")], "product_id string, uri string, line int, kind string, name string, signature string")
     corpus.save_map(s, f"{root}/map")
@@ -489,7 +490,7 @@ def test_file_graph(make):
     r = make([("p", "s", "repo", "src/a.py", True), ("p", "s", "repo", "tests/test_a.py", True), ("p", "s", "repo", "migrations/1.sql", False), ("p", "s", "repo", "c.yaml", False)], "product_id string, source_id string, repo string, uri string, code boolean")
     n, e = extraction.file_graph(r)
     labels = {x.id: x.labels for x in n.collect()}
-    assert labels["file:p:src/a.py"] == ["CodeFile"] and labels["file:p:tests/test_a.py"] == ["CodeFile", "Test"] and labels["file:p:migrations/1.sql"] == ["Document", "Migration"] and labels["file:p:c.yaml"] == ["Document", "Config"]
+    assert labels["file:p:src/a.py"] == ["CodeFile"] and labels["file:p:tests/test_a.py"] == ["CodeFile", "Test"] and labels["file:p:migrations/1.sql"] == ["Document", "Migration"] and labels["file:p:c.yaml"] == ["Config", "Document"]
     assert ("source:p:s", "CONTAINS", "repo:p:repo") in {tuple(x)[1:] for x in e.collect()}
     s = make([("p", "src/a.py", "A", "class", 1), ("p", "tests/test_a.py", "test_x", "function", 2)], "product_id string, uri string, name string, kind string, start_line int")
     sn, se = extraction.symbol_graph(s)
@@ -597,11 +598,12 @@ def test_lifecycle(make):
     j = make([(1, "p", "pending", 0, at(5)), (2, "q", "pending", 0, at(1)), (3, "p", "pending", 3, at(0)), (4, "p", "error", 1, at(2)), (5, "p", "error", 3, at(2)), (6, "p", "done", 0, at(2))], "id int, product_id string, status string, attempts int, updated_at timestamp")
     got = {r.id: (r.status, r.attempts) for r in lifecycle.queue_step(j, 1, F.lit("2024-02-01").cast("timestamp")).collect()}
     assert got == {1: ("pending", 0), 2: ("running", 1), 3: ("pending", 3), 4: ("pending", 1), 5: ("failed", 3)}
-    s = make([("p", "m", "master", "words", 0.5, [], []), ("p", "a", "core", "alpha beta", 0.9, [r"\.py$"], ["web"]), ("p", "b", "core", "alpha", 0.9, [], [])], "product_id string, name string, tier string, body string, confidence double, file_patterns array<string>, contexts array<string>")
+    s = make([("p", "m", "product_master", "words", 0.5, [], []), ("p", "a", "core", "alpha beta", 0.9, [r"\.py$"], ["web"]), ("p", "b", "core", "alpha", 0.9, [], [])], "product_id string, name string, tier string, body string, confidence double, file_patterns array<string>, contexts array<string>")
     q = make([(1, "p", "alpha beta", "x.py", "web"), (2, "p", "alpha beta", "x.md", "web")], "query_id int, product_id string, query string, file string, context string")
     f = lifecycle.find_skills(q.drop("context"), s)
     assert [r.name for r in f.where("query_id = 1").orderBy("rank").collect()] == ["m", "a", "b"] and [r.name for r in f.where("query_id = 2").orderBy("rank").collect()] == ["m", "b"]
-    assert [r.name for r in lifecycle.find_skills(q, s).where("query_id = 1").collect()] == ["a"]
+    assert [r.name for r in lifecycle.find_skills(q, s).where("query_id = 1").orderBy("rank").collect()] == ["m", "a", "b"]
+    assert [r.name for r in lifecycle.find_skills(q.withColumn("context", F.lit("cli")), s).where("query_id = 1").orderBy("rank").collect()] == ["m", "b"]
     jobs_ = make([("p", "u", "h"), ("p", "v", "h2")], "product_id string, uri string, content_hash string")
     assert [r.uri for r in lifecycle.fresh_jobs(jobs_, make([("p", "u", "h"), ("p", "v", "h")], "product_id string, uri string, content_hash string")).collect()] == ["u"]
     sig = make([("p", "a", 1, 1, "x" * 300), ("p", None, 2, 2, "y"), ("p", "b", 3, 3, "z")], "product_id string, skill string, at int, id int, text string")
