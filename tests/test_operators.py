@@ -709,7 +709,7 @@ def test_reindex_stream(spark, make):
     again = jobs.bootstrap(events, chunker, write, f"{root}/cp", availableNow=True)
     again.awaitTermination()
     assert [x[0] for x in seen] == ["upsert", "keep", "manifest", "dead"]
-    assert seen[0][2] == [("a", "a:1", "new text")] and seen[1][2] == [("a", ["a:1"])] and seen[3][2][0][:2] == ("s", "b")
+    assert seen[0][2] == [("a", "a:1", "new text")] and seen[1][2] == [("s", "a", ["a:1"])] and seen[3][2][0][:2] == ("s", "b")
 
 
 def test_maintenance(make):
