@@ -117,6 +117,57 @@ def declaration_chunks(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return oversize_split(x.withColumn("path", F.col("name")))
 
 
+_CHUNK = ["product_id", "uri", "start_line", "end_line", "kind", "path", "symbol_id", "signature", "content"]
+
+
+def symbol_chunks(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Declaration chunks as (product_id, uri, start_line, end_line, kind, path, symbol_id, signature, content): each piece carries the symbol of its span.
+
+    Spans: product_id, uri, start_line, end_line, name[, signature]. The symbol id is that of product, uri and name; a span without signature has
+    its first line that isn't blank.
+    """
+    spans = spans.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.lit("<module>"))).select("product_id", "uri", "start_line", "end_line", "name", _optional_signature(spans)).dropDuplicates(["product_id", "uri", "start_line", "end_line", "name"])
+    # the span travels in the path, so pieces of equal names stay with their own span
+    tagged = spans.withColumn("tag", F.to_json(F.struct("name", "start_line", "end_line")))
+    pieces = declaration_chunks(docs, tagged.drop("name").withColumnRenamed("tag", "name"))
+    x = pieces.withColumnRenamed("path", "tag").withColumnsRenamed({"start_line": "_a", "end_line": "_b"}).join(tagged.drop("start_line", "end_line"), ["product_id", "uri", "tag"])
+    whole = docs.select("product_id", "uri", F.split("content", "\n").alias("lines"))
+    own = tagged.join(whole, ["product_id", "uri"]).select("product_id", "uri", "tag", F.get(F.filter(F.slice("lines", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), lambda s: F.trim(s) != ""), F.lit(0)).alias("_first"))
+    x = x.join(own, ["product_id", "uri", "tag"], "left")
+    said = F.trim(F.coalesce(F.nullif("signature", F.lit("")), "_first", F.lit("")), F.lit(" \t\r"))
+    return x.select("product_id", "uri", F.col("_a").alias("start_line"), F.col("_b").alias("end_line"), F.lit("code").alias("kind"), F.col("name").alias("path"), symbol_id(F.col("product_id"), F.col("uri"), F.col("name")).alias("symbol_id"), said.alias("signature"), "content")
+
+
+def _optional_signature(spans: DataFrame) -> Column:
+    return (F.col("signature") if "signature" in spans.columns else F.lit(None)).cast("string").alias("signature")
+
+
+def symbol_id(product: Column, uri: Column, name: Column) -> Column:
+    """The id that all chunks of a declaration share."""
+    return F.substring(F.sha1(F.concat_ws("|", product, uri, name)), 1, 16)
+
+
+def chunk_resources(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """All chunks of ``docs`` (product_id, uri, mime, kind, content), by what they are: code by its declarations (``spans``) and the lines between them,
+    markdown by its headings, the rest by size, as (product_id, uri, start_line, end_line, kind, path, symbol_id, signature, content).
+
+    Blank documents have none, nor have null ones. Sections and pieces over the limit are cut; a piece under the least size goes. Code of a language
+    without declarations is cut by size and stays code. kind: code, or doc.
+    """
+    d = docs.where(F.trim("content", F.lit(" \n\r\t\f")) != "").withColumn("_route", route(F.col("uri"), F.coalesce("mime", F.lit("")))).select("product_id", "uri", "content", "_route", F.coalesce("kind", F.lit("doc")).alias("kind"))
+    of = lambda r: d.where(F.col("_route") == r).select("product_id", "uri", "content")
+    plain = lambda df, kind, path=F.col("path"): df.select("product_id", "uri", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.lit(kind).alias("kind"), path.alias("path"), F.lit(None).cast("string").alias("symbol_id"), F.lit(None).cast("string").alias("signature"), "content")
+    code = of("code")
+    own = spans.join(code.select("product_id", "uri").distinct(), ["product_id", "uri"], "left_semi")
+    gaps = uncovered_gaps(code, own.select("product_id", "uri", "start_line", "end_line"))
+    lines = code.select("product_id", "uri", F.split("content", "\n").alias("lines"))
+    gaps = gaps.join(lines, ["product_id", "uri"]).select("product_id", "uri", "start_line", "end_line", F.lit("<module>").alias("path"), F.regexp_replace(F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"), r"^\s+|\s+$", "").alias("content"))
+    rest = d.where("_route = 'plain'")
+    by_size = [plain(plain_chunks(rest.where((F.col("kind") == "code") == is_code).select("product_id", "uri", "content")), kind, F.lit("<module>" if is_code else "")) for is_code, kind in ((True, "code"), (False, "doc"))]
+    out = symbol_chunks(code, own).unionByName(plain(gaps, "code")).unionByName(plain(oversize_split(heading_chunks(of("headings"))), "doc"))
+    return out.unionByName(by_size[0]).unionByName(by_size[1]).select(*_CHUNK)
+
+
 def skeleton(header: DataFrame, members: DataFrame, most: int = LARGE) -> DataFrame:
     """(product_id, uri, name, content): a container's header and each member's start, cut at ``most``."""
     short = F.when(F.length("content") < SMALL, F.col("content")).otherwise(F.concat(F.regexp_extract("content", r"^([^\n]*)", 1), F.lit(" …")))

@@ -32,6 +32,35 @@ def aggregate(items: DataFrame, *by: str) -> DataFrame:
     return items.groupBy(*by).agg(mean("precision").alias("precision"), mean("recall").alias("recall"), mean("rr").alias("mrr"), mean("ndcg").alias("ndcg"), F.count_if(F.col("recall") == 0).alias("misses"), F.count("*").alias("items"))
 
 
+#: Judged scores: their means leave out items without one.
+JUDGED = ("faithfulness", "answer_correctness", "context_precision", "context_recall")
+
+
+def mode_summary(scores: DataFrame) -> DataFrame:
+    """(product_id, mode, n, recall, mrr, ndcg, judged means, avg_latency_ms, avg_candidates, graph_hit_rate, misses) of item scores: product_id,
+    mode, recall, rr, ndcg, latency_ms, candidates, graph_used and any of the judged scores. Means have 4 decimals, latency and candidates one; a judged
+    mean is null where no item has a score. ``misses`` counts the items without recall; ``missed`` lists them.
+    """
+    mean = lambda c, places=4: F.round(F.avg(c), places)  # noqa: E731  (avg leaves nulls out)
+    used = F.when(F.coalesce("graph_used", F.lit(False)), 1.0).otherwise(0.0)
+    judged = [(mean(c) if c in scores.columns else F.lit(None).cast("double")).alias(c) for c in JUDGED]
+    return scores.groupBy("product_id", "mode").agg(
+        F.count("*").alias("n"), mean("recall").alias("recall"), mean("rr").alias("mrr"), mean("ndcg").alias("ndcg"), *judged,
+        mean("latency_ms", 1).alias("avg_latency_ms"), mean("candidates", 1).alias("avg_candidates"), mean(used).alias("graph_hit_rate"), F.count_if(F.col("recall") == 0).alias("misses"),
+    )
+
+
+def missed(scores: DataFrame) -> DataFrame:
+    """(product_id, mode, item_id, query): the items that found nothing relevant, a row each."""
+    return scores.where("recall = 0").select("product_id", "mode", "item_id", "query")
+
+
+def used_graph(candidates: DataFrame) -> DataFrame:
+    """(item_id, candidates, graph_used): how many candidates an item has, and whether one came by the graph or carries its nodes."""
+    of_graph = (F.col("channel") == "graph") | (F.size(F.coalesce("graph_node_ids", F.array().cast("array<string>"))) > 0)
+    return candidates.groupBy("item_id").agg(F.count("*").alias("candidates"), F.coalesce(F.bool_or(of_graph), F.lit(False)).alias("graph_used"))
+
+
 def passes(metrics: DataFrame) -> Column:
     """All gates; those of judged metrics only where there is a value."""
     out = F.lit(True)

@@ -185,9 +185,20 @@ def chunk_nodes(chunks: DataFrame, nodes: DataFrame, spans_only: bool = False) -
     return pick(same).unionByName(pick(far)).distinct()
 
 
+def dedupe_edges(edges: DataFrame) -> DataFrame:
+    """One row for each edge id (product, ends, type and resource), the last by seq; equal seqs by confidence, then all other columns."""
+    own = edges.withColumn("id", edge_id(F.col("product_id"), F.col("src"), F.col("type"), F.col("dst"), F.col("uri")))
+    rest = F.to_json(F.struct(*edges.columns))
+    order = [F.col("seq").desc_nulls_last()] + ([F.col("confidence").desc_nulls_last()] if "confidence" in edges.columns else [])
+    w = Window.partitionBy("id").orderBy(*order, rest)
+    return own.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def chunk_entities(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(chunk_id, node_id): nodes of the resource whose name occurs in the chunk's text."""
-    return chunks.join(nodes.select("uri", F.col("id").alias("node_id"), "name"), "uri").where("name <> '' and contains(content, name)").select("chunk_id", "node_id")
+    """(chunk_id, node_id): nodes of the resource whose name, or path where they have no name, occurs in the chunk's text; each pair once."""
+    said = F.coalesce(F.nullif("name", F.lit("")), F.col("path")) if "path" in nodes.columns else F.col("name")
+    own = nodes.select("uri", F.col("id").alias("node_id"), said.alias("_said")).where("_said <> ''").distinct()
+    return chunks.select("uri", "chunk_id", "content").join(own, "uri").where("contains(content, _said)").select("chunk_id", "node_id").distinct()
 
 
 def neighbour_chunks(tags: DataFrame, edges: DataFrame, chunks: DataFrame, most: int = 8) -> DataFrame:

@@ -23,6 +23,12 @@ def delete_ids(points: DataFrame, ids: DataFrame) -> DataFrame:
     return points.join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
+def delete_ids_counted(points: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points without those of ``ids``, and how many of each product and kind went (product_id, kind, n). An id that isn't there or comes twice counts once or not."""
+    gone = ids.select("chunk_id").distinct()
+    return points.join(gone, "chunk_id", "left_anti"), points.join(gone, "chunk_id", "left_semi").groupBy("product_id", "kind").agg(F.count("*").alias("n"))
+
+
 def delete_products(points: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points without those of the products (product_id), and how many of each product and kind went: 0 where there were none."""
     gone = products.select("product_id").distinct()

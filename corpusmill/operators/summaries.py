@@ -38,6 +38,18 @@ def declarations(lines: DataFrame) -> DataFrame:
     return x.where("name <> ''").select("product_id", "uri", "line", kind.alias("kind"), "name", F.substring(F.trim("content"), 1, 120).alias("signature"))
 
 
+# Folders that hold no source of one's own, and the largest file in bytes.
+IGNORED_FOLDERS = [
+    ".git", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", "target", "out", ".next", ".turbo", ".pytest_cache", ".ruff_cache", ".mypy_cache", "coverage", "vendor", "third_party",
+]
+LARGEST_FILE = 250_000
+
+
+def mapped_files(files: DataFrame, ignored: list[str] = IGNORED_FOLDERS, most: int = LARGEST_FILE) -> DataFrame:
+    """The files (uri, length) that a map takes in: of ``most`` bytes or fewer, and no part of whose path is ignored."""
+    return files.where(~F.arrays_overlap(F.split("uri", "/"), F.array(*[F.lit(i) for i in ignored])) & (F.col("length") <= most))
+
+
 def symbol_rank(symbols: DataFrame, bias: Column, weights: dict[str, float]) -> DataFrame:
     """Adds score: the kind's weight and 3 for each bias term that name or file has."""
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])

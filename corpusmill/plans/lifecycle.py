@@ -95,7 +95,7 @@ s AS (SELECT product_id, CASE WHEN id IN (SELECT id FROM c) THEN 'running' WHEN
 SELECT product_id, count_if(status = 'pending') AS pending, count_if(status = 'running') AS running, count_if(status = 'done') AS done, count_if(status = 'failed') AS failed FROM s GROUP BY 1""")
 def job_queue(spark, d):
     jobs = _jobs(spark, d).withColumn("updated_at", F.col("created_at"))
-    return lifecycle.queue_counts(lifecycle.queue_step(jobs, 50, F.lit("2025-01-01").cast("timestamp")))
+    return lifecycle.queue_counts(lifecycle.queue_step(jobs, 50, F.lit("2025-01-01").cast("timestamp")), ("pending", "running", "done", "failed"))
 
 
 @query(_EV + " SELECT event_type AS agent, skill AS model, CAST(sum(id % 100 + user_id) AS BIGINT) AS tokens FROM ev GROUP BY 1, 2")

@@ -39,4 +39,4 @@ def query(sql: str | None = None):
     return add
 
 
-from .plans import answers, corpus, facts, graphs, lifecycle, retrieval, streams  # noqa: E402,F401
+from .plans import answers, corpus, facts, graphs, lifecycle, records, retrieval, streams  # noqa: E402,F401

@@ -144,6 +144,35 @@ def page_documents(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", clean(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("title"), clean(bare).alias("content"))
 
 
+_PAGE = "id string, title string, space string, version struct<number: string, createdAt: string>, body struct<atlas_doc_format: struct<value: variant>>"
+
+
+def page_export(exports: DataFrame, site: str = "", spaces: list[str] | None = None) -> DataFrame:
+    """(page_id, uri, mime, last_modified, space, title, content) of pages (space: their space's key; json: one page's JSON with a rich-text body).
+
+    The document begins with the facts as one line of JSON, then title, space, version, address and the body's texts. ``spaces``: keys of the
+    spaces to keep, in any case; none keeps all. Pages without an id are left out; of several of one id one stays, the last by its JSON. A body that is no JSON
+    is empty, as is a missing one.
+    """
+    wanted = [k.strip().upper() for k in spaces or [] if k and k.strip()]
+    x = exports.select(F.coalesce("space", F.lit("")).alias("space"), F.from_json("json", _PAGE).alias("j"), "json").where("j.id <> ''")
+    if wanted:
+        x = x.where(F.upper("space").isin(wanted))
+    x = x.groupBy(F.col("j.id").alias("page_id")).agg(F.max_by(F.struct("space", "j"), F.struct("json", "space")).alias("p")).select("page_id", "p.space", "p.j.title", "p.j.version", "p.j.body")
+    value = F.col("body.atlas_doc_format.value")
+    inner = F.when(F.schema_of_variant(value) == "STRING", F.try_parse_json(F.try_variant_get(value, "$", "string"))).otherwise(value)
+    x = x.withColumn("tree", F.to_json(inner))
+    x = x.join(rich_texts(x.select("page_id", "tree"), "page_id", "tree"), "page_id")
+    said = lambda c: F.coalesce(c, F.lit(""))
+    title, version, updated = F.trim(said(F.col("title")), F.lit(" \n\r\t")), said(F.col("version.number")), said(F.col("version.createdAt"))
+    url = F.concat(F.lit(site.rstrip("/") + "/wiki/spaces/"), "space", F.lit("/pages/"), "page_id")
+    facts = F.to_json(F.struct(F.struct(F.col("page_id").alias("id"), "space", title.alias("title"), updated.alias("updated"), url.alias("url"), version.alias("version")).alias("page")))
+    body = F.trim("text", F.lit(" \n\r\t"))
+    content = F.concat_ws("\n", facts, F.lit(""), F.trim(F.concat(F.lit("# "), title)), F.lit(""), F.concat(F.lit("Space: "), "space"), F.concat(F.lit("Version: "), version), F.concat(F.lit("URL: "), url), F.lit(""), body)
+    host = F.lit(site.split("://", 1)[-1].rstrip("/"))
+    return x.select("page_id", F.concat_ws(":", F.lit("page"), host, "page_id").alias("uri"), F.lit("text/x-page").alias("mime"), updated.alias("last_modified"), "space", title.alias("title"), F.concat(F.trim(content, F.lit(" \n\r\t")), F.lit("\n")).alias("content"))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, href): distinct links."""
     return pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1))).alias("href"))
@@ -226,6 +255,11 @@ def load_map(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+# Columns of a run's report, and those that are compared with the first mode.
+REPORTED = ["recall", "mrr", "ndcg", "faithfulness", "answer_correctness", "context_precision", "context_recall", "graph_hit_rate", "avg_latency_ms"]
+DIFFERENCES = ["recall", "ndcg", "faithfulness", "answer_correctness", "context_precision", "context_recall", "avg_latency_ms"]
+
+
 def report(metrics: DataFrame, names: list[str]) -> DataFrame:
     """(product_id, text): a markdown table of a product's modes."""
     row = F.concat(F.lit("| "), F.concat_ws(" | ", "mode", *[F.coalesce(F.format_number(n, 4), F.lit("-")) for n in names]), F.lit(" |"))
@@ -233,6 +267,27 @@ def report(metrics: DataFrame, names: list[str]) -> DataFrame:
     return metrics.groupBy("product_id").agg(F.concat(F.lit(head + "\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("text"))
 
 
+def run_report(metrics: DataFrame) -> DataFrame:
+    """(product_id, text): a run's modes of each product as a markdown table, then how each later mode differs from the first.
+
+    ``metrics``: product_id, mode, place (order of the modes), n, passed, and any of the columns of REPORTED. Values have three decimals, latency none;
+    a missing value is a dash in the table and has no difference. The product passes if all its modes do.
+    """
+    names = [c for c in REPORTED if c in metrics.columns]
+    show = lambda c, ms, plain: F.call_function("format_number", F.col(c).cast("double"), F.lit(ms if "latency" in c else plain))
+    cells = [F.when(F.col(c).isNull(), "—").otherwise(show(c, "0'ms'", "0.000")) for c in names]
+    first = Window.partitionBy("product_id").orderBy("place", "mode").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = metrics.withColumns({"_base": F.first("mode").over(first), **{f"_{c}": F.col(c) - F.first(c).over(first) for c in names}})
+    parts = [F.concat(F.lit("latency " if c == "avg_latency_ms" else f"{c} "), show(f"_{c}", "+0'ms';-0'ms'", "+0.000;-0.000")) for c in names if c in DIFFERENCES]
+    own = F.struct("place", "mode", F.concat(F.lit("| "), F.concat_ws(" | ", "mode", *cells), F.lit(" |")).alias("row"), F.concat(F.lit("- `"), "mode", F.lit("` vs `"), "_base", F.lit("`: "), F.concat_ws(", ", *parts)).alias("delta"))
+    got = x.groupBy("product_id").agg(F.array_sort(F.collect_list(own)).alias("m"), F.max("n").alias("n"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("ok"), F.first("_base").alias("base"))  # a run's few modes
+    table = F.array_join(F.transform("m", lambda r: r["row"]), "\n")
+    later = F.when(F.size("m") > 1, F.concat(F.lit("\n\n**Δ vs `"), "base", F.lit("`:**\n\n"), F.array_join(F.transform(F.slice("m", 2, F.size("m")), lambda r: r["delta"]), "\n\n"))).otherwise("")
+    title = F.concat(F.lit("## "), "product_id", F.lit("  ("), F.when(F.col("ok"), "PASS").otherwise("FAIL"), F.lit(", n="), "n", F.lit(")\n\n"))
+    head = f"| mode | {' | '.join(names)} |\n|{'---|' * (len(names) + 1)}\n"
+    return got.select("product_id", F.concat(title, F.lit(head), table, later, F.lit("\n")).alias("text"))
+
+
 def skill_chunks(skills_: DataFrame) -> DataFrame:
     """A skill's whole body as one chunk."""
     return skills_.select(F.concat(F.lit("skill:"), "product").alias("source_id"), F.concat(F.lit("skill:"), "name").alias("path"), F.col("body").alias("content"))
