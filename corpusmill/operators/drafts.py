@@ -99,6 +99,18 @@ def drop_uncited_rules(rules: DataFrame, least: int = 3) -> DataFrame:
     return rules.withColumn("_c", F.count_if(has).over(w)).where(has | (F.col("_c") < least)).drop("_c")
 
 
+def strip_rules(lines: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The lines (draft_id, no, text) of rules sections without their uncited list items, and (draft_id, dropped) for every draft.
+
+    As in ``drop_uncited_rules``, nothing goes where fewer than ``least`` cited items would be left; lines that are no list items stay, null ones too.
+    """
+    item = F.coalesce(F.col("text").rlike(r"^\s*(?:\d+\.|[-*])\s"), F.lit(False))
+    cited = F.coalesce(F.col("text").rlike(CITATION), F.lit(False))
+    enough = F.count_if(item & cited).over(Window.partitionBy("draft_id")) >= least
+    x = lines.withColumn("_goes", item & ~cited & enough)
+    return x.where(~F.col("_goes")).drop("_goes"), x.groupBy("draft_id").agg(F.count_if("_goes").alias("dropped"))
+
+
 def triggers(queries: DataFrame, drafts: DataFrame) -> DataFrame:
     """(draft_id, failures): positive queries must rank their draft first, negative ones must not touch it.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, evaluation, evidence, extraction, index, lifecycle
+from ..operators import chunking, drafts, evaluation, evidence, extraction, index, lifecycle
 from ..registry import query
 from ..sources import corpus
 from .inputs import chunks, resources, table
@@ -181,6 +181,13 @@ def resource_chunks(spark, d):
     return chunking.chunk_resources(docs, spans)
 
 
+@query(""", r AS (SELECT doc_id, start_line % 3 > 0 AS item, start_line % 2 = 1 AS cited FROM chunks), n AS (SELECT doc_id, count_if(item AND NOT cited) AS bare, count_if(item AND cited) AS c FROM r GROUP BY 1) SELECT doc_id AS draft_id, CASE WHEN c >= 3 THEN bare ELSE 0 END AS dropped FROM n""")
+def stripped_rules(spark, d):
+    line = F.col("start_line")
+    text = F.concat(F.when(line % 3 > 0, "- ").otherwise("= "), F.regexp_replace("content", r"\[file: ", ""), F.when(line % 2 == 1, " [file: a:1]").otherwise(""))
+    return drafts.strip_rules(chunks(spark, d).select(F.col("doc_id").alias("draft_id"), line.alias("no"), text.alias("text")))[1]
+
+
 # ---- traces
 
 _PLACED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)"

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chunking, evaluation, evidence, extraction, index, lifecycle, summaries
+from corpusmill.operators import chunking, drafts, evaluation, evidence, extraction, index, lifecycle, summaries
 from corpusmill.sources import corpus
 
 
@@ -196,3 +196,15 @@ def test_trace_of_a_plan(make):
     assert got[1] == {"query_id": 1, "channels": ["hybrid", "graph"], "seed_entities": ["n2", "n1", "n3"], "community_hits": 1, "graph_paths": ["a -> b"], "entities": 2, "relationships": 5, "relationships_used": True, "unknowns": []}
     assert got[2]["seed_entities"] == [f"m{i:02}" for i in range(24)] and got[2]["graph_paths"] == [f"p{i:02}" for i in range(8)] and not got[2]["relationships_used"]
     assert got[3]["unknowns"] == ["no graph seed entities resolved"] and got[4]["unknowns"] == [] and (got[4]["channels"], got[4]["entities"]) == ([], 0)
+
+
+# ---- drafts
+
+
+def test_uncited_items_of_rules(make):
+    cited = [(d, i, f"- rule {i} [file: a.py:{i}]") for d, n in (("a", 3), ("b", 2)) for i in range(n)]
+    lines = make(cited + [("a", 10, "- no source"), ("a", 11, "2. nor here"), ("a", 12, "plain words"), ("a", 13, None), ("b", 10, "* kept, as too few are cited"), ("c", 1, "")], "draft_id string, no int, text string")
+    left, n = drafts.strip_rules(lines)
+    assert rows(n) == [("a", 2), ("b", 0), ("c", 0)]
+    assert rows(left.where("draft_id = 'a'").select("no")) == sorted([(0,), (1,), (2,), (12,), (13,)], key=repr) and left.where("draft_id = 'b'").count() == 3
+    assert drafts.strip_rules(lines.limit(0))[1].count() == 0
