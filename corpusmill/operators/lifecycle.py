@@ -85,6 +85,13 @@ def visible(proposals: DataFrame, membership: DataFrame, status: str | None = No
     return x if status is None else x.where(F.col("status") == status)
 
 
+def visible_counts(proposals: DataFrame, membership: DataFrame, status: str | None = None) -> DataFrame:
+    """(user_id, n): how many of ``visible`` a user sees, from a count a product, so that no proposal meets each member."""
+    own = proposals if status is None else proposals.where(F.col("status") == status)
+    n = own.groupBy("product_id").agg(F.count("*").alias("n"))
+    return membership.select("user_id", "product_id").distinct().join(n, "product_id").groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
 def product_stage(products: DataFrame, sources: DataFrame, skills: DataFrame, proposals: DataFrame, sessions: DataFrame) -> DataFrame:
     """(product_id, stage, live): review > skill > council > ingesting > none."""
     s = sources.groupBy("product_id").agg(F.lit(True).alias("has"), F.bool_or((F.col("status") != "syncing") & F.col("last_sync").isNotNull() & (F.col("resources") > 0)).alias("embedded"))

@@ -78,7 +78,7 @@ def conversation_tail(spark, d):
 @query(_EV + ", m AS (SELECT DISTINCT user_id, 'p' || user_id % 7 AS product_id FROM events) SELECT m.user_id, count(*) AS n FROM ev JOIN m USING (product_id) WHERE event_type = 'error' GROUP BY 1")
 def visible_proposals(spark, d):
     e = _ev(spark, d)
-    return lifecycle.visible(e.withColumn("status", F.col("event_type")).drop("user_id"), e.select("user_id", "product_id"), "error").groupBy("user_id").agg(F.count("*").alias("n"))
+    return lifecycle.visible_counts(e.withColumn("status", F.col("event_type")).drop("user_id"), e.select("user_id", "product_id"), "error")
 
 
 _JOBS = ", j AS (SELECT event_id AS id, 'p' || user_id % 7 AS product_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'pending' ELSE 'done' END AS status, user_id % 4 AS attempts, ts AS created_at FROM events)"
