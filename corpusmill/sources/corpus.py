@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.lineage import cut
@@ -267,6 +268,11 @@ def report(metrics: DataFrame, names: list[str]) -> DataFrame:
     return metrics.groupBy("product_id").agg(F.concat(F.lit(head + "\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("text"))
 
 
+def _fixed(value: pd.Series, spec: pd.Series, unit: pd.Series) -> pd.Series:
+    """Numbers with the decimals of ``spec``, rounded by their exact value as printf does; the JVM rounds their shortest decimal form."""
+    return pd.Series([None if pd.isna(v) else f"{v:{s}}{u}" for v, s, u in zip(value, spec, unit)], dtype=object)
+
+
 def run_report(metrics: DataFrame) -> DataFrame:
     """(product_id, text): a run's modes of each product as a markdown table, then how each later mode differs from the first.
 
@@ -274,11 +280,12 @@ def run_report(metrics: DataFrame) -> DataFrame:
     a missing value is a dash in the table and has no difference. The product passes if all its modes do.
     """
     names = [c for c in REPORTED if c in metrics.columns]
-    show = lambda c, ms, plain: F.call_function("format_number", F.col(c).cast("double"), F.lit(ms if "latency" in c else plain))
-    cells = [F.when(F.col(c).isNull(), "—").otherwise(show(c, "0'ms'", "0.000")) for c in names]
+    fixed = F.pandas_udf(_fixed, "string")
+    show = lambda c, sign: fixed(F.col(c).cast("double"), F.lit(sign + (".0f" if "latency" in c else ".3f")), F.lit("ms" if "latency" in c else ""))
+    cells = [F.when(F.col(c).isNull(), "—").otherwise(show(c, "")) for c in names]
     first = Window.partitionBy("product_id").orderBy("place", "mode").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = metrics.withColumns({"_base": F.first("mode").over(first), **{f"_{c}": F.col(c) - F.first(c).over(first) for c in names}})
-    parts = [F.concat(F.lit("latency " if c == "avg_latency_ms" else f"{c} "), show(f"_{c}", "+0'ms';-0'ms'", "+0.000;-0.000")) for c in names if c in DIFFERENCES]
+    parts = [F.concat(F.lit("latency " if c == "avg_latency_ms" else f"{c} "), show(f"_{c}", "+")) for c in names if c in DIFFERENCES]
     own = F.struct("place", "mode", F.concat(F.lit("| "), F.concat_ws(" | ", "mode", *cells), F.lit(" |")).alias("row"), F.concat(F.lit("- `"), "mode", F.lit("` vs `"), "_base", F.lit("`: "), F.concat_ws(", ", *parts)).alias("delta"))
     got = x.groupBy("product_id").agg(F.array_sort(F.collect_list(own)).alias("m"), F.max("n").alias("n"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("ok"), F.first("_base").alias("base"))  # a run's few modes
     table = F.array_join(F.transform("m", lambda r: r["row"]), "\n")
