@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -56,36 +54,42 @@ def split_lines(lines: list[str], start: int) -> list[tuple[int, int, str]]:
     Each later piece begins with trailing lines of the one before, of OVERLAP characters or
     more in all; their line numbers are the real ones.
     """
-    sizes = [len(x) + 1 for x in lines]
-    out: list[tuple[int, int, str]] = []
+    return [(start + a, start + b, "\n".join(lines[a : b + 1])) for a, b in _pieces([len(x) for x in lines])]
+
+
+def _pieces(lengths: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of the pieces of ``split_lines``, from 0, by the lines' lengths."""
+    sizes = [n + 1 for n in lengths]
+    out: list[tuple[int, int]] = []
     first, size = 0, 0
     for i, n in enumerate(sizes):
         if i > first and size + n > TARGET:
-            out.append((start + first, start + i - 1, "\n".join(lines[first:i])))
+            out.append((first, i - 1))
             back, size = i - 1, sizes[i - 1]
             while size < OVERLAP and back > first:
                 back -= 1
                 size += sizes[back]
             first = back
         size += n
-    if lines:
-        out.append((start + first, start + len(lines) - 1, "\n".join(lines[first:])))
+    if sizes:
+        out.append((first, len(sizes) - 1))
     return out
 
 
 def oversize_split(sections: DataFrame, least: int = 0) -> DataFrame:
-    """Sections over LARGE characters cut by ``split_lines``; pieces under ``least`` dropped."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                pieces = split_lines(r.content.split("\n"), r.start_line) if len(r.content) > LARGE else [(r.start_line, r.end_line, r.content)]
-                rows += [(r.product_id, r.uri, a, b, r.path, t) for a, b, t in pieces if len(t) >= least]
-            yield pd.DataFrame(rows, columns=["product_id", "uri", "start_line", "end_line", "path", "content"])
-
-    cols = sections.select("product_id", "uri", F.col("start_line").cast("long"), F.col("end_line").cast("long"), "path", "content")
-    return cols.mapInPandas(work, "product_id string, uri string, start_line long, end_line long, path string, content string")
+    """Sections over LARGE characters cut by ``split_lines``; pieces under ``least`` dropped. Only the lines' lengths go to Python, no text."""
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def cuts(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: [{"a": a, "b": b} for a, b in _pieces(x.tolist())])
+
+    x = sections.select("product_id", "uri", F.col("start_line").cast("long"), F.col("end_line").cast("long"), "path", "content", (F.length("content") > LARGE).alias("_large"))
+    x = x.withColumn("_lines", F.when(F.col("_large"), F.split("content", "\n")).otherwise(F.array("content"))).drop("content")
+    x = x.withColumn("_at", cuts(F.transform("_lines", lambda s: F.length(s)))).select(*x.columns, F.inline("_at"))
+    end = F.when(F.col("_large"), F.col("start_line") + F.col("b")).otherwise(F.col("end_line"))
+    text = F.array_join(F.slice("_lines", F.col("a") + 1, F.col("b") - F.col("a") + 1), "\n")
+    x = x.select("product_id", "uri", (F.col("start_line") + F.col("a")).alias("start_line"), end.alias("end_line"), "path", text.alias("content"))
+    return x.where(F.length("content") >= least)
 
 
 def plain_chunks(docs: DataFrame) -> DataFrame:
