@@ -92,3 +92,17 @@ def test_plan_trace_deals_candidates_once(sorted_joins):
         assert r.channels == once(x[2] for x in mine) and r.seed_entities == once(n for x in mine for n in x[3])[:5] and r.graph_paths == once(x[5] for x in some)[:2]
         assert (r.community_hits, r.entities, r.relationships) == (sum(x[4] is not None for x in mine), len(once(n for x in some for n in x[3])), max([x[6] or 0 for x in some], default=0))
     assert planned(out).count("Exchange") <= 6  # three, each in the first and in the final plan: both tables together, merged's nodes, the plans
+
+
+def test_nodes_are_not_broadcast(spark):
+    """Small as they are here, so that Spark would broadcast them by itself."""
+    ids = [f"n{i}" for i in range(6)]
+    nodes = spark.createDataFrame([(i, f"name {i}", ["Module"], 1.0) for i in ids[:5]], "id string, name string, labels array<string>, confidence double")
+    edges = spark.createDataFrame([(a, "T", b) for a, b in zip(ids, ids[1:])], "src string, type string, dst string")
+    paths = graph.traverse(spark.createDataFrame([(1, "n2")], "query_id int, seed string"), edges, None, 1, nodes=nodes)
+    assert {tuple(r.path) for r in paths.collect()} == {("n2", "n3"), ("n2", "n1")}
+    assert {tuple(r.path) for r in graph.traverse(spark.createDataFrame([(1, "n4")], "query_id int, seed string"), edges, None, 1, nodes=nodes).collect()} == {("n4", "n3")}
+    assert "SortMergeJoin" in plan_of(paths)
+    hit = graph.resolve(spark.createDataFrame([("n1",), ("name n3",)], "mention string"), nodes)
+    assert {(r.mention, r.id, r.score) for r in hit.collect()} == {("n1", "n1", 100.0), ("name n3", "n3", 100.0)}
+    assert "SortMergeJoin" in plan_of(hit)
