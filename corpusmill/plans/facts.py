@@ -175,8 +175,8 @@ al AS (SELECT * FROM s UNION ALL SELECT query_id, dst, 5 * confidence + 1 FROM e
 SELECT query_id, id, round(max(CAST(s AS DOUBLE)), 6) AS rank_score FROM al GROUP BY ALL""")
 def graph_rank(spark, d):
     s = table(spark, d, "nation").select(F.col("n_regionkey").alias("query_id"), F.concat(F.lit("n:"), "n_nationkey").alias("seed"))
-    e = s.join(edges(spark, d), F.col("seed") == F.col("src")).withColumn("confidence", 1 - F.col("query_id") / 10)
-    n = e.select("query_id", F.col("dst").alias("id")).join(nodes(spark, d).select("id", "labels", "confidence"), "id")
+    e = s.join(edges(spark, d, distinct=False), F.col("seed") == F.col("src")).withColumn("confidence", 1 - F.col("query_id") / 10)
+    n = graph.built(e.select("query_id", F.col("dst").alias("id"))).join(nodes(spark, d).select("id", "labels", "confidence"), "id")
     return graph.graph_rank(s, n, e)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import registry
 from corpusmill.operators import chunking, evidence, graph, index
+from corpusmill.plans import inputs
 
 D = "/root/testdata/sf0.001"
 
@@ -106,3 +107,27 @@ def test_nodes_are_not_broadcast(spark):
     hit = graph.resolve(spark.createDataFrame([("n1",), ("name n3",)], "mention string"), nodes)
     assert {(r.mention, r.id, r.score) for r in hit.collect()} == {("n1", "n1", 100.0), ("name n3", "n3", 100.0)}
     assert "SortMergeJoin" in plan_of(hit)
+
+
+def lists_pairs(df) -> bool:
+    """Whether tasks gather the distinct pairs of orders and parts."""
+    return re.search(r"keys=\[l_orderkey", planned(df)) is not None
+
+
+def test_graph_rank_gathers_no_pairs_of_orders_and_parts(spark):
+    assert not lists_pairs(registry.QUERIES["graph_rank"](spark, D))
+    assert lists_pairs(inputs.edges(spark, D))
+
+
+def test_graph_rank_sorts_no_nodes(sorted_joins):
+    plan = plan_of(registry.QUERIES["graph_rank"](sorted_joins, D))
+    assert re.search(r"ShuffledHashJoin \[id#\d+\], \[id#\d+\], Inner, BuildLeft", plan)
+
+
+def test_edges_may_repeat_where_they_are_not_distinct(spark, tmp_path):
+    for name in ("nation", "customer", "supplier", "orders"):
+        spark.read.parquet(f"{D}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{D}/lineitem.parquet").limit(3).select("l_orderkey", "l_partkey")
+    lines.unionByName(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    own, every = (inputs.edges(spark, str(tmp_path), distinct=d).where("type = 'DEPENDS_ON'") for d in (True, False))
+    assert every.count() == 6 and sorted(every.distinct().collect()) == sorted(own.collect())
