@@ -57,7 +57,7 @@ h2 AS (SELECT DISTINCT query_id, dst AS id FROM h1 JOIN edges ON src = id UNION
 al AS (SELECT query_id, id, 1 AS depth FROM h1 UNION ALL SELECT query_id, id, 2 FROM h2), r AS (SELECT query_id, id, min(depth) AS depth FROM al WHERE (query_id, id) NOT IN (SELECT (query_id, seed) FROM seeds) GROUP BY ALL)
 SELECT query_id, id, depth, CASE labels[1] WHEN 'Service' THEN 'service' WHEN 'Module' THEN 'code' WHEN 'DBTable' THEN 'runtime' WHEN 'JiraTicket' THEN 'delivery' ELSE 'owner' END AS category FROM r JOIN nodes USING (id)""")
 def impact_categories(spark, d):
-    return graph.impact(_seeds(spark, d), nodes(spark, d), edges(spark, d), None, 2)
+    return graph.impact(_seeds(spark, d), nodes(spark, d), edges(spark, d, distinct=False), None, 2)
 
 
 @query("""

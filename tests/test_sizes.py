@@ -131,3 +131,17 @@ def test_edges_may_repeat_where_they_are_not_distinct(spark, tmp_path):
     lines.unionByName(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
     own, every = (inputs.edges(spark, str(tmp_path), distinct=d).where("type = 'DEPENDS_ON'") for d in (True, False))
     assert every.count() == 6 and sorted(every.distinct().collect()) == sorted(own.collect())
+
+
+def test_impact_streams_edges_past_the_frontier(sorted_joins):
+    df = registry.QUERIES["impact_categories"](sorted_joins, D)
+    assert not lists_pairs(df)
+    assert re.search(r"ShuffledHashJoin \[id#\d+\], \[at#\d+\], Inner, BuildLeft", plan_of(df))
+
+
+def test_impact_of_edges_that_repeat(sorted_joins):
+    make = sorted_joins.createDataFrame
+    e = make([("a", "X", "b"), ("a", "X", "b"), ("b", "X", "c"), ("b", "X", "c"), ("c", "X", "d")], "src string, type string, dst string")
+    n = make([(i, ["Module"]) for i in "abcd"], "id string, labels array<string>")
+    got = graph.impact(make([(1, "a")], "query_id int, seed string"), n, e, None, 2)
+    assert sorted(map(tuple, got.collect())) == [(1, "b", 1, "code"), (1, "c", 2, "code")]
