@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,28 @@ def test_no_text_is_shuffled_or_stored(spark, make):
     for name in ("bm25_topk", "grep_topk", "rrf_hybrid", "hybrid_dense_bm25_graph"):
         assert registry.QUERIES[name](spark, SF).count() > 0
     assert inputs._INDEXES == before
+
+
+def test_a_task_keeps_k_hits_a_query(spark, make):
+    asked, chunks = corpus(make)
+    chunks = chunks.coalesce(1)
+    terms = lambda of: asked.select("query_id", "product_id", F.explode(of).alias("term"))
+    words = ranking._bm25_scanned(terms(ranking.terms(F.col("query"))), chunks, [], 3)
+    lines = ranking._grep_scanned(terms(ranking.grep_terms(F.col("query"))).withColumnRenamed("term", "t"), chunks, [], 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for found in (words, lines):
+            n = [r["count"] for r in found.groupBy("query_id").count().collect()]
+            assert len(n) > 20 and max(n) == 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_kept_are_the_best_of_all_blocks():
+    pick = random.Random(7)
+    rows = [(pick.randint(1, 9), f"c{i:04}", float(pick.randint(1, 6))) for i in range(4_000)]
+    blocks = [pd.DataFrame(rows[i : i + 40], columns=["query_id", "id", "score"]) for i in range(0, 4_000, 40)]
+    got = pd.concat(ranking._kept(iter(blocks), 5, 100))
+    want = [r for q in range(1, 10) for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:5]]
+    assert list(got.itertuples(index=False, name=None)) == want
+    assert not list(ranking._kept(iter([]), 5))
