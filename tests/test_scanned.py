@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,43 @@ def test_kept_are_the_best_of_all_blocks():
     want = [r for q in range(1, 10) for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:5]]
     assert list(got.itertuples(index=False, name=None)) == want
     assert not list(ranking._kept(iter([]), 5))
+
+
+def test_a_block_has_as_many_rows_whatever_the_number_of_terms(make, monkeypatch):
+    pick = random.Random(9)
+    words = [f"word{i}" for i in range(4_000)]
+    asked = make([(i, w) for i in range(200) for w in words[20 * i : 20 * i + 20]], "query_id int, term string")
+    chunks = make([(f"c{i:04}", f"u/{i}", "", 1, " ".join(pick.choices(words, k=40))) for i in range(2_000)], "id string, uri string, path string, start_line int, content string")
+    blocks, best = [], ranking._best
+    monkeypatch.setattr(ranking, "_best", lambda scores, k: blocks.append(scores.shape) or best(scores, k))
+    # the task's function, run here on the one batch that it gets
+    monkeypatch.setattr(type(chunks), "mapInPandas", lambda self, f, schema: list(f(iter([self.toPandas()]))))
+    for scan, terms in ((ranking._bm25_scanned, asked), (ranking._grep_scanned, asked.withColumnRenamed("term", "t"))):
+        blocks.clear()
+        assert sum(map(len, scan(terms, chunks, [], 3))) == 600
+        assert blocks == [(200, 2_000)]
+
+
+@pytest.mark.parametrize("cells", [1, 40, 10_000])
+def test_sums_are_those_of_the_whole_product(cells):
+    pick = random.Random(3)
+    pairs = sorted({(pick.randrange(30), pick.randrange(12)) for _ in range(150)})  # (place, term)
+    place, term = (np.array(x) for x in zip(*pairs))
+    worth = np.array([pick.random() for _ in pairs])
+    begin = np.array([0, 1, 5, 5 + 9, 20, 30])
+    rows = pd.DataFrame([(q, t) for q in range(7) for t in pick.choices("bcdefgh", k=4)], columns=["query_id", "term"])
+    rows = pd.concat([rows, pd.DataFrame({"query_id": [9] * 5, "term": list("aijkl")})])
+    asked = ranking._Asked(rows, [], 4)
+    assert asked.terms == list("abcdefghijkl")
+    for tile, ids in zip(asked.tiles[None], ([0, 1, 2, 3], [4, 5, 6, 9])):
+        assert list(tile[0]) == ids
+        for w in (worth, None):
+            dense = np.zeros((30, 4))
+            for p, t, x in zip(place, term, np.ones(len(pairs)) if w is None else w):
+                for q, name in rows.itertuples(index=False, name=None):
+                    if name == asked.terms[t] and q in ids:
+                        dense[p, ids.index(q)] += x
+            got = list(ranking._sums(place, term, w, begin, tile, cells))
+            assert [g[0] for g in got] == [0, *[g[1] for g in got[:-1]]] and got[-1][1] == 5
+            assert np.allclose(np.concatenate([g[2] for g in got]), dense)
+            assert all(high == low + 1 or sums.size <= cells for low, high, sums in got)
